@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .mixing import OP4_SQL, op4_mix_sources
 from .pairwise import op6_quality_classifier
 from .quality_rules import op2_quality_rules
+from .topk import OP1_SQL, op1_topk_search
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op4_mix_sources, op6_quality_classifier)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL}
