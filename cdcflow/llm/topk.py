@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _cell_winners(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def best(cell: pa.Table) -> pa.Table:
-        width = max(1, pa.compute.max(pa.compute.list_value_length(cell["q"])).as_py() or 1)
+        width = max(1, pc.max(pc.list_value_length(cell["q"])).as_py() or 1)
         asks = cell["asks"].to_numpy()
         ids, weights = cell["vec_id"].to_numpy(), _matrix(cell["q"], width)
         order = np.argsort(ids[~asks], kind="stable")
