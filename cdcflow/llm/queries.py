@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .language import op7_language_id
+from .masked_lm import op9_lm_scoring
 from .mixing import OP4_SQL, op4_mix_sources
 from .near_dedup import op8_minhash_near_dedup
 from .pairwise import op6_quality_classifier
@@ -10,6 +12,6 @@ from .quality_rules import op2_quality_rules
 from .token_files import op3_token_output
 from .topk import OP1_SQL, op1_topk_search
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op3_token_output, op4_mix_sources, op5_byte_bpe, op6_quality_classifier, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op3_token_output, op4_mix_sources, op5_byte_bpe, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_lm_scoring)}
 
 ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL}
