@@ -132,10 +132,10 @@ def bpe_decode(coded: DataFrame, vocabulary: str) -> DataFrame:
     return coded.mapInArrow(_decode(vocabulary), kind + ", decoded binary")
 
 
-def coded_digests(docs: DataFrame, vocabulary: str, pattern: str, carry: list[str] = []) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and carry for every row of docs."""
+def coded_digests(docs: DataFrame, vocabulary: str, pattern: str, carry: list[str] = [], keep: list[str] = []) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, carry and what keep names of ids and decoded, for every row of docs."""
     both = bpe_decode(bpe_encode(docs, vocabulary, pattern, carry), vocabulary)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *carry)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *carry, *keep)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

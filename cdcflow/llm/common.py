@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,22 +37,43 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that written() made inside scope(), by the scope's name.
+_made: dict[str, list[str]] = {}
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scope", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage is cut and it survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if _scope.get():
+        _made.setdefault(_scope.get(), []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_written(*frames: DataFrame) -> None:
     """Delete the files of frames that written() made, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
-        for file in df.inputFiles():
-            folder = jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-            break
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rpartition("/")[0])
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str):
+    """Note what written() makes inside; what an earlier scope of this name made is deleted, so its results must have been written by now."""
+    for path in _made.pop(name, []):
+        _delete(spark, path)
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

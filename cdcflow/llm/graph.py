@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: a node's smaller neighbours, and itself, go to the smallest of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         spread = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(spread.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, links = links, written(spread.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop_written(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

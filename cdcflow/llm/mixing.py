@@ -51,7 +51,7 @@ def targets(sources: DataFrame) -> DataFrame:
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     weights = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     df = df.withColumn("level", left.cast("double") / weights)  # what a unit of weight gets if the sources from here on share the rest
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)  # levels fall from the first that fits
     first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("cap") / F.col("weight"))).over(whole)
     df = df.withColumn("shared", level).withColumn("from", first)
     capped = F.col("shared").isNull() | (F.col("cap") / F.col("weight") < F.col("from"))
@@ -117,7 +117,7 @@ WITH d AS (
     CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
   FROM s WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), m AS (
-  SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS shared, min(CASE WHEN level * weight <= cap THEN ratio END) OVER () AS first FROM l
+  SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS shared, min(CASE WHEN level * weight <= cap THEN ratio END) OVER () AS first FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN shared IS NULL OR ratio < first THEN CAST(cap AS DOUBLE) ELSE shared * weight END AS target FROM m
 ), p AS (
