@@ -78,10 +78,14 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         so_far = F.sum("words").over(Window.partitionBy("source").orderBy(f"h{level}"))  # 2 ** BITS rows a source at most
         sums = _joined(sums.withColumn("upto", so_far), found.select("source", "budget"), few)
         fits = F.col("upto") <= F.col("budget")
-        last = sums.groupBy("source").agg(F.min(F.when(~fits, F.col(f"h{level}"))).alias(f"c{level}"), F.max(F.when(fits, F.col("upto"))).alias("used"))
-        found = _joined(found, last, few).withColumn("budget", F.col("budget") - F.coalesce("used", F.lit(0)))
+        last = sums.groupBy("source").agg(
+            F.min(F.when(~fits, F.col(f"h{level}"))).alias(f"c{level}"), F.max(F.when(fits, F.col("upto"))).alias("used"), F.min(F.when(~fits, F.col("upto"))).alias("over")
+        )
+        found = _joined(found, last, few).withColumn("over", F.col("over") - F.col("budget")).withColumn("budget", F.col("budget") - F.coalesce("used", F.lit(0)))
         found = found.withColumn(f"c{level}", F.coalesce(f"c{level}", F.lit(2**BITS)))
-        found = written(found.drop("used"), "mix")
+        if level == LEVELS - 1:  # the bucket at the edge is taken if that misses the target by less
+            found = found.withColumn(f"c{level}", F.col(f"c{level}") + F.when(F.col("over") < F.col("budget"), 1).otherwise(0))
+        found = written(found.drop("used", "over"), "mix")
     return found.drop("budget")
 
 
@@ -123,10 +127,11 @@ WITH d AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t
 ), u AS (
-  SELECT d.*, p.source_size, p.target, p.passes, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto
+  SELECT d.*, p.source_size, p.target, p.passes, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS own,
+    p.target - p.passes * p.source_size AS budget
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (passes + CASE WHEN upto <= target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (passes + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM u
 """
