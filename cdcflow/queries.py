@@ -1,6 +1,199 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries and, where SQL can say the same, their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import decode, masking, text
+from .operators import apply, events, formats, guards, metrics, reconcile, reports, schema, scope
+from .plans import testlog
+from .sources import readers
+from .streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testlog.change_log(_t(spark, sf_dir, "events"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.normalize(_log(spark, sf_dir), testlog.KEYS)
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    parts = [F.col(f"{i}.{c}").alias(f"{p}_{n}") for i, p in (("before", "b"), ("data", "d")) for c, n in zip(testlog.COLUMNS, ("user", "type", "amount", "note"))]
+    return df.select("seq", "sub", "op", F.get_json_object("key", "$.user_id").cast("long").alias("k"), *parts, "event_ms")
+
+
+LOG = "WITH " + testlog.LOG_SQL
+
+# --- change events
+
+
+@query(LOG + "SELECT seq, sub, op, k, b_user, b_type, b_amount, b_note, d_user, d_type, d_amount, d_note, event_ms FROM ev")
+def q_event_normalize(spark, sf_dir):
+    return _flat(_events(spark, sf_dir))
+
+
+@query(LOG + "SELECT op, 'CDC' AS phase, count(*) AS n FROM ev GROUP BY op UNION ALL SELECT 'INSERT', 'SNAPSHOT', count(*) FROM orders")
+def q_event_counts_by_op_phase(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    snap = events.snapshot_events(orders, ["o_orderkey"], "shop", "orders", F.lit(0))
+    both = _events(spark, sf_dir).select("op", "phase").unionByName(snap.select("op", "phase"))
+    return both.groupBy("op", "phase").agg(F.count("*").alias("n"))
+
+
+@query(LOG + "SELECT seq, k, b_amount, d_amount, event_ms FROM ev JOIN (SELECT seq AS s, op AS raw_op FROM raw) ON seq = s WHERE op = 'UPDATE' AND raw_op = 'd'")
+def q_split_update_merge(spark, sf_dir):
+    e = _flat(_events(spark, sf_dir)).where("op = 'UPDATE'")
+    pairs = e.join(events.dense_order(_log(spark, sf_dir)).where("op = 'd'").select("seq"), "seq", "left_semi")
+    return pairs.select("seq", "k", "b_amount", "d_amount", "event_ms")
+
+
+@query(LOG + "SELECT seq, sub, op, k, event_ms FROM ev WHERE seq IN (SELECT seq FROM ev WHERE sub = 1)")
+def q_key_change_split(spark, sf_dir):
+    e = _flat(_events(spark, sf_dir))
+    return e.join(e.where("sub = 1").select("seq"), "seq", "left_semi").select("seq", "sub", "op", "k", "event_ms")
+
+
+@query(
+    LOG
+    + """, snap AS (SELECT DISTINCT user_id FROM events)
+SELECT CAST(-1 AS BIGINT) AS seq, 0 AS sub, 'INSERT' AS op, user_id AS k, 'SNAPSHOT' AS phase FROM snap UNION ALL SELECT seq, sub, op, k, 'CDC' FROM ev"""
+)
+def q_snapshot_then_changes(spark, sf_dir):
+    none = F.lit(None)
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id")).distinct().select("user_id", none.cast("string").alias("event_type"), none.cast("long").alias("amount"), none.cast("string").alias("note"))
+    snap = events.snapshot_events(rows, testlog.KEYS, testlog.DATABASE, testlog.TABLE, F.lit(0))
+    both = events.snapshot_then_changes(snap, _events(spark, sf_dir))
+    return both.select("seq", "sub", "op", F.get_json_object("key", "$.user_id").cast("long").alias("k"), "phase")
+
+
+@query(LOG + "SELECT seq, sub, b_amount AS before_amount, d_user AS data_user, d_amount AS data_amount FROM ev")
+def q_project_images(spark, sf_dir):
+    e = events.normalize(_log(spark, sf_dir), testlog.KEYS, columns=["user_id", "amount"])
+    return e.select("seq", "sub", F.col("before.amount").alias("before_amount"), F.col("data.user_id").alias("data_user"), F.col("data.amount").alias("data_amount"))
+
+
+def _format(name: str):
+    def run(spark, sf_dir):
+        return formats.serialize(_events(spark, sf_dir), testlog.KEYS, name)
+
+    return run
+
+
+_J = lambda c, path: F.get_json_object("value", path).alias(c)
+_TIME_SQL = "strftime(make_timestamp(event_ms * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_ms % 1000 = 0 THEN 'Z' ELSE '.' || lpad(CAST(event_ms % 1000 AS VARCHAR), 3, '0') || 'Z' END"
+
+
+@query(
+    LOG
+    + f"""SELECT seq, sub, op, CAST(k AS VARCHAR) AS key_user, CAST(d_user AS VARCHAR) AS data_user, d_note AS data_note, CAST(b_amount AS VARCHAR) AS before_amount, 'app' AS db, 'accounts' AS tbl,
+    {_TIME_SQL} AS at, 'CDC' AS phase FROM ev"""
+)
+def q_fmt_envelope(spark, sf_dir):
+    v = _format("ENVELOPE")(spark, sf_dir)
+    return v.select(
+        "seq", "sub", _J("op", "$.op"), _J("key_user", "$.key.user_id"), _J("data_user", "$.data.user_id"), _J("data_note", "$.data.note"), _J("before_amount", "$.before.amount"), _J("db", "$.source.database"),
+        _J("tbl", "$.source.table"), _J("at", "$.sourceEventTime"), _J("phase", "$.phase"),
+    )
+
+
+_OLD_SQL = "CASE WHEN op = 'UPDATE' AND (d_amount IS NULL OR b_amount IS DISTINCT FROM d_amount) THEN CAST(b_amount AS VARCHAR) END"
+
+
+@query(
+    LOG
+    + f"""SELECT seq, sub, op AS type, CAST(event_ms AS VARCHAR) AS es, CAST(d_amount AS VARCHAR) AS amount, {_OLD_SQL} AS old_amount, op = 'UPDATE' AS has_old, '["user_id"]' AS keys, 'false' AS ddl FROM ev"""
+)
+def q_fmt_canal(spark, sf_dir):
+    v = _format("CANAL_JSON")(spark, sf_dir)
+    return v.select("seq", "sub", _J("type", "$.type"), _J("es", "$.es"), _J("amount", "$.data[0].amount"), _J("old_amount", "$.old[0].amount"), F.col("value").contains('"old":').alias("has_old"), _J("keys", "$.pkNames"), _J("ddl", "$.isDdl"))
+
+
+@query(
+    LOG
+    + """SELECT seq, sub, CASE op WHEN 'INSERT' THEN 'c' WHEN 'UPDATE' THEN 'u' ELSE 'd' END AS op, CAST(b_user AS VARCHAR) AS before_user, CASE WHEN op <> 'DELETE' THEN CAST(d_user AS VARCHAR) END AS after_user,
+    CAST(event_ms AS VARCHAR) AS ts_ms, 'accounts' AS tbl, CAST(NULL AS VARCHAR) AS snapshot FROM ev"""
+)
+def q_fmt_debezium(spark, sf_dir):
+    v = _format("COMPATIBLE_DEBEZIUM_JSON")(spark, sf_dir)
+    return v.select("seq", "sub", _J("op", "$.op"), _J("before_user", "$.before.user_id"), _J("after_user", "$.after.user_id"), _J("ts_ms", "$.source.ts_ms"), _J("tbl", "$.source.table"), _J("snapshot", "$.source.snapshot"))
+
+
+@query(LOG + f"SELECT seq, sub, lower(op) AS type, CAST(event_ms // 1000 AS VARCHAR) AS ts, CAST(d_user AS VARCHAR) AS data_user, {_OLD_SQL} AS old_amount FROM ev")
+def q_fmt_maxwell(spark, sf_dir):
+    v = _format("MAXWELL_JSON")(spark, sf_dir)
+    return v.select("seq", "sub", _J("type", "$.type"), _J("ts", "$.ts"), _J("data_user", "$.data.user_id"), _J("old_amount", "$.old.amount"))
+
+
+@query(
+    LOG
+    + """SELECT seq, sub, 'app.accounts' AS tbl, left(op, 1) AS op_type, strftime(make_timestamp(event_ms * 1000), '%Y-%m-%d %H:%M:%S.%f') AS op_ts, CASE WHEN op <> 'DELETE' THEN CAST(d_amount AS VARCHAR) END AS after_amount FROM ev"""
+)
+def q_fmt_ogg(spark, sf_dir):
+    v = _format("OGG_JSON")(spark, sf_dir)
+    return v.select("seq", "sub", _J("tbl", "$.table"), _J("op_type", "$.op_type"), _J("op_ts", "$.op_ts"), _J("after_amount", "$.after.amount"))
+
+
+_LIVE = LOG + ", last AS (SELECT k, arg_max(op, seq * 2 + sub) AS op, arg_max({a: d_amount, t: d_type}, seq * 2 + sub) AS d FROM ev {where} GROUP BY k)"
+
+
+@query(_LIVE.replace("{where}", "") + "SELECT k AS user_id, d.t AS event_type, d.a AS amount FROM last WHERE op <> 'DELETE'")
+def q_apply_changelog(spark, sf_dir):
+    return apply.applied(_events(spark, sf_dir)).select("user_id", "event_type", "amount")
+
+
+@query(_LIVE.replace("{where}", "WHERE seq <= (SELECT max(seq) // 2 FROM raw)") + "SELECT k AS user_id, d.t AS event_type, d.a AS amount FROM last WHERE op <> 'DELETE'")
+def q_state_at_offset(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    half = events.dense_order(_log(spark, sf_dir)).agg(F.floor(F.max("seq") / 2)).first()[0]
+    return apply.applied(e, F.lit(half)).select("user_id", "event_type", "amount")
+
+
+@query(
+    LOG
+    + """, last AS (SELECT k, arg_max(op, seq * 2 + sub) AS op, arg_max({a: d_amount}, seq * 2 + sub) AS d FROM ev GROUP BY k)
+SELECT c_custkey AS user_id, CAST(NULL AS BIGINT) AS amount FROM customer WHERE c_custkey NOT IN (SELECT k FROM last) UNION ALL SELECT k, d.a FROM last WHERE op <> 'DELETE'"""
+)
+def q_merge_into_base(spark, sf_dir):
+    none = F.lit(None)
+    base = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), none.cast("string").alias("event_type"), none.cast("long").alias("amount"), none.cast("string").alias("note"))
+    return apply.merged_into(base, _events(spark, sf_dir), testlog.KEYS).select("user_id", "amount")
+
+
+@query(
+    _LIVE.replace("{where}", "")
+    + "SELECT (SELECT count(DISTINCT user_id) FROM events) AS source_rows, count(*) AS live_keys, (SELECT count(DISTINCT user_id) FROM events) - count(*) AS difference, (SELECT count(DISTINCT user_id) FROM events) = count(*) AS matched FROM last WHERE op <> 'DELETE'"
+)
+def q_topic_reconcile(spark, sf_dir):
+    return apply.topic_reconciliation(_t(spark, sf_dir, "events").select("user_id").distinct(), _events(spark, sf_dir))
+
+
+@query(
+    LOG
+    + ", last AS (SELECT k, arg_max(op, seq * 2 + sub) AS op, arg_max({t: d_type, a: d_amount}, seq * 2 + sub) AS d FROM ev GROUP BY k) SELECT d.t AS status, count(*) AS accounts, CAST(sum(d.a) AS BIGINT) AS amount FROM last WHERE op <> 'DELETE' GROUP BY d.t"
+)
+def q_flagship(spark, sf_dir):
+    """Net state after the change log, by the status of the last change."""
+    live = apply.applied(_events(spark, sf_dir))
+    return live.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("accounts"), F.sum("amount").alias("amount"))
