@@ -13,7 +13,9 @@ keep their place; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,51 +30,84 @@ from .common import shared_dir, table, written
 from .seekable import Reader, Writer
 
 END_ID = 1
-MAX_PIECES = 400_000  # remembered at a time
+MAX_PIECES = 1_000_000  # remembered at a time
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece and remembers pieces."""
+    """Encodes texts piece by piece and remembers pieces.
+
+    A piece of ASCII letters and then other ASCII signs is at most two pre-tokens that nothing normalises further, so the model
+    itself tokenises them; any other piece goes through the whole tokenizer.
+    """
+
+    PLAIN = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _made(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces that aren't remembered."""
+        tokenize, parts = self.tokenizer.model.tokenize, {}
+        out, others = [], []
+        for piece in pieces:
+            if not (m := self.PLAIN.fullmatch(piece)):
+                others.append(len(out))
+                out.append(piece.decode())
+                continue
+            ids = []
+            for part in m.groups():
+                if part:
+                    if (made := parts.get(part)) is None:
+                        at = self.place.get(part, -1)
+                        if 0 <= at < len(self.sizes):
+                            made = self.ids[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+                        else:
+                            made = [t.id for t in tokenize(part.decode())]
+                        parts[part] = made
+                    ids += made
+            out.append(ids)
+        for at, e in zip(others, self.tokenizer.encode_batch([out[i] for i in others], add_special_tokens=False)):
+            out[at] = e.ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.place) > MAX_PIECES:
             self.forget()
-        place, fresh, rows = self.place, [], []
-        for text in texts:
-            pieces = text.encode().split()  # at ASCII white space only
-            row = [place.get(p, -1) for p in pieces]
-            if -1 in row:
-                for i, p in enumerate(pieces):
-                    if row[i] < 0:
-                        if (at := place.get(p)) is None:
-                            at = place[p] = len(place)
-                            fresh.append(p)
-                        row[i] = at
-            rows.append(np.array(row, dtype=np.int64))
+        place, known = self.place, len(self.place)
+        split = [text.encode().lower().split() for text in texts]  # at ASCII white space; A-Z are lower-cased, as the normaliser would
+        fresh = [p for p in dict.fromkeys(itertools.chain.from_iterable(split)) if p not in place]
         if fresh:
-            made = [e.ids for e in self.encode_batch([p.decode() for p in fresh], add_special_tokens=False)]
-            sizes = np.array([len(m) for m in made], dtype=np.int64)
+            made = self._made(fresh)
+            place.update(zip(fresh, range(known, known + len(fresh))))
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
             starts = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids = np.concatenate([self.ids, np.array([i for m in made for i in m], dtype=np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum()))])
             self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        for row in rows:
-            sizes = self.sizes[row]
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.starts[row] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-            yield self.ids[at]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        rows = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self.sizes[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return np.split(flat, ends[np.cumsum(counts)][:-1])
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(vocabulary: str) -> PieceEncoder:
+    """This process's encoder; what it remembers serves later tasks too."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = PieceEncoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def in_slices(column: list, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -98,7 +133,7 @@ def _write_partition(folder: str, vocabulary: str, width: int):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             if texts and writer is None:
-                writer, encoder = Writer(uri, width), PieceEncoder(vocabulary)
+                writer, encoder = Writer(uri, width), encoder_of(vocabulary)
             for start, some in in_slices(texts):
                 for i, tokens in enumerate(encoder.encode(some)):
                     writer.add(ids[start + i], np.append(tokens, END_ID))
