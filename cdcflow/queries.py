@@ -197,3 +197,462 @@ def q_flagship(spark, sf_dir):
     """Net state after the change log, by the status of the last change."""
     live = apply.applied(_events(spark, sf_dir))
     return live.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("accounts"), F.sum("amount").alias("amount"))
+
+
+# --- checks of source against target
+
+
+def _orders_copy(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    return orders, orders.where("o_orderkey % 97 <> 0")
+
+
+@query("SELECT count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 <> 0) - count(*) AS difference, count(*) FILTER (o_orderkey % 97 <> 0) = count(*) AS matched FROM orders")
+def q_count_check(spark, sf_dir):
+    return reconcile.count_check(*_orders_copy(spark, sf_dir))
+
+
+_BLOCKS = """WITH r AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, greatest(1, CAST(ceil((max(o_orderkey) - min(o_orderkey)) / 50.0) AS BIGINT)) AS step FROM orders),
+b AS (SELECT CAST(unnest(generate_series(0, (hi - lo) // step)) AS BIGINT) AS block_index, lo, step FROM r),
+c AS (SELECT (o_orderkey - lo) // step AS block_index, count(*) AS s, count(*) FILTER (o_orderkey % 97 <> 0) AS t FROM orders, r GROUP BY 1),
+x AS (SELECT b.block_index, lo + b.block_index * step AS lower, lo + b.block_index * step + step AS upper, coalesce(s, 0) AS source_rows, coalesce(t, 0) AS target_rows FROM b LEFT JOIN c USING (block_index))
+"""
+
+
+def _step(source: DataFrame) -> int:
+    low, high, _ = reconcile.key_range(source, "o_orderkey").first()
+    return max(1, -(-(high - low) // 50))
+
+
+@query(_BLOCKS + "SELECT *, target_rows - source_rows AS difference, target_rows = source_rows AS matched FROM x")
+def q_key_range_blocks(spark, sf_dir):
+    source, target = _orders_copy(spark, sf_dir)
+    return reconcile.key_range_blocks(source, target, "o_orderkey", _step(source))
+
+
+@query(_BLOCKS + "SELECT count(*) AS total_blocks, count(*) FILTER (source_rows = target_rows) AS matched_blocks, (SELECT count(*) FROM orders) AS source_rows, CAST(sum(target_rows) AS BIGINT) AS target_rows, CAST(0 AS BIGINT) AS target_outside, bool_and(source_rows = target_rows) AS matched FROM x")
+def q_block_verdict(spark, sf_dir):
+    source, target = _orders_copy(spark, sf_dir)
+    return reconcile.block_verdict(source, target, "o_orderkey", _step(source))
+
+
+def _group(spark, sf_dir):
+    orders, part = _orders_copy(spark, sf_dir)
+    c = _t(spark, sf_dir, "customer")
+    return reconcile.group_check({"orders": (orders, part), "customer": (c, c), "lost": (None, c)})
+
+
+@query(
+    """SELECT 'orders' AS table_name, count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 <> 0) - count(*) AS difference, 'MISMATCHED' AS status FROM orders
+UNION ALL SELECT 'customer', count(*), count(*), 0, 'MATCHED' FROM customer UNION ALL SELECT 'lost', NULL, NULL, NULL, 'FAILED'"""
+)
+def q_group_check(spark, sf_dir):
+    return _group(spark, sf_dir)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS matched, CAST(count(*) FILTER (n) AS BIGINT) AS mismatched, CAST(1 AS BIGINT) AS failed FROM (SELECT count(*) FILTER (o_orderkey % 97 = 0) > 0 AS n FROM orders)")
+def q_group_check_summary(spark, sf_dir):
+    return reconcile.group_summary(_group(spark, sf_dir))
+
+
+# --- delivery guards
+
+
+def _sized(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.concat_ws(".", F.lit("raw"), "source").alias("raw_topic"), F.col("doc_id").alias("seq"), F.lit(0).alias("sub"), F.to_json(F.struct("doc_id")).alias("key"), F.col("text").alias("value"))
+    return guards.with_size_reason(docs, 16_000, 12_000)
+
+
+_SIZED = """WITH s AS (SELECT 'raw.' || source AS raw_topic, doc_id AS seq, octet_length(encode('{"doc_id":' || CAST(doc_id AS VARCHAR) || '}')) + coalesce(octet_length(encode(text)), 0) + 128 AS record_bytes FROM documents),
+b AS (SELECT raw_topic, min(seq) AS first_bad, arg_min(record_bytes, seq) AS bytes FROM s WHERE record_bytes > 12000 GROUP BY 1)
+"""
+
+
+@query(_SIZED + "SELECT raw_topic, seq, CAST(record_bytes AS BIGINT) AS record_bytes, record_bytes > 12000 AS refused FROM s")
+def q_size_guard(spark, sf_dir):
+    return _sized(spark, sf_dir).select("raw_topic", "seq", F.col("record_bytes").cast("long"), F.col("size_reason").isNotNull().alias("refused"))
+
+
+@query(_SIZED + "SELECT s.raw_topic, seq, FALSE AS held, CAST(NULL AS BIGINT) AS first_bad FROM s LEFT JOIN b USING (raw_topic) WHERE first_bad IS NULL OR seq < first_bad UNION ALL SELECT s.raw_topic, seq, TRUE, first_bad FROM s JOIN b USING (raw_topic) WHERE seq >= first_bad")
+def q_publish_prefix(spark, sf_dir):
+    goes, held = guards.publish_prefix(_sized(spark, sf_dir), "size_reason")
+    return goes.select("raw_topic", "seq", F.lit(False).alias("held"), F.lit(None).cast("long").alias("first_bad")).unionByName(held.select("raw_topic", "seq", F.lit(True).alias("held"), "first_bad"))
+
+
+@query("SELECT c_mktsegment AS table_name, CAST(least(2 * sum(c_custkey) + 320 * count(*) + 512, 4294967296) AS BIGINT) AS raw_bytes, CAST(least(2 * sum(CASE WHEN c_nationkey % 2 = 0 THEN c_custkey ELSE 0 END) + 512, 4294967296) AS BIGINT) AS event_bytes, CAST(sum(CASE WHEN c_custkey > 1048576 THEN 1 ELSE 0 END) AS BIGINT) AS large_columns FROM customer GROUP BY 1")
+def q_worst_case_size(spark, sf_dir):
+    cols = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("table_name"), F.col("c_name").alias("column_name"), F.col("c_custkey").alias("value_bytes"), "c_nationkey")
+    return guards.worst_case_sizes(cols, F.col("c_nationkey") % 2 == 0)
+
+
+def _holed(spark, sf_dir):
+    return _t(spark, sf_dir, "events").where("event_id % 97 <> 0").select(F.concat(F.lit("t"), F.col("user_id") % 5).alias("raw_topic"), F.col("event_id").alias("offset"))
+
+
+@query("SELECT * FROM (SELECT 't' AS raw_topic, lag(event_id) OVER (ORDER BY event_id) AS after_offset, event_id - lag(event_id) OVER (ORDER BY event_id) - 1 AS missing FROM events WHERE event_id % 97 <> 0) WHERE missing > 0")
+def q_offset_gaps(spark, sf_dir):
+    return guards.holes(_holed(spark, sf_dir).withColumn("raw_topic", F.lit("t")), 1024)
+
+
+_ENDS = "WITH e AS (SELECT 't' || CAST(user_id % 5 AS VARCHAR) AS raw_topic, min(event_id) AS b, max(event_id) + 1 AS n FROM events WHERE event_id % 97 <> 0 GROUP BY 1), p AS (SELECT raw_topic, CASE raw_topic WHEN 't0' THEN n - 10 WHEN 't1' THEN NULL WHEN 't2' THEN n + 5 ELSE b END AS position, raw_topic = 't1' AS fresh FROM e)"
+
+
+def _positions(spark, sf_dir):
+    ends = _holed(spark, sf_dir).groupBy("raw_topic").agg(F.min("offset").alias("b"), (F.max("offset") + 1).alias("n"))
+    t = F.col("raw_topic")
+    position = F.when(t == "t0", F.col("n") - 10).when(t == "t1", None).when(t == "t2", F.col("n") + 5).otherwise(F.col("b"))
+    return ends.select("raw_topic", position.alias("position"), (t == "t1").alias("fresh"), F.col("n").alias("end_offset"))
+
+
+@query(
+    _ENDS
+    + """SELECT raw_topic, b AS begin_offset, n AS end_offset, position, CASE WHEN position BETWEEN b AND n THEN 'RESUME' WHEN position IS NULL AND b = 0 THEN 'START' WHEN fresh THEN 'BEGIN' ELSE 'GAP' END AS action,
+CASE WHEN position BETWEEN b AND n THEN position WHEN position IS NULL AND b = 0 THEN 0 WHEN fresh THEN b END AS start, CASE WHEN position > n THEN position - n WHEN position < b THEN b - position ELSE 0 END AS missing FROM e JOIN p USING (raw_topic)"""
+)
+def q_position_check(spark, sf_dir):
+    return guards.position_check(_holed(spark, sf_dir), _positions(spark, sf_dir).drop("end_offset"))
+
+
+@query(_ENDS + "SELECT raw_topic, greatest(0, n - coalesce(position, 0)) AS backlog, greatest(0, n - coalesce(position, 0)) + CASE WHEN fresh THEN 7 ELSE 0 END AS effective_backlog FROM e JOIN p USING (raw_topic)")
+def q_backlog(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return guards.backlog(p.select("raw_topic", "end_offset"), p.select("raw_topic", "position", F.col("fresh").alias("stopped"), F.lit(7).cast("long").alias("raw_backlog")))
+
+
+@query(LOG + "SELECT 'raw.events' AS raw_topic, count(*) AS delivered, max(seq) AS last_seq, arg_max(event_ms, seq * 2 + sub) AS last_event_ms, CAST(1500 AS BIGINT) AS lag_ms FROM ev")
+def q_publish_stats_lag(spark, sf_dir):
+    return guards.delivery_stats(_events(spark, sf_dir), F.col("event_ms") + 1500)
+
+
+# --- schemas: parts stand for columns, 40 tables of them
+
+
+def _columns(spark, sf_dir, now: bool):
+    p = _t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    kinds = F.array(*[F.lit(x) for x in ("int", "varchar", "datetime", "blob", "tinyint", "decimal", "point", "json")])
+    base = F.element_at(kinds, (k % 8 + 1).cast("int"))
+    changed = (k % 40) % 4 == 1
+    kind = F.when(changed & (k % 13 == 0), F.lit("text")).otherwise(base) if now else base
+    keep = ~(changed & (k % 11 == 0)) if now else ~((k % 40) % 4 == 2) | (k % 17 != 0)
+    return p.where(keep).select(
+        F.concat(F.lit("tbl_"), k % 40).alias("table_name"), F.concat(F.lit("C"), k).alias("column_name"), k.alias("position"), kind.alias("type_name"), (k % 8).cast("int").alias("jdbc_type"),
+        F.col("p_size").alias("size"), F.lit(0).alias("scale"), ((k % 40) % 4 != 2).__or__(k % 2 == 0).alias("nullable"), F.when(k % 3 == 0, F.lit("0")).alias("default_value"),
+    )
+
+
+def _keys(spark, sf_dir, now: bool):
+    k = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part").where(k <= 120)
+    seq = F.when(F.lit(now) & ((k % 40) % 4 == 3), -k).otherwise(k)
+    return p.select(F.concat(F.lit("tbl_"), k % 40).alias("table_name"), F.lit("PRIMARY").alias("index_name"), seq.alias("key_seq"), F.concat(F.lit("C"), k).alias("column_name"), F.lit(True).alias("is_primary"))
+
+
+_META = """WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS t, (p_partkey % 40) % 4 AS m, p_size AS size, ['int', 'varchar', 'datetime', 'blob', 'tinyint', 'decimal', 'point', 'json'][p_partkey % 8 + 1] AS kind, ((p_partkey % 40) % 4 <> 2 OR p_partkey % 2 = 0) AS nullable FROM part),
+b AS (SELECT *, kind AS type FROM p WHERE NOT (m = 2) OR k % 17 <> 0), n AS (SELECT *, CASE WHEN m = 1 AND k % 13 = 0 THEN 'text' ELSE kind END AS type FROM p WHERE NOT (m = 1 AND k % 11 = 0)),
+j AS (SELECT coalesce(b.t, n.t) AS t, coalesce(b.m, n.m) AS m, b.k AS bk, n.k AS nk, b.type AS bt, n.type AS nt, n.nullable AS nn, coalesce(b.k, n.k) AS k FROM b FULL JOIN n ON b.k = n.k),
+g AS (SELECT t, m, bool_or(bk IS NULL) AS added, bool_or(nk IS NULL) AS gone, bool_or(bk IS NOT NULL AND nk IS NOT NULL AND bt <> nt) AS altered, bool_or(bk IS NULL AND NOT nn) AS added_required, m = 3 AND count(*) FILTER (k <= 120) > 1 AS rekeyed FROM j GROUP BY t, m)
+"""
+
+
+@query(
+    _META
+    + """SELECT 'tbl_' || t AS table_name, nullif(concat_ws(',', CASE WHEN added THEN 'ADD_COLUMN' END, CASE WHEN gone THEN 'DROP_COLUMN' END, CASE WHEN altered THEN 'ALTER_COLUMN' END, CASE WHEN rekeyed THEN 'KEY_CHANGED' END), '') AS change_type,
+CASE WHEN NOT (added OR gone OR altered OR rekeyed) THEN NULL WHEN added AND NOT (gone OR altered OR rekeyed OR added_required) THEN 'LOW' ELSE 'HIGH' END AS risk_level FROM g"""
+)
+def q_schema_drift(spark, sf_dir):
+    return schema.drift(_columns(spark, sf_dir, False), _keys(spark, sf_dir, False), _columns(spark, sf_dir, True), _keys(spark, sf_dir, True))
+
+
+@query(_META + "SELECT 'tbl_' || t AS table_name, NOT (added OR gone OR altered OR rekeyed) AS same FROM g")
+def q_schema_hash(spark, sf_dir):
+    a, b = (schema.snapshots(_columns(spark, sf_dir, n), _keys(spark, sf_dir, n)) for n in (False, True))
+    return a.join(b.select("table_name", F.col("hash").alias("h")), "table_name").select("table_name", (F.col("hash") == F.col("h")).alias("same"))
+
+
+@query(_META + "SELECT 'tbl_' || t AS table_name, count(*) FILTER (bk IS NULL) AS added, count(*) FILTER (nk IS NULL) AS removed, count(*) FILTER (bk IS NOT NULL AND nk IS NOT NULL) AS common FROM j GROUP BY 1")
+def q_column_sets(spark, sf_dir):
+    s = schema.column_sets(_columns(spark, sf_dir, False), _columns(spark, sf_dir, True))
+    return s.select("table_name", *[F.size(c).cast("long").alias(c) for c in ("added", "removed", "common")])
+
+
+_FAMILY = "CASE WHEN {0} IN ('int', 'tinyint', 'decimal', 'point') THEN 'numeric' WHEN {0} IN ('varchar', 'text', 'json') THEN 'string' WHEN {0} = 'datetime' THEN 'temporal' ELSE 'binary' END"
+
+
+@query(_META + f"SELECT 'C' || k AS column_name, type AS type_name, {_FAMILY.format('type')} AS family FROM n")
+def q_type_family(spark, sf_dir):
+    return _columns(spark, sf_dir, True).select("column_name", "type_name", schema.type_family(F.col("type_name"), F.col("jdbc_type")).alias("family"))
+
+
+@query(
+    _META
+    + f""", c AS (SELECT t, m, string_agg('c' || bk, ',' ORDER BY 'c' || bk) FILTER (nk IS NULL) AS missing, string_agg('c' || bk, ',' ORDER BY 'c' || bk) FILTER (bk IS NOT NULL AND nk IS NOT NULL AND {_FAMILY.format('bt')} <> {_FAMILY.format('nt')}) AS incompatible,
+string_agg('c' || nk, ',' ORDER BY 'c' || nk) FILTER (bk IS NULL AND NOT nn AND nk % 3 <> 0) AS extra_required FROM j GROUP BY t, m), r AS (SELECT t, rekeyed FROM g)
+SELECT 'tbl_' || t AS table_name, coalesce(missing, '') AS missing, coalesce(incompatible, '') AS incompatible, coalesce(extra_required, '') AS extra_required, NOT rekeyed AS keys_equal,
+missing IS NULL AND incompatible IS NULL AND extra_required IS NULL AND NOT rekeyed AS compatible FROM c JOIN r USING (t)"""
+)
+def q_target_compat(spark, sf_dir):
+    keys = [schema.key_candidates(_columns(spark, sf_dir, n).withColumn("nullable", F.lit(False)), _keys(spark, sf_dir, n)).where("rank = 1") for n in (False, True)]
+    # a key column that was dropped stays listed in the key, as it does in the database's own catalog
+    return schema.target_compatibility(_columns(spark, sf_dir, False), _columns(spark, sf_dir, True), *keys, "FULL_CDC").select("table_name", "missing", "incompatible", "extra_required", "keys_equal", "compatible")
+
+
+@query("SELECT table_name, row_number() OVER (ORDER BY table_name) <= 10 AS taken FROM (SELECT DISTINCT 'T_' || p_brand AS table_name FROM part) WHERE lower(table_name) NOT IN (SELECT DISTINCT lower('T_' || p_brand) FROM part WHERE p_size <= 1)")
+def q_new_tables(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    name = F.concat(F.lit("T_"), "p_brand").alias("table_name")
+    return schema.new_tables(p.select(name).distinct(), p.where("p_size <= 1").select(F.lower(name).alias("table_name")).distinct(), 10)
+
+
+# --- run metrics: events are samples, users their owners
+
+
+def _samples(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("sampled_at"), F.col("event_type").alias("status"), F.floor(F.col("value") * 100).cast("long").alias("amount"))
+
+
+_S = "WITH s AS (SELECT event_id AS sample_id, user_id AS owner_id, ts AS sampled_at, event_type AS status, CAST(floor(value * 100) AS BIGINT) AS amount FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY sampled_at, sample_id) AS rn, count(*) OVER (PARTITION BY owner_id) AS n FROM s)"
+
+
+@query(_S + "SELECT owner_id, sample_id, status, amount FROM r WHERE rn = n")
+def q_latest_per_owner(spark, sf_dir):
+    return metrics.latest_per_owner(_samples(spark, sf_dir)).select("owner_id", "sample_id", "status", "amount")
+
+
+@query(_S + "SELECT sample_id, owner_id FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY sampled_at, sample_id) AS p FROM s WHERE sampled_at >= (SELECT max(ts) FROM events) - INTERVAL 1440 MINUTE) WHERE p <= 20")
+def q_series_window(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return metrics.series_window(s, F.lit(s.agg(F.max("sampled_at")).first()[0]), 100_000, 5).select("sample_id", "owner_id")
+
+
+@query(_S + "SELECT sample_id, owner_id FROM r WHERE n <= 10 OR (rn - 1) % CAST(ceil(n / 10.0) AS BIGINT) = 0 OR rn = n")
+def q_thin(spark, sf_dir):
+    return metrics.thinned(_samples(spark, sf_dir), 10).select("sample_id", "owner_id")
+
+
+@query(_S + ", a AS (SELECT *, CASE WHEN status IN ('error', 'purchase') THEN status END AS due FROM s), l AS (SELECT *, lag(due) OVER (PARTITION BY owner_id ORDER BY sampled_at, sample_id) AS was FROM a) SELECT sample_id, owner_id, status FROM l WHERE due IS NOT NULL AND due IS DISTINCT FROM was")
+def q_alert_transitions(spark, sf_dir):
+    return metrics.alert_transitions(_samples(spark, sf_dir), F.col("status").isin("error", "purchase")).select("sample_id", "owner_id", "status")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN greatest(0, CAST(floor(value * 100) AS BIGINT) - 500) END AS backlog, CASE WHEN event_id % 5 <> 0 THEN (event_id % 9000) // 1000 END AS lag FROM events")
+def q_sample_backlog_lag(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    i = F.col("event_id")
+    got = F.when(i % 7 == 0, F.lit("n/a")).otherwise(F.floor(F.col("value") * 100).cast("long").cast("string"))
+    commit = F.when(i % 5 == 0, -i - 1).otherwise(i % 9000)
+    b, lag = metrics.sample_figures(got, F.lit(500), F.lit(0), commit)
+    return e.select("event_id", b.alias("backlog"), lag.alias("lag"))
+
+
+_STATUS = "CASE o_orderkey % 9 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PAUSED' WHEN 3 THEN '' WHEN 4 THEN 'FINISHED' WHEN 5 THEN 'DDL_BLOCKED' WHEN 6 THEN 'PAUSING' WHEN 7 THEN 'STOPPED' ELSE NULL END"
+
+
+def _jobs(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    names = F.array(*[F.lit(x) for x in ("RUNNING", "FAILED", "PAUSED", "", "FINISHED", "DDL_BLOCKED", "PAUSING", "STOPPED", None)])
+    k = F.col("o_orderkey")
+    return o.select(k.alias("job_id"), F.col("o_custkey").alias("group_id"), F.element_at(names, (k % 9 + 1).cast("int")).alias("status"), (k % 100).alias("checked_rows"), (k % 37).alias("lag"), F.when(k % 3 == 0, k % 10).alias("target_id"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (s = 'RUNNING') AS running, count(*) FILTER (s IN ('FAILED', 'REINITIALIZE_REQUIRED', 'DDL_BLOCKED')) AS failed, CAST(sum(k % 100) AS BIGINT) AS checked_rows, CAST(round(avg(CASE WHEN k % 2 = 0 THEN k % 37 END)) AS BIGINT) AS avg_lag FROM (SELECT o_orderkey AS k, {_STATUS} AS s FROM orders)")
+def q_overview(spark, sf_dir):
+    j = _jobs(spark, sf_dir)
+    return metrics.overview(j.where("job_id % 2 = 0"), j.where("job_id % 2 = 1"))
+
+
+@query(f"SELECT coalesce(nullif(s, ''), 'DRAFT') AS status, count(*) AS jobs FROM (SELECT {_STATUS} AS s FROM orders) GROUP BY 1")
+def q_counts_by_status(spark, sf_dir):
+    return metrics.counts_by_status(_jobs(spark, sf_dir))
+
+
+_TARGET = f"WITH j AS (SELECT o_orderkey AS job_id, {_STATUS} AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 ELSE (o_custkey + 1) % 10 END AS t FROM orders), k AS (SELECT j.*, n_name AS target_type FROM j LEFT JOIN nation ON n_nationkey = t)"
+
+
+def _typed(spark, sf_dir):
+    groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), ((F.col("c_custkey") + 1) % 10).alias("target_id"))
+    sources = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("data_source_id"), F.col("n_name").alias("target_type"))
+    return reports.with_target_type(_jobs(spark, sf_dir), groups, sources)
+
+
+@query(_TARGET.replace("(o_custkey + 1) % 10", "(SELECT (c_custkey + 1) % 10 FROM customer WHERE c_custkey = o_custkey)") + "SELECT target_type, count(*) AS jobs, count(*) FILTER (s = 'RUNNING') AS running FROM k GROUP BY 1")
+def q_counts_by_target(spark, sf_dir):
+    return metrics.counts_by_target(_typed(spark, sf_dir))
+
+
+@query(
+    f"""WITH i AS (SELECT o_custkey AS g, {_STATUS} AS s FROM orders), a AS (SELECT g, bool_or(s IN ('FAILED', 'REINITIALIZE_REQUIRED', 'DDL_BLOCKED')) AS bad, bool_or(s = 'RUNNING') AS run, bool_or(s = 'PAUSING') AS pausing, bool_and(s = 'PAUSED') AS paused, bool_and(s IN ('STOPPED', 'FINISHED')) AS stopped FROM i GROUP BY g)
+SELECT c_custkey AS group_id, CASE WHEN bad AND run THEN 'DEGRADED' WHEN bad THEN 'FAILED' WHEN run THEN 'RUNNING' WHEN pausing THEN 'PAUSING' WHEN paused THEN 'PAUSED' WHEN stopped THEN 'STOPPED' ELSE 'DRAFT' END AS status FROM customer LEFT JOIN a ON g = c_custkey"""
+)
+def q_group_status(spark, sf_dir):
+    return metrics.group_status(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id")), _jobs(spark, sf_dir).select("group_id", "status"))
+
+
+@query("SELECT 'log-' || o_orderkey AS topic_name, CASE WHEN c_custkey IS NULL THEN 'OWNER_GONE' WHEN o_orderkey % 3 <> c_custkey % 3 THEN 'OTHER_TARGET' ELSE 'OTHER_VERSION' END AS reason, o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 24 HOUR AS due FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_orderkey % 3 <> c_custkey % 3 OR o_orderkey % 2 <> c_custkey % 2")
+def q_retention_audit(spark, sf_dir):
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    registry = o.select(F.concat(F.lit("log-"), "o_orderkey").alias("topic_name"), F.col("o_custkey").alias("owner_id"), (F.col("o_orderkey") % 3).alias("data_source_id"), (F.col("o_orderkey") % 2).alias("config_version"), F.col("o_orderdate").cast("timestamp").alias("retired_time"))
+    owners = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("owner_id"), (F.col("c_custkey") % 3).alias("data_source_id"), (F.col("c_custkey") % 2).alias("config_version"))
+    return reports.retention_audit(registry, owners, F.lit("1998-01-01").cast("timestamp"), 24)
+
+
+@query("SELECT o_orderkey AS checkpoint_id FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 1 HOUR AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) AND o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def q_orphans(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("checkpoint_id"), F.col("o_orderdate").cast("timestamp").alias("modified_at"))
+    tasks = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("checkpoint_id"))
+    return reports.unreferenced(o, tasks, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("checkpoint_id")), F.lit("1998-01-01").cast("timestamp"), 1)
+
+
+# --- protection, scope and labels
+
+
+@query("SELECT c_custkey, left(c_name, 1) || repeat('*', length(c_name) - 1) AS name, CASE WHEN length(c_name) <= 7 THEN repeat('*', length(c_name)) ELSE left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) END AS phone, CASE WHEN length(c_mktsegment) <= 4 THEN repeat('*', length(c_mktsegment)) WHEN length(c_mktsegment) <= 8 THEN left(c_mktsegment, 4) || repeat('*', length(c_mktsegment) - 4) ELSE left(c_mktsegment, 4) || '****' || right(c_mktsegment, 4) END AS segment, CASE WHEN length(c_mktsegment) <= 4 THEN repeat('*', length(c_mktsegment)) WHEN length(c_mktsegment) <= 8 THEN left(c_mktsegment, length(c_mktsegment) - 4) || '****' ELSE left(c_mktsegment, 4) || repeat('*', length(c_mktsegment) - 8) || right(c_mktsegment, 4) END AS secret FROM customer")
+def q_masking(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    m = lambda col, s, n: masking.masked(F.col(col), s).alias(n)
+    return c.select("c_custkey", m("c_name", "NAME", "name"), m("c_name", "PHONE", "phone"), m("c_mktsegment", "STRING", "segment"), m("c_mktsegment", "HIGH_SECURITY", "secret"))
+
+
+def _depts(spark, sf_dir):
+    c = F.col("c_custkey")
+    return _t(spark, sf_dir, "customer").select(c.alias("dept_id"), F.concat_ws(",", F.lit("0"), F.when(c > 10, (c % 10 + 1).cast("string")), F.when(c > 100, (c % 90 + 11).cast("string"))).alias("ancestors"))
+
+
+_DEPTS = "WITH d AS (SELECT c_custkey AS dept_id, string_split(concat_ws(',', '0', CASE WHEN c_custkey > 10 THEN CAST(c_custkey % 10 + 1 AS VARCHAR) END, CASE WHEN c_custkey > 100 THEN CAST(c_custkey % 90 + 11 AS VARCHAR) END), ',') AS a FROM customer)"
+
+
+@query(_DEPTS + "SELECT r.dept_id AS root_id, d.dept_id FROM d r JOIN d ON d.dept_id = r.dept_id OR list_contains(d.a, CAST(r.dept_id AS VARCHAR)) WHERE r.dept_id <= 20")
+def q_descendants(spark, sf_dir):
+    d = _depts(spark, sf_dir)
+    return scope.descendants(d, d.where("dept_id <= 20").select(F.col("dept_id").alias("root_id")))
+
+
+@query(_DEPTS + "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT dept_id FROM d WHERE dept_id = 3 OR list_contains(a, '3')) OR o_custkey IN (5, 6) OR o_orderkey = 77")
+def q_row_scope(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("dept_id"), F.col("o_orderkey").alias("owner_id"))
+    scopes = [{"kind": "DEPT_AND_CHILDREN_OR_SELF", "depts": [3]}, {"kind": "CUSTOM", "depts": [5, 6]}]
+    return scope.visible_rows(rows, scopes, _depts(spark, sf_dir), 77).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, concat_ws(',', (SELECT n_name FROM nation WHERE n_nationkey = o_orderkey % 30), (SELECT n_name FROM nation WHERE n_nationkey = o_custkey % 30)) AS labels FROM orders WHERE o_orderkey % 30 < 25 OR o_custkey % 30 < 25 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 30 >= 25 AND o_custkey % 30 >= 25")
+def q_dict_labels(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    d = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"))
+    codes = F.concat_ws(",", (F.col("o_orderkey") % 30).cast("string"), (F.col("o_custkey") % 30).cast("string"))
+    return scope.with_labels(o, ["o_orderkey"], codes, d, "labels").select("o_orderkey", "labels")
+
+
+# --- relational verbs
+
+
+def _sql(name: str, spark_sql: str, duck: str | None = None):
+    """A plain query that both engines run; the tables are those of sf_dir."""
+
+    def run(spark, sf_dir):
+        q = spark_sql
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            q = q.replace("{" + t + "}", f"parquet.`{sf_dir}/{t}.parquet`")
+        return spark.sql(q)
+
+    run.__name__ = name
+    plain = duck or spark_sql
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        plain = plain.replace("{" + t + "}", t)
+    query(plain)(run)
+
+
+_sql("q_left_join_chain", "SELECT o.o_orderkey, c.c_name, n.n_name, r.r_name FROM {orders} o LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey LEFT JOIN {region} r ON r.r_regionkey = n.n_regionkey AND r.r_regionkey < 3")
+_sql("q_self_join", "SELECT a.n_name AS nation, min(b.n_name) AS first_neighbour, count(b.n_name) AS neighbours FROM {nation} a LEFT JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_name")
+_sql("q_exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
+_sql("q_in_subquery", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal > 5000)")
+_sql("q_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL)")
+_sql("q_scalar_sub", "SELECT c.c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n_orders FROM {customer} c WHERE c.c_acctbal = (SELECT max(c_acctbal) FROM {customer}) OR c.c_custkey % 10 = 0")
+_sql("q_having", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order, round(avg(o_orderkey), 3) AS mean_key, sum(o_orderkey) AS sum_key FROM {orders} GROUP BY o_custkey HAVING count(*) > 8", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order, round(avg(o_orderkey), 3) AS mean_key, CAST(sum(o_orderkey) AS BIGINT) AS sum_key FROM {orders} GROUP BY o_custkey HAVING count(*) > 8")
+_sql("q_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(*) AS orders FROM {orders} GROUP BY o_orderstatus")
+_sql("q_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
+_sql("q_find_in_set", "SELECT c_custkey, find_in_set(cast(c_nationkey AS string), '1,5,9,13') AS place FROM {customer} WHERE find_in_set(cast(c_nationkey AS string), '1,5,9,13') > 0", "SELECT c_custkey, CAST(list_position(['1', '5', '9', '13'], CAST(c_nationkey AS VARCHAR)) AS INTEGER) AS place FROM {customer} WHERE c_nationkey IN (1, 5, 9, 13)")
+_sql("q_page", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey DESC, o_orderkey ASC LIMIT 20 OFFSET 40")
+_sql("q_list_filter", "SELECT c_custkey, c_name FROM {customer} WHERE c_name LIKE '%1%' AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 8000 AND NOT c_name LIKE '%9'")
+_sql("q_union_bag", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
+_sql("q_union_set", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
+_sql("q_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier} WHERE s_suppkey % 3 = 0")
+
+
+@query("SELECT l_orderkey % 50 AS shard, CAST(sum(l_linenumber) AS BIGINT) AS part FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, CAST(sum(l_linenumber) AS BIGINT) FROM lineitem")
+def q_split_and_sum(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")
+    shards = l.groupBy((F.col("l_orderkey") % 50).alias("shard")).agg(F.sum("l_linenumber").alias("part"))
+    return shards.unionByName(l.agg(F.lit(None).cast("long").alias("shard"), F.sum("l_linenumber").alias("part")))
+
+
+# --- decoding and functions
+
+
+def _envelopes(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    i = F.col("event_id")
+    row = lambda up: F.struct(i.alias("id"), (i % 2).cast("int").alias("flag"), (F.floor(F.col("value") * 100).cast("long") + up).alias("at"), ((i * 7919) % 200_000_000 - 80_000_000).alias("t"), (i % 20000).cast("int").alias("day"))
+    op = F.element_at(F.array(*[F.lit(x) for x in "rcud"]), (i % 4 + 1).cast("int"))
+    payload = F.struct(
+        F.when(op.isin("u", "d"), row(0)).alias("before"), F.when(op != "d", row(1)).alias("after"), op.alias("op"), F.struct(F.lit("app").alias("db"), F.lit("t").alias("table"), (i % 3).alias("ts_ms")).alias("source"), (i + 5).alias("ts_ms")
+    )
+    body = F.to_json(payload, {"ignoreNullFields": "false"})
+    value = F.when(i % 5 == 0, F.to_json(row(1))).when(i % 5 == 1, body).otherwise(F.concat(F.lit('{"schema":{"type":"struct"},"payload":'), body, F.lit("}")))
+    return e.select(F.lit("raw").alias("raw_topic"), i.alias("offset"), F.when(i % 11 != 0, value).alias("value"))
+
+
+FIELDS = [decode.Field("id", "int"), decode.Field("flag", "bool"), decode.Field("at", "micros"), decode.Field("t", "time_ms"), decode.Field("day", "date")]
+
+
+@query(
+    """WITH e AS (SELECT event_id AS i, ['r', 'c', 'u', 'd'][event_id % 4 + 1] AS o, event_id % 5 = 0 AS plain, (event_id * 7919) % 200000000 - 80000000 AS t FROM events WHERE event_id % 11 <> 0)
+SELECT i AS "offset", CASE WHEN plain THEN 'r' ELSE o END AS op, plain, CASE WHEN plain THEN NULL WHEN i % 3 > 0 THEN i % 3 ELSE i + 5 END AS ts_ms, CASE WHEN plain OR o <> 'd' THEN i % 2 = 1 END AS flag, CASE WHEN plain OR o <> 'd' THEN CAST(DATE '1970-01-01' + CAST(i % 20000 AS INTEGER) AS VARCHAR) END AS day,
+CASE WHEN plain OR o <> 'd' THEN CASE WHEN t < 0 THEN '-' ELSE '' END || lpad(CAST(abs(t) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 1000 % 60 AS VARCHAR), 2, '0') || CASE WHEN abs(t) % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(abs(t) % 1000 AS VARCHAR), 3, '0'), '0') END END AS t,
+CASE WHEN NOT plain AND o IN ('u', 'd') THEN i END AS before_id FROM e"""
+)
+def q_decode_types(spark, sf_dir):
+    d = decode.decode_log(_envelopes(spark, sf_dir), FIELDS)
+    return d.select("offset", "op", "plain", "ts_ms", "after.flag", F.col("after.day").cast("string").alias("day"), "after.t", F.col("before.id").alias("before_id"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000 + 8 * 3600000 AS BIGINT) AS shanghai_ms, CAST(8 AS DOUBLE) AS shift FROM events")
+def q_zone_shift(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(ms), "Asia/Shanghai")).alias("shanghai_ms"), text.zone_shift_hours(ms, "Asia/Shanghai").alias("shift"))
+
+
+@query("SELECT p_partkey, left(regexp_replace('db ' || p_brand || '_' || p_name, '[^A-Za-z0-9._-]', '_', 'g'), 249) AS topic, sha256(p_name) AS hash, CAST(ceil(p_size / 3.0) * 4 AS BIGINT) AS base64_bytes FROM part")
+def q_names_and_hashes(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", text.default_target_name(F.concat(F.lit("db "), "p_brand"), F.col("p_name")).alias("topic"), F.sha2("p_name", 256).alias("hash"), text.base64_length(F.col("p_size")).cast("long").alias("base64_bytes"))
+
+
+# --- streams, run to their end over the given data
+
+
+def _stream(spark, frame: DataFrame, name: str, out):
+    """frame, written in a few files to the shared folder, read as a stream through out; the result is read when all is processed."""
+    from .sources.shared import materialised, shared_path
+
+    source = materialised(frame, name)
+    path = "/".join(source.inputFiles()[0].split("/")[:-1])
+    target, checkpoint = shared_path(spark, name), shared_path(spark, name)
+    stream = out(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 4).parquet(path))
+    q = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+@query()
+def stream_split_update_merge(spark, sf_dir):
+    log = events.dense_order(_log(spark, sf_dir)).withColumn("offset", F.col("seq")).drop("seq")
+    records = jobs.keyed_records(jobs.moved_apart(log, testlog.KEYS), testlog.KEYS)
+    return _stream(spark, records.repartitionByRange(4, "offset"), "merge", jobs.merge_stream)
+
+
+@query()
+def stream_alert_transitions(spark, sf_dir):
+    s = _samples(spark, sf_dir).select("owner_id", "status", "sampled_at")
+    return _stream(spark, s.repartitionByRange(4, "sampled_at"), "alerts", lambda df: jobs.alert_stream(df, ["error", "purchase"]))
