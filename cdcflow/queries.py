@@ -629,7 +629,9 @@ def q_names_and_hashes(spark, sf_dir):
     return p.select("p_partkey", text.default_target_name(F.concat(F.lit("db "), "p_brand"), F.col("p_name")).alias("topic"), F.sha2("p_name", 256).alias("hash"), text.base64_length(F.col("p_size")).cast("long").alias("base64_bytes"))
 
 
-# --- streams, run to their end over the given data
+# --- streams, run over the given data
+
+STATE_PARTITIONS = 8
 
 
 def _stream(spark, frame: DataFrame, name: str, out):
@@ -639,9 +641,14 @@ def _stream(spark, frame: DataFrame, name: str, out):
     source = materialised(frame, name)
     path = "/".join(source.inputFiles()[0].split("/")[:-1])
     target, checkpoint = shared_path(spark, name), shared_path(spark, name)
-    stream = out(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 4).parquet(path))
-    q = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream = out(spark.readStream.schema(frame.schema).parquet(path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), STATE_PARTITIONS)))  # a stream keeps the number that it starts with
+    try:
+        q = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(once=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(stream.schema).parquet(target)
 
 
