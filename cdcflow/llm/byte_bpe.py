@@ -45,13 +45,13 @@ def encoding(vocabulary: str, pattern: str):
 
 
 def _encode(vocabulary: str, pattern: str):
-    """Replaces the column text by ids (unsigned 32-bit integers, little-endian)."""
+    """Replaces the column _text by ids (unsigned 32-bit integers, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary, pattern)
         for batch in batches:
-            others = batch.drop_columns(["text"])
-            for start, texts in in_slices(batch.column("text").to_pylist(), 4_000_000):
+            others = batch.drop_columns(["_text"])
+            for start, texts in in_slices(batch.column("_text").to_pylist(), 4_000_000):
                 ids = [coder.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
                 part = others.slice(start, len(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "ids"])
@@ -102,12 +102,12 @@ def pieces_of(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int =
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, carry: list[str] = [], chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, the columns in carry and ids for every row of docs."""
-    rows = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("_text"))
     kind = docs.select("doc_id", *carry).schema
-    short = rows.where(F.length("text") <= chunk).mapInArrow(_encode(vocabulary, pattern), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", ids binary")
-    long = written(rows.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long")
-    pieces = pieces_of(long.select("uid", "text"), pattern, chunk, overlap)
-    coded = pieces.repartition("uid", "piece").mapInArrow(_encode(vocabulary, pattern), "uid long, piece int, ids binary")
+    short = rows.where(F.length("_text") <= chunk).mapInArrow(_encode(vocabulary, pattern), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", ids binary")
+    long = written(rows.where(F.length("_text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long")
+    pieces = pieces_of(long.select("uid", F.col("_text").alias("text")), pattern, chunk, overlap)
+    coded = pieces.withColumnRenamed("text", "_text").repartition("uid", "piece").mapInArrow(_encode(vocabulary, pattern), "uid long, piece int, ids binary")
     in_order = F.sort_array(F.collect_list(F.struct("piece", F.hex("ids").alias("ids"))))
     joined = coded.groupBy("uid").agg(F.unhex(F.array_join(F.transform(in_order, lambda p: p["ids"]), "")).alias("ids"))
     return short.unionByName(long.select("uid", "doc_id", *carry).join(joined, "uid").drop("uid"))

@@ -9,7 +9,7 @@ from .common import drop_written, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node that each node of edges reaches. Nodes without edges aren't listed.
+    """node, component: the smallest node that each node of edges reaches. Those smallest nodes themselves, and nodes without edges, aren't listed.
 
     Alternates large-star and small-star steps until the edges stop changing: each step links nodes to the smallest of their neighbours,
     so the rounds grow with the logarithm of the nodes. A step aggregates neighbours to their minimum (with map-side
