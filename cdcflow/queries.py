@@ -607,13 +607,13 @@ FIELDS = [decode.Field("id", "int"), decode.Field("flag", "bool"), decode.Field(
 
 @query(
     """WITH e AS (SELECT event_id AS i, ['r', 'c', 'u', 'd'][event_id % 4 + 1] AS o, event_id % 5 = 0 AS plain, (event_id * 7919) % 200000000 - 80000000 AS t FROM events WHERE event_id % 11 <> 0)
-SELECT i AS "offset", CASE WHEN plain THEN 'r' ELSE o END AS op, plain, CASE WHEN plain THEN NULL WHEN i % 3 > 0 THEN i % 3 ELSE i + 5 END AS ts_ms, CASE WHEN plain OR o <> 'd' THEN i % 2 = 1 END AS flag, CASE WHEN plain OR o <> 'd' THEN CAST(DATE '1970-01-01' + CAST(i % 20000 AS INTEGER) AS VARCHAR) END AS day,
+SELECT i AS "offset", CASE WHEN plain THEN 'r' ELSE o END AS op, plain, CASE WHEN plain THEN NULL WHEN i % 3 > 0 THEN i % 3 ELSE i + 5 END AS ts_ms, CASE WHEN plain OR o <> 'd' THEN CAST(i % 2 = 1 AS VARCHAR) END AS flag, CASE WHEN plain OR o <> 'd' THEN CAST(DATE '1970-01-01' + CAST(i % 20000 AS INTEGER) AS VARCHAR) END AS day,
 CASE WHEN plain OR o <> 'd' THEN CASE WHEN t < 0 THEN '-' ELSE '' END || lpad(CAST(abs(t) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 1000 % 60 AS VARCHAR), 2, '0') || CASE WHEN abs(t) % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(abs(t) % 1000 AS VARCHAR), 3, '0'), '0') END END AS t,
 CASE WHEN NOT plain AND o IN ('u', 'd') THEN i END AS before_id FROM e"""
 )
 def q_decode_types(spark, sf_dir):
     d = decode.decode_log(_envelopes(spark, sf_dir), FIELDS)
-    return d.select("offset", "op", "plain", "ts_ms", "after.flag", F.col("after.day").cast("string").alias("day"), "after.t", F.col("before.id").alias("before_id"))
+    return d.select("offset", "op", "plain", "ts_ms", F.col("after.flag").cast("string").alias("flag"), F.col("after.day").cast("string").alias("day"), "after.t", F.col("before.id").alias("before_id"))
 
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 + 8 * 3600000 AS BIGINT) AS shanghai_ms, CAST(8 AS DOUBLE) AS shift FROM events")
