@@ -10,6 +10,8 @@ work is linear in the rows, and an order is dealt to tasks by range, wherever a
 Candidates whose sizes or sketches (two bits of each minimum hash) rule the similarity out are dropped at once. The rest is confirmed on the full sets, made
 anew from the whole texts, in rounds: first the likeliest candidate of each class, then each group's likeliest link to other groups, then
 all candidates that still lie in different groups; a link inside a group can't change the groups, so none is lost by skipping it.
+Last come the regions, of all trees, with more rows than the neighbours reach and more than one group: every pair there that lies in different groups
+is compared, in blocks of bounded size, so whatever shares LEAST_PREFIX hashes in some tree has been compared or lies in one group.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and stays; fewer than five words count as one shingle; null ids are
 groups of their own that stay, with component_id null; rows that repeat an id are one node with the links of all their texts; an
@@ -37,6 +39,8 @@ PREFIX = 16  # minimum hashes in a tree's sort key, two bytes each
 LEAST_PREFIX = 4
 NEIGHBOURS = 24
 DENSE_NEIGHBOURS = 10
+BLOCK_ROWS = 2048  # of a large region's rows, and of the shingles of their sets, that one side of a comparison of blocks has on average
+BLOCK_SHINGLES = 2_000_000
 SIGMAS = 4.5  # sketches that differ by so many standard deviations more than they should at the least similarity rule a pair out
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers of it have inverses modulo 2 ** 64
@@ -297,6 +301,81 @@ def _grouped(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
+def _starts(mins: np.ndarray) -> np.ndarray:
+    """The first LEAST_PREFIX hashes of each tree's keys as one number. mins: a row of HASHES a class."""
+    out = np.zeros((len(mins), TREES), np.uint64)
+    for i in range(LEAST_PREFIX):
+        out = out << np.uint64(16) | mins[:, (np.arange(TREES) * (HASHES // TREES) + i) % HASHES].astype(np.uint64)
+    return out
+
+
+def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each class and tree: tree, region, id, n, component."""
+    for batch in batches:
+        size = batch.num_rows
+        regions = _starts(np.frombuffer(b"".join(batch.column("mins").to_pylist()), ">u2").reshape(size, HASHES)).view(np.int64)
+        for t in range(TREES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, np.int32)), pa.array(np.ascontiguousarray(regions[:, t])), *(batch.column(c) for c in ("doc_id", "n", "component"))], names=["tree", "region", "id", "n", "component"])
+
+
+def _linked(percent: int):
+    """Links (a, b) between different groups of a block, enough to join all that such links join; a pair that shares the start of an earlier tree is left to that one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = [shingles(t.as_py()) for t in rows["text"]]
+        tree, sides = rows["tree"][0].as_py(), rows["side"].to_numpy()
+        order = np.array([i for i in np.argsort(sides, kind="stable") if len(sets[i])], int)
+        sets, sides = [sets[i] for i in order], sides[order]
+        ids, group = rows["id"].to_numpy()[order], rows["component"].to_numpy()[order].copy()
+        n, out = np.array([len(x) for x in sets], int), []
+        if len(sets):
+            signed = [signature(x) for x in sets]
+            starts = _starts(np.array([m for m, _ in signed]))[:, :tree]
+            sketch = np.frombuffer(b"".join(k for _, k in signed), np.uint64).reshape(len(sets), -1)
+            numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n)[:-1])
+            inside = np.zeros(n.sum(), bool)
+            second = int((sides == 0).sum()) if sides[-1] else None  # where the other side begins
+        for i in range(len(sets) if not len(sets) or second is None else second):
+            there = np.arange(i + 1 if second is None else second, len(sets))
+            there = there[(group[there] != group[i]) & (np.minimum(n[there], n[i]) * 100 >= percent * np.maximum(n[there], n[i]))]
+            bits = sketch[there] ^ sketch[i]
+            there = there[np.bitwise_count((bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1) <= most]
+            there = there[~(starts[there] == starts[i]).any(1)]
+            if not len(there):
+                continue
+            inside[numbers[i]] = True
+            both = np.add.reduceat(inside[np.concatenate([numbers[j] for j in there])].astype(np.int64), np.cumsum(n[there]) - n[there])
+            inside[numbers[i]] = False
+            there = there[100 * both >= percent * (n[i] + n[there] - both)]
+            joined, at = np.unique(group[there], return_index=True)
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in there[at]]
+            if len(joined):
+                group[np.isin(group, joined)] = group[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    most = most_different(percent)
+    return run
+
+
+def dense_links(classes: DataFrame, rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between different groups within the regions that go on for more than NEIGHBOURS rows; written."""
+    placed = classes.select("doc_id", "n", "mins").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = placed.select("doc_id", "n", "mins", "component").mapInArrow(_region_rows, "tree int, region long, id long, n long, component long")
+    sizes = placed.groupBy("tree", "region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = sizes.where((F.col("size") > NEIGHBOURS) & (F.col("low") != F.col("high"))).select("tree", "region", parts.alias("parts"))
+    dense = written(placed.join(mixed, ["tree", "region"]).select("tree", "region", "id", "component", "parts").distinct(), "dense")
+    texts = rows.join(dense.select("id").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    # each part of a region meets itself and each other part
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    met = dense.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("tree", "region", "id", "component", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("last"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    found = met.join(texts, "id").groupBy("tree", "region", "first", "last").applyInArrow(_linked(percent), "a long, b long")
+    links = written(found.distinct(), "links")
+    drop_written(dense)
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; links need 100 * intersection >= percent * union."""
     rows = docs.select("doc_id", "text")
@@ -320,6 +399,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         groups = components(links)
         left = open_pairs.join(chosen, ["a", "b"], "left_anti")
     drop_written(texts)
+    groups = components(links.unionByName(dense_links(classes, rows, groups, percent)))
     same = known.join(classes.select("digest", "n", F.col("doc_id").alias("class_id")), ["digest", "n"], "left").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     placed = same.select("doc_id", "n", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     placed = placed.unionByName(signed.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))

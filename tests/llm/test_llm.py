@@ -216,6 +216,31 @@ def test_near_duplicates_match_brute_force(spark):
         assert got[i]["n_shingles"] == len(sets[i]) and got[i]["component_id"] == find(i) and got[i]["kept"] == (find(i) == i)
 
 
+def family_fixture(rng, rows, pairs, common, own, shared):
+    """Lists of words: a common passage and one of their own; of the first rows, pairs (2 i, 2 i + 1) share the start of theirs."""
+    passage, docs = [f"c{rng.randrange(10**9)}" for _ in range(common)], []
+    for i in range(rows):
+        mine = [f"u{rng.randrange(10**9)}" for _ in range(own)]
+        if i % 2 and i < 2 * pairs:
+            mine[:shared] = docs[-1][common : common + shared]
+        docs.append(passage + mine)
+    return docs
+
+
+def test_near_duplicates_lose_no_single_link_in_a_dense_family(spark, monkeypatch):
+    docs = family_fixture(random.Random(3), 600, 100, 200, 20, 4)
+    sets = [shingle_set(" ".join(x)) for x in docs]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert len(set(group)) == 500
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 150)
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()} == dict(enumerate(group))
+
+
 def test_near_duplicates_odd_inputs(spark):
     odd = near_dedup.near_duplicates(odd_docs(spark)).collect()
     assert len(odd) == len(ODD) * 2 and all(r["kept"] for r in odd if r["doc_id"] is None)
