@@ -634,8 +634,11 @@ def q_names_and_hashes(spark, sf_dir):
 STATE_PARTITIONS = 8
 
 
-def _stream(spark, frame: DataFrame, name: str, out):
-    """frame, written in a few files to the shared folder, read as a stream through out; the result is read when all is processed."""
+def _stream(spark, frame: DataFrame, name: str, out, rest=None):
+    """frame, written in a few files to the shared folder, read as a stream through out; the result is read when all is processed.
+
+    rest(spark, checkpoint): rows that the state still holds then, which are added.
+    """
     from .sources.shared import materialised, shared_path
 
     source = materialised(frame, name)
@@ -649,14 +652,15 @@ def _stream(spark, frame: DataFrame, name: str, out):
         q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.read.schema(stream.schema).parquet(target)
+    result = spark.read.schema(stream.schema).parquet(target)
+    return result.unionByName(rest(spark, checkpoint)) if rest else result
 
 
 @query()
 def stream_split_update_merge(spark, sf_dir):
     log = events.dense_order(_log(spark, sf_dir)).withColumn("offset", F.col("seq")).drop("seq")
     records = jobs.keyed_records(jobs.moved_apart(log, testlog.KEYS), testlog.KEYS)
-    return _stream(spark, records.repartitionByRange(4, "offset"), "merge", jobs.merge_stream)
+    return _stream(spark, records.repartitionByRange(4, "offset"), "merge", jobs.merge_stream, jobs.held_deletes)
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -67,6 +67,12 @@ def merge_stream(records: DataFrame, hold_ms: int = 10_000) -> DataFrame:
     return records.groupBy("raw_topic", "key").applyInPandasWithState(_merge_one(hold_ms), EVENT, _HELD, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def held_deletes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The events of the deletes that a merge_stream of this checkpoint, which has ended, still holds: at the end of input nothing can follow them."""
+    state = spark.read.format("statestore").load(checkpoint).select("key.raw_topic", "key.key", "value.groupState.*").where("offset is not null")
+    return state.select("raw_topic", "offset", F.lit("DELETE").alias("op"), "key", "before", F.col("before").alias("data"), F.col("ts_ms").alias("event_ms"))
+
+
 def moved_apart(log: DataFrame, keys: list[str]) -> DataFrame:
     """Records with each key-changing u replaced by an x (a delete that is never held) of the old key and a c of the new one."""
     moved = (F.col("op") == "u") & (key_text("before", keys) != key_text("after", keys))
