@@ -36,7 +36,8 @@ SHINGLE = 5
 HASHES = 128
 TREES = 16
 PREFIX = 16  # minimum hashes in a tree's sort key, two bytes each
-LEAST_PREFIX = 4
+LEAST_PREFIX = 4  # see least_prefix()
+MISS = 2e-5
 NEIGHBOURS = 24
 DENSE_NEIGHBOURS = 10
 BLOCK_ROWS = 2048  # of a large region's rows, and of the shingles of their sets, that one side of a comparison of blocks has on average
@@ -93,6 +94,11 @@ _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
+def least_prefix(percent: int) -> int:
+    """How many hashes candidates share at least: LEAST_PREFIX, or fewer if a pair at the least similarity would miss that in all trees with a chance above MISS."""
+    return next((p for p in range(LEAST_PREFIX, 1, -1) if (1 - (percent / 100) ** p) ** TREES <= MISS), 1)
+
+
 def _pack(values: np.ndarray) -> np.ndarray:
     return (values.reshape(-1, 4).astype(np.uint8) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
 
@@ -163,10 +169,10 @@ class _Order:
     def pairs(self, fresh: int, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
         """Candidates (a < b, bits that differ) of the rows from fresh on with up to NEIGHBOURS rows before each."""
         tree, key, ids, n, sketch = self.columns
-        most = most_different(percent)
+        most, least = most_different(percent), least_prefix(percent)
         far = np.arange(NEIGHBOURS, len(self))
         dense = np.zeros(len(self), bool)  # has NEIGHBOURS rows of its region before it
-        dense[far] = (tree[far] == tree[far - NEIGHBOURS]) & (key[far, :LEAST_PREFIX] == key[far - NEIGHBOURS, :LEAST_PREFIX]).all(1)
+        dense[far] = (tree[far] == tree[far - NEIGHBOURS]) & (key[far, :least] == key[far - NEIGHBOURS, :least]).all(1)
         for lag in range(1, NEIGHBOURS + 1):
             low = max(fresh, lag)
             if low >= len(self):
@@ -174,7 +180,7 @@ class _Order:
             here = np.arange(low, len(self))
             here = here if lag <= DENSE_NEIGHBOURS else here[~dense[here]]
             there = here - lag
-            keep = (tree[here] == tree[there]) & (key[here, :LEAST_PREFIX] == key[there, :LEAST_PREFIX]).all(1)
+            keep = (tree[here] == tree[there]) & (key[here, :least] == key[there, :least]).all(1)
             here, there = here[keep], there[keep]
             keep = (np.minimum(n[here], n[there]) * 100 >= percent * np.maximum(n[here], n[there])) & (ids[here] != ids[there])
             here, there = here[keep], there[keep]
@@ -301,21 +307,25 @@ def _grouped(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
-def _starts(mins: np.ndarray) -> np.ndarray:
-    """The first LEAST_PREFIX hashes of each tree's keys as one number. mins: a row of HASHES a class."""
+def _starts(mins: np.ndarray, least: int) -> np.ndarray:
+    """The first hashes, as many as least says, of each tree's keys as one number. mins: a row of HASHES a class."""
     out = np.zeros((len(mins), TREES), np.uint64)
-    for i in range(LEAST_PREFIX):
+    for i in range(least):
         out = out << np.uint64(16) | mins[:, (np.arange(TREES) * (HASHES // TREES) + i) % HASHES].astype(np.uint64)
     return out
 
 
-def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _region_rows(percent: int):
     """A row for each class and tree: tree, region, id, n, component."""
-    for batch in batches:
-        size = batch.num_rows
-        regions = _starts(np.frombuffer(b"".join(batch.column("mins").to_pylist()), ">u2").reshape(size, HASHES)).view(np.int64)
-        for t in range(TREES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, np.int32)), pa.array(np.ascontiguousarray(regions[:, t])), *(batch.column(c) for c in ("doc_id", "n", "component"))], names=["tree", "region", "id", "n", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            regions = _starts(np.frombuffer(b"".join(batch.column("mins").to_pylist()), ">u2").reshape(size, HASHES), least_prefix(percent)).view(np.int64)
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, np.int32)), pa.array(np.ascontiguousarray(regions[:, t])), *(batch.column(c) for c in ("doc_id", "n", "component"))], names=["tree", "region", "id", "n", "component"])
+
+    return run
 
 
 def _linked(percent: int):
@@ -330,7 +340,7 @@ def _linked(percent: int):
         n, out = np.array([len(x) for x in sets], int), []
         if len(sets):
             signed = [signature(x) for x in sets]
-            starts = _starts(np.array([m for m, _ in signed]))[:, :tree]
+            starts = _starts(np.array([m for m, _ in signed]), least_prefix(percent))[:, :tree]
             sketch = np.frombuffer(b"".join(k for _, k in signed), np.uint64).reshape(len(sets), -1)
             numbers = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n)[:-1])
             inside = np.zeros(n.sum(), bool)
@@ -360,7 +370,7 @@ def _linked(percent: int):
 def dense_links(classes: DataFrame, rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """a, b: links between different groups within the regions that go on for more than NEIGHBOURS rows; written."""
     placed = classes.select("doc_id", "n", "mins").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.select("doc_id", "n", "mins", "component").mapInArrow(_region_rows, "tree int, region long, id long, n long, component long")
+    placed = placed.select("doc_id", "n", "mins", "component").mapInArrow(_region_rows(percent), "tree int, region long, id long, n long, component long")
     sizes = placed.groupBy("tree", "region").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
     parts = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = sizes.where((F.col("size") > NEIGHBOURS) & (F.col("low") != F.col("high"))).select("tree", "region", parts.alias("parts"))

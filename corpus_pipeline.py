@@ -37,10 +37,10 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; documents without an id stay."""
+    """One document of each near-duplicate group, that with the smallest id; documents without an id stay, as do different texts of a kept id."""
     with scope(spark, "pipeline"):
         kept = near_duplicates(docs, SIMILAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-        one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # of rows that repeat an id
+        one = F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy("source", "lang"))  # of rows that repeat an id and its text
         known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("one", one).where("one = 1").select(*COLUMNS)
         return known.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 

@@ -327,3 +327,17 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert len(out) == docs.count() and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in out)
+
+
+def test_near_stage_keeps_different_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "first text of one id", "en", "a", 20), (1, "something else that stands under it", "en", "a", 35), (1, "first text of one id", "en", "a", 20), (2, "third", "en", "b", 5)]
+    out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert sorted(map(tuple, out)) == sorted(set(rows))
+
+
+def test_least_prefix_follows_the_similarity():
+    for percent in (70, 80, 85, 90):
+        assert (1 - (percent / 100) ** near_dedup.least_prefix(percent)) ** near_dedup.TREES <= near_dedup.MISS
+    assert near_dedup.least_prefix(85) == near_dedup.LEAST_PREFIX
