@@ -30,24 +30,28 @@ def fenced(df: DataFrame, *columns: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir; a folder below /tmp only where it is unset)."""
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir; below /tmp only where that is unset and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that written() made inside scope(), by the scope's name.
-_made: dict[str, list[str]] = {}
-_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scope", default=None)
+#: Folders that written() made inside the innermost temporaries().
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut and it survives lost executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage is cut and it survives lost executors.
+
+    Inside temporaries() it goes when that ends, unless keep is set, as for what a result that isn't computed yet reads.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    if _scope.get():
-        _made.setdefault(_scope.get(), []).append(path)
+    if _made.get() is not None and not keep:
+        _made.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,15 +69,27 @@ def drop_written(*frames: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scope(spark: SparkSession, name: str):
-    """Note what written() makes inside; what an earlier scope of this name made is deleted, so its results must have been written by now."""
-    for path in _made.pop(name, []):
-        _delete(spark, path)
-    token = _scope.set(name)
+def temporaries(spark: SparkSession):
+    """What written() makes inside is deleted at the end, but for what it is told to keep; each use stands by itself."""
+    made: list[str] = []
+    token = _made.set(made)
     try:
         yield
     finally:
-        _scope.reset(token)
+        _made.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as tell it from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

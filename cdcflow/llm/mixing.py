@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, table, written
+from .common import NOT_SPACE, table, temporaries, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -85,20 +85,23 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         found = found.withColumn(f"c{level}", F.coalesce(f"c{level}", F.lit(2**BITS)))
         if level == LEVELS - 1:  # the bucket at the edge is taken if that misses the target by less
             found = found.withColumn(f"c{level}", F.col(f"c{level}") + F.when(F.col("over") < F.col("budget"), 1).otherwise(0))
-        found = written(found.drop("used", "over"), "mix")
+        found = written(found.drop("used", "over"), "mix", keep=level == LEVELS - 1)
     return found.drop("budget")
 
 
 def mixed(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken (words), and carry, for every row of docs."""
-    sizes = written(sized(docs, carry), "sizes") if not carry else sized(docs, carry)
-    small = sizes if not carry else written(sizes.drop(*carry), "sizes")
-    plan = written(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    cuts = thresholds(small, plan)
+    sizes = sized(docs, carry)
+    with temporaries(docs.sparkSession):
+        small = written(sizes.drop(*carry), "sizes", keep=not carry)
+        plan = written(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+        few = plan.count() <= BROADCAST_SOURCES
+        cuts = thresholds(small, plan)
+    sizes = sizes if carry else small
     below = F.lit(False)
     for i in reversed(range(LEVELS)):
         below = (F.col(f"h{i}") < F.col(f"c{i}")) | ((F.col(f"h{i}") == F.col(f"c{i}")) & below)
-    taken = _joined(sizes, cuts, plan.count() <= BROADCAST_SOURCES)
+    taken = _joined(sizes, cuts, few)
     taken = taken.withColumn("copies", (F.col("passes") + F.when(below, 1).otherwise(0)).cast("int"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
 
