@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = shared_dir(spark, name)
     if _made.get() is not None and not keep:
         _made.get().append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +68,33 @@ def drop_written(*frames: DataFrame) -> None:
             _delete(df.sparkSession, file.rpartition("/")[0])
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM look for shuffles that nothing refers to any more, so that Spark removes their files now."""
+    spark.sparkContext._jvm.System.gc()
+
+
+FILTER_BITS = 1 << 24
+_PART_BITS = 1 << 15  # of a bitmap as bitmap_construct_agg makes it
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """part, bits: a bitmap with the slots of all keys, in 512 rows of 4 KB at most; written. For maybe_in()."""
+    slot = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    parts = keys.select(F.floor(slot / _PART_BITS).cast("int").alias("part"), F.pmod(slot, F.lit(_PART_BITS)).alias("at"))
+    return written(parts.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")), "filter")
+
+
+def maybe_in(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Rows of df whose key (a long) is one of those of key_filter(), and few others unless they were many."""
+    slot = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    names = spare(df, "part", "bits")
+    part, bits = names
+    at = F.pmod(slot, F.lit(_PART_BITS))
+    byte = F.ascii(F.decode(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    met = df.withColumn(part, F.floor(slot / _PART_BITS).cast("int")).join(F.broadcast(found.toDF(*names)), part)  # 2 MB at most
+    return met.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop(*names)
+
+
 @contextlib.contextmanager
 def temporaries(spark: SparkSession):
     """What written() makes inside is deleted at the end, but for what it is told to keep; each use stands by itself."""
