@@ -144,14 +144,32 @@ def test_bpe_stitches_exactly(spark):
     vocabulary = P.path("byte_bpe_multi_50k.tiktoken")
     e = byte_bpe.encoding(vocabulary, P.PATTERN)
     docs = odd_docs(spark).unionByName(sample_docs(spark).withColumn("extra", F.lit("e")).limit(60))
-    for chunk, overlap in ((200, 40), (65_536, 4096)):
-        coded = byte_bpe.bpe_encode(docs, vocabulary, P.PATTERN, carry=["text"], chunk=chunk, overlap=overlap)
+    for sizes in ((60, 12, 200, 40), (byte_bpe.CHUNK, byte_bpe.OVERLAP, byte_bpe.SPREAD, byte_bpe.SPREAD_OVERLAP), (2000, 200, 20_000, 400)):
+        coded = byte_bpe.bpe_encode(docs, vocabulary, P.PATTERN, ["text"], *sizes)
         rows = byte_bpe.bpe_decode(coded, vocabulary).collect()
         assert len(rows) == docs.count()
         for r in rows:
             text = r["text"] or ""
             assert np.frombuffer(r["ids"], "<u4").tolist() == e.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
     assert byte_bpe.coded_digests(empty_docs(spark), vocabulary, P.PATTERN).count() == 0
+    clash = empty_docs(spark).select("doc_id", "text", F.lit(1).alias("uid"), F.lit(1).alias("text_"), F.lit(1).alias("piece"))
+    clash = clash.union(spark.createDataFrame([(1, "some text " * 9, 2, 3, 4)], clash.schema))
+    row = byte_bpe.bpe_encode(clash, vocabulary, P.PATTERN, ["uid", "text_", "piece"], 20, 8, 40, 16).collect()[0]
+    assert (row["uid"], row["text_"], row["piece"]) == (2, 3, 4) and np.frombuffer(row["ids"], "<u4").tolist() == e.encode_ordinary("some text " * 9)
+
+
+def test_bpe_stitches_ordinary_texts():
+    coder = byte_bpe.coder_of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    r = random.Random(2)
+    signs = "abcXYZ01'., \t\n\x0b\x1c\x85\xa0éßΣ日😀ſsStrell"
+    for size in (0, 1, 50, 51, 62, 63, 400, 3000):
+        text = "".join(r.choice(signs) for _ in range(size))
+        parts = list(byte_bpe.stitched(text, coder.pretokens, 50, 12))
+        assert [t for p in parts for t in p] == coder.pretokens(text)
+        assert size < 63 or len(parts) > 1
+    assert len(list(byte_bpe.stitched("some ordinary words " * 300, coder.pretokens))) == 3
+    long = "a" * 500 + " b" * 200
+    assert [t for p in byte_bpe.stitched(long, coder.pretokens, 50, 12) for t in p] == coder.pretokens(long)
 
 
 def test_mix_meets_its_targets(spark):
@@ -295,12 +313,11 @@ def test_line_dedup_matches_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, n_lines string")
     found = line_dedup.occurrences(docs).collect()
     norm = {(r["k_id"], r["line_no"]): " ".join(WORDS.findall(texts[r["k_id"]].split("\n")[r["line_no"]].lower())) for r in found}
-    sim = {norm[r["k_id"], r["line_no"]]: r["sim"] for r in found}
-    keys = sorted(sim)
+    keys = sorted(set(norm.values()))
     group = {k: k for k in keys}
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if bin((sim[a] ^ sim[b]) & (2**60 - 1)).count("1") <= line_dedup.MAX_BITS and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 old, new = group[a], group[b]
                 group = {k: new if g == old else g for k, g in group.items()}
     first = {}
@@ -311,6 +328,47 @@ def test_line_dedup_matches_brute_force(spark):
         assert out[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in norm or first[group[norm[i, n]]] == (i, n))
 
 
+def test_line_dedup_finds_edit_similar_lines(spark):
+    """Against all pairs of the sample's lines with an edit similarity of 0.8 or more; bigrams rule the others out (an edit changes four at most)."""
+    found = line_dedup.occurrences(sample_docs(spark)).select("key", "norm").distinct().collect()
+    lines = sorted(found, key=lambda r: len(r["norm"]))
+    grams = np.zeros((len(lines), 256), np.int16)
+    for i, r in enumerate(lines):
+        for a, b in zip(r["norm"], r["norm"][1:]):
+            grams[i, zlib.crc32((a + b).encode()) % 256] += 1
+    sizes, pairs = np.array([len(r["norm"]) for r in lines]), []
+    for i in range(len(lines)):
+        ahead = slice(i + 1, int(np.searchsorted(sizes, sizes[i] / 0.8 + 1e-9, side="right")))
+        near = np.abs(grams[ahead] - grams[i]).sum(1) <= 4 * np.floor(0.2 * sizes[ahead] + 1e-9)
+        pairs += [(lines[i], lines[j]) for j in np.flatnonzero(near) + i + 1]
+    frame = spark.createDataFrame([(a["key"], b["key"], a["norm"], b["norm"]) for a, b in pairs], "a long, b long, x string, y string")
+    truth = frame.where(F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * 0.2 + 1e-9)).select("a", "b").collect()
+    found = line_dedup.written(line_dedup.occurrences(sample_docs(spark)), "occurrences")
+    group = {r["node"]: r["component"] for r in line_dedup.line_groups(found, 0.8).collect()}
+    assert len(truth) > 30 and sum(group.get(r["a"], r["a"]) == group.get(r["b"], r["b"]) for r in truth) >= 0.9 * len(truth)
+
+
+def test_simhash_is_the_majority_of_bits(spark):
+    words = [f"word{i}" for i in range(9)]
+    lines = spark.createDataFrame([(1, " ".join(words))], "key long, norm string").repartition("key")
+    got = {r["bucket"] for r in line_dedup.block_keys(lines, 3, 0.8).collect()}
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").withColumn("h", F.xxhash64("w")).collect()}
+    want = []
+    for slot, (a, b) in enumerate(line_dedup.combinations(range(6), 2)):
+        some = [h[w] for w in words if h[w] % 6 in (a, b)]
+        if len(some) >= 3:
+            want.append((slot, len(some), sum(1 << i for i in range(60) if 2 * sum(x >> i & 1 for x in some) > len(some))))
+    expected = spark.createDataFrame(want, "slot int, n long, sim long").select(F.xxhash64("slot", "n", "sim").alias("b")).collect()
+    assert want and got == {r["b"] for r in expected}
+
+
+def test_line_dedup_carries_clashing_columns(spark):
+    names = ["drop", "k_id", "k_text", "line_no", "key", "n_lines"]
+    docs = spark.createDataFrame([(i, "same line here\nown line number %d of these" % i, *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [[r[n] for n in names[:-1]] for r in out] == [names[:-1]] * 3 and [r["n_lines"] for r in out] == [2] * 3 and [r["n_dropped"] for r in out][1] >= 1
+
+
 def test_line_dedup_odd_inputs(spark):
     out = line_dedup.dedup_lines(odd_docs(spark)).collect()
     assert len(out) == len(ODD) * 2 and all(r["text"] is None for r in out if r["n_lines"] == 0 and r["doc_id"] == 0)
