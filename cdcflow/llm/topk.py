@@ -5,9 +5,9 @@ and each pair of blocks (a cell) is one group: its task inverts the vectors into
 its weighted postings into a dense array of scores, takes the k best by partition selection, and the cells' winners are merged by query.
 All pairs are scored, so results are exact; a cell holds vectors_per_block + queries_per_block rows however large the tables are.
 
-Defined cases: vectors that are null, empty ids (null) or hold null or non-finite components take no part; rows that repeat an id count
-once, with the smallest vector; shorter vectors are filled up with zeros; ties go to the smaller id; a query's own id is no candidate; no
-queries or no candidates give no rows; other columns aren't read. Scores must fit 64 bits.
+Defined cases: rows without an id, and vectors that are null or hold null or non-finite components, take no part; shorter vectors are filled up with zeros;
+ties go to the smaller id; a query's own row is no candidate, but another row that repeats its id is, and each query row of a repeated id has a
+result of its own; no queries or no candidates give no rows; other columns aren't read. Scores must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -64,27 +64,27 @@ def score_cell(queries: np.ndarray, vectors: np.ndarray, step: int = 64):
 
 
 def _cell_winners(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("query", "query_id", "vec_id", "score")])
 
     def best(cell: pa.Table) -> pa.Table:
         width = max(1, pc.max(pc.list_value_length(cell["q"])).as_py() or 1)
         asks = cell["asks"].to_numpy()
-        ids, weights = cell["vec_id"].to_numpy(), _matrix(cell["q"], width)
+        ids, own, weights = cell["vec_id"].to_numpy(), cell["own"].to_numpy(), _matrix(cell["q"], width)
         order = np.argsort(ids[~asks], kind="stable")
-        vec_ids, vectors = ids[~asks][order], weights[~asks][order]
-        query_ids, queries = ids[asks], weights[asks]
+        vec_ids, vec_own, vectors = ids[~asks][order], own[~asks][order], weights[~asks][order]
+        asked, queries = list(zip(own[asks], ids[asks])), weights[asks]
         out: list[tuple] = []
         if len(vec_ids):
             for start, scores in score_cell(queries, vectors):
-                for query, row in zip(query_ids[start : start + len(scores)], scores):
+                for (query, query_id), row in zip(asked[start : start + len(scores)], scores):
                     n = min(len(row), k + 1)  # one more, as the query's own row may be among them
                     least = np.partition(row, len(row) - n)[len(row) - n]
                     above, ties = np.flatnonzero(row > least), np.flatnonzero(row == least)[:n]
                     found = np.concatenate([above, ties])  # ids ascend with the position, so the first ties win
-                    found = found[vec_ids[found] != query]
+                    found = found[vec_own[found] != query]
                     found = found[np.lexsort((found, -row[found].astype(np.int64)))][:k]
-                    out.append((np.full(len(found), query), vec_ids[found], row[found]))
-        columns = [np.concatenate([o[i] for o in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in range(3)]
+                    out.append((np.full(len(found), query), np.full(len(found), query_id), vec_ids[found], row[found]))
+        columns = [np.concatenate([o[i] for o in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in range(4)]
         return pa.table([pa.array(c) for c in columns], schema=schema)
 
     return best
@@ -92,17 +92,19 @@ def _cell_winners(k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vectors_per_block: int = 2048, queries_per_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors (vec_id, q: integer weights) with the highest inner product for each query."""
-    rows = vectors.where("vec_id is not null and q is not null").groupBy("vec_id").agg(F.min("q").alias("q"))
-    rows = rows.withColumn("asks", is_query)
+    # equal rows are told apart by a number, so that each row has a mark of its own
+    rows = vectors.where("vec_id is not null and q is not null").groupBy("vec_id", "q").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("own", F.xxhash64("vec_id", "q", "copy"))
+    rows = rows.select("vec_id", "own", "q", is_query.alias("asks"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     v_blocks, q_blocks = max(1, math.ceil(n / vectors_per_block)), max(1, math.ceil(n_queries / queries_per_block))
-    block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    block = lambda blocks: F.pmod("own", F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    given = rows.select("vec_id", "q", F.lit(False).alias("asks"), block(v_blocks).alias("v"), every(q_blocks).alias("b"))
-    asked = rows.where("asks").select("vec_id", "q", "asks", every(v_blocks).alias("v"), block(q_blocks).alias("b"))
+    given = rows.select("vec_id", "own", "q", F.lit(False).alias("asks"), block(v_blocks).alias("v"), every(q_blocks).alias("b"))
+    asked = rows.where("asks").select("vec_id", "own", "q", "asks", every(v_blocks).alias("v"), block(q_blocks).alias("b"))
     cells = given.unionByName(asked).groupBy("v", "b")
-    won = cells.applyInArrow(_cell_winners(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    won = cells.applyInArrow(_cell_winners(k), "query long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return won.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -113,15 +115,15 @@ def op1_topk_search(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+  SELECT a.own, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.own <> b.own WHERE a.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
