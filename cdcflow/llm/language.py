@@ -4,8 +4,8 @@ Texts are vectors of hashed byte n-grams (1 to 4 bytes of the text lower-cased,
 the whole text in numpy inside tasks. Families group related languages by a fixed table; a language that the table doesn't have is a family of
 its own. A linear one-versus-rest machine picks the family, then each pair of languages in it votes.
 
-Training takes a bounded sample: per_language training rows of each language, those whose ids hash lowest
-in each of SALTS buckets. Scoring covers every row.
+Training takes a bounded sample: per_language training rows of each language (all languages, with fewer rows each where that would pass max_rows), those
+whose ids hash lowest in each of SALTS buckets. Scoring covers every row.
 
 Defined cases: a text that is null or has no letters is `und` with score 0; with no training rows at all everything is `und`; null ids are in no held-out
 fold and are not learned from; repeated rows get equal results each; an empty table gives no rows; other columns aren't read.
@@ -133,16 +133,16 @@ def held_out(folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def learn_languages(docs: DataFrame, per_language: int = 600, max_languages: int = 100) -> Hierarchy | None:
-    """Learn from at most per_language rows of each of the max_languages most frequent languages, outside the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+def learn_languages(docs: DataFrame, per_language: int = 600, max_rows: int = 12_000) -> Hierarchy | None:
+    """Learn from at most per_language rows of each language, outside the held-out fold, or fewer alike if there are so many languages that max_rows would be passed."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    each = max(1, min(per_language, max_rows // max(1, known.select("lang").distinct().count())))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("lang", "doc_id", salt.alias("salt")).withColumn("place", place).where(F.col("place") * SALTS <= per_language + SALTS - 1)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    chosen = chosen.select("lang", "doc_id").join(F.broadcast(common), "lang").distinct()  # max_languages rows
-    letters = docs.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text")
-    sample = letters.join(F.broadcast(chosen), ["lang", "doc_id"])  # (per_language + SALTS) * max_languages rows at most
+    ordered = Window.partitionBy("lang", "salt").orderBy("place", "doc_id")
+    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("place"), salt.alias("salt")).withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= -(-each // SALTS))
+    chosen = chosen.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), 1, each).alias("rows"))  # each + SALTS rows at most
+    chosen = chosen.select("lang", F.explode("rows.doc_id").alias("doc_id")).distinct()
+    sample = docs.select("lang", "doc_id", "text").where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["lang", "doc_id"])  # max_rows rows, or one a language
     rows = sample.select("lang", "text").mapInArrow(_featurise, "lang string, x binary").collect()
     if not rows:
         return None
