@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import drop_written, release, table, temporaries, written
 from .graph import components
 
 SHINGLE = 5
@@ -237,10 +237,10 @@ def _neighbours(percent: int):
 
 
 def _across(percent: int):
-    """Candidates between the last rows of a partition and the first ones of the next."""
+    """Candidates between the last rows of some partitions and the first ones of the one that follows them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("following", "ascending"), ("place", "ascending")]).combine_chunks()
+        rows = rows.sort_by([("following", "ascending"), ("part", "ascending"), ("place", "ascending")]).combine_chunks()
         n_before = pc.sum(pc.invert(rows["following"]).cast(pa.int64())).as_py() or 0
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for batch in rows.to_batches():
@@ -257,11 +257,16 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     ordered = rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found = written(ordered.mapInArrow(_neighbours(percent), "a long, b long, bits int, " + _EDGE_FIELDS), "found")
     edges = found.where("part is not null")
-    # partitions that have rows, in order: the last rows of each meet the first of the next, a few rows each
-    used = edges.select("part").distinct().withColumn("rank", F.row_number().over(Window.orderBy("part")))
-    ranked = edges.join(used, "part")
-    seam = ranked.where("place < 0").withColumn("following", F.lit(False)).unionByName(ranked.where("place >= 0").withColumn("rank", F.col("rank") - 1).withColumn("following", F.lit(True)))
-    met = seam.select("rank", "following", "place", "tree", "key", "id", "n", "sketch").groupBy("rank").applyInArrow(_across(percent), "a long, b long, bits int")
+    # partitions that have rows, in order, a row each: the last rows of each meet the first ones of those that begin less than NEIGHBOURS rows on
+    used = edges.where("place < 0").groupBy("part").agg(F.count("*").alias("rows")).withColumn("rank", F.row_number().over(Window.orderBy("part")))
+    used = written(used.withColumn("upto", F.sum("rows").over(Window.orderBy("part"))), "used")
+    ahead = used.select("part", "upto", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + NEIGHBOURS)).alias("rank"))
+    later = used.select("rank", F.col("part").alias("meets"), (F.col("upto") - F.col("rows")).alias("from"))
+    meets = ahead.join(later, "rank").where(F.col("from") - F.col("upto") < NEIGHBOURS).select("part", "meets")
+    seam = edges.where("place < 0").join(meets, "part").withColumn("following", F.lit(False))
+    seam = seam.unionByName(edges.where("place >= 0").join(meets.select(F.col("meets").alias("part")).distinct(), "part").withColumn("meets", F.col("part")).withColumn("following", F.lit(True)))
+    seam = seam.select("meets", "following", "part", "place", "tree", "key", "id", "n", "sketch")
+    met = seam.groupBy("meets").applyInArrow(_across(percent), "a long, b long, bits int")
     pairs = written(found.where("a is not null").select("a", "b", "bits").unionByName(met).groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
     drop_written(found)
     return pairs
@@ -388,6 +393,11 @@ def dense_links(classes: DataFrame, rows: DataFrame, groups: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; links need 100 * intersection >= percent * union."""
+    with temporaries(docs.sparkSession):
+        return written(_near_duplicates(docs, percent), "near", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     rows = docs.select("doc_id", "text")
     signed = rows.mapInArrow(_sign, "doc_id long, n long, digest binary, mins binary, sketch binary")
     signed = written(signed, "signed")
