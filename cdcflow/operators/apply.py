@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from .events import DELETE
 
-ORDER = ("seq", "sub")
+ORDER = ("run", "seq", "sub")
 
 
 def latest_changes(events: DataFrame, upto: Column | None = None) -> DataFrame:
-    """key, op, data of the last event of each key, at or before a position. Partial aggregation makes hot keys harmless."""
+    """key, op, data of the last event of each key, at or before a position. Partial aggregation makes hot keys harmless.
+
+    Events with a reason are an error: publishing stops at them (guards.publish_prefix), so nothing after them may be applied.
+    """
+    if "reason" in events.columns:
+        events = events.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("unreliable record: "), F.col("reason"))).cast("boolean")))
     events = events if upto is None else events.where(F.col("seq") <= upto)
-    last = F.max_by(F.struct("op", "data"), F.struct(*ORDER)).alias("last")
+    last = F.max_by(F.struct("op", "data"), F.struct(*[c for c in ORDER if c in events.columns])).alias("last")
     return events.groupBy("key").agg(last).select("key", "last.op", "last.data")
 
 

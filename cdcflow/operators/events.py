@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant_text
-from ..sources.shared import materialised
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 SNAPSHOT, CDC = "SNAPSHOT", "CDC"
-#: Neighbouring records are compared within blocks of the order; a block is what one window holds.
+#: Neighbouring records are compared within blocks of this many offsets; a block is what one window holds.
 BLOCK = 65_536
 
 
@@ -30,46 +29,53 @@ def with_changes_only(log: DataFrame) -> DataFrame:
     return log.where(F.col("op").isNotNull())
 
 
-def dense_order(log: DataFrame) -> DataFrame:
-    """Add seq: consecutive numbers in the order of (raw_topic, offset), from 0.
-
-    The log is dealt by range and written with a number within each partition; the partitions' counts are then summed, a row a partition.
-    """
-    ranged = log.repartitionByRange("raw_topic", "offset").sortWithinPartitions("raw_topic", "offset")
-    fixed = materialised(ranged.withColumn("at", F.monotonically_increasing_id()), "order")
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = fixed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return fixed.withColumn("part", part).join(F.broadcast(bases), "part").select(*log.columns, (F.col("base") + place).alias("seq"))
+def _blocks(log: DataFrame, link: Column) -> DataFrame:
+    """raw_topic, block, before, after (link of the record before and after the block), place (records of the topic before it), topic_base: a row a block of offsets."""
+    edges = log.groupBy("raw_topic", "block").agg(F.count("*").alias("n"), F.min_by(link, "offset").alias("first"), F.max_by(link, "offset").alias("last"))
+    w = Window.partitionBy("raw_topic").orderBy("block")
+    so_far = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("raw_topic", "block", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"), F.coalesce(so_far, F.lit(0)).alias("place"))
+    topics = log.groupBy("raw_topic").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(Window.orderBy("raw_topic").rowsBetween(Window.unboundedPreceding, -1))  # a row a topic
+    return edges.join(topics.select("raw_topic", F.coalesce(base, F.lit(0)).alias("topic_base")), "raw_topic")
 
 
 def with_neighbours(log: DataFrame, columns: list[str]) -> DataFrame:
-    """Add prev_ and next_ of the columns, from the records whose seq is one less and one more in the same topic.
+    """Add place (number in the topic, from 0), seq (number in the order of topic and offset, from 0), and prev_ and next_ of the columns, from the records before and after in the topic.
 
-    Each window holds a block of the order and the records next to it, so no key or topic, however hot, meets in one task.
+    Each window holds the records of BLOCK offsets, so no key or topic, however hot, meets in one task; what lies beyond a block's ends comes from
+    its summary, a row a block, so offsets may have holes of any size. Nothing is sorted as a whole or written.
     """
-    at = F.pmod("seq", F.lit(BLOCK))
-    own = F.floor(F.col("seq") / BLOCK)
-    blocks = F.array_compact(F.array(own, F.when(at == 0, own - 1), F.when(at == BLOCK - 1, own + 1)))
-    spread = log.withColumn("block", F.explode(blocks))
-    w = Window.partitionBy("raw_topic", "block").orderBy("seq")
-    for c in columns:
-        spread = spread.withColumn(f"prev_{c}", F.when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag(c).over(w)))
-        spread = spread.withColumn(f"next_{c}", F.when(F.lead("seq").over(w) == F.col("seq") + 1, F.lead(c).over(w)))
-    return spread.where(F.col("block") == own).drop("block")
+    link = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
+    log = log.withColumn("block", F.floor(F.col("offset") / BLOCK))
+    edges = _blocks(log, link).withColumnsRenamed({"before": "_before", "after": "_after", "place": "_place"})
+    w = Window.partitionBy("raw_topic", "block").orderBy("offset")
+    out = log.join(edges, ["raw_topic", "block"])
+    place = F.col("_place") + F.row_number().over(w) - 1
+    out = out.withColumns({"place": place, "_prev": F.coalesce(F.lag(link).over(w), "_before"), "_next": F.coalesce(F.lead(link).over(w), "_after")})
+    near = {f"{side}_{c}": F.col(f"_{side}.{c}") for c in columns for side in ("prev", "next")}
+    return out.withColumns({"seq": F.col("topic_base") + F.col("place"), **near}).drop("block", "topic_base", "_before", "_after", "_place", "_prev", "_next")
+
+
+def dense_order(log: DataFrame) -> DataFrame:
+    """Add seq: consecutive numbers in the order of (raw_topic, offset), from 0."""
+    return with_neighbours(log, []).drop("place")
+
+
+def blank(c: str) -> Column:
+    return F.col(c).isNull() | (F.trim(c) == "")
 
 
 def unreliable(keys: list[str]) -> Column:
     """Why a record can't be published, or null."""
-    op = F.col("op")
-    image_key = F.when(op == "d", key_text("before", keys)).otherwise(key_text("after", keys))
+    op, before_key = F.col("op"), key_text("before", keys)
+    image_key = F.when(op == "d", before_key).otherwise(key_text("after", keys))
     return (
-        F.when(op.isNull(), "missing op")
+        F.when(blank("op"), "missing op")
         .when(~op.isin("r", "c", "u", "d"), "unknown op")
-        .when(F.col("db").isNull() | F.col("tbl").isNull(), "missing source")
+        .when(blank("db") | blank("tbl"), "missing source")
         .when(F.col("ts_ms").isNull(), "missing time")
-        .when(image_key.isNull(), "missing key")
+        .when(image_key.isNull() | ((op == "u") & F.col("before").isNotNull() & before_key.isNull()), "missing key")
     )
 
 
@@ -77,63 +83,70 @@ def projected(image: str, columns: list[str]) -> Column:
     return F.when(F.col(image).isNotNull(), F.struct(*[F.col(f"{image}.{c}").alias(c) for c in columns]))
 
 
-def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None, snapshot_count: int = 0, dense: bool = False) -> DataFrame:
-    """Events of a log: raw_topic, seq, sub, op, key, before, data, phase, sourceDatabase, sourceTable, event_ms, sourceEventTime.
+def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None, snapshot_count: int = 0, run: int = 0) -> DataFrame:
+    """Events of a log: raw_topic, run, seq, sub, op, key, before, data, phase, sourceDatabase, sourceTable, event_ms, sourceEventTime, reason.
 
     A d directly before a c of the same table and key is one UPDATE; a u whose key changes is a DELETE and an INSERT; the first
-    snapshot_count records are SNAPSHOT, as is every r that isn't part of a pair. dense: offsets of a topic have no holes, so they are the order.
-    Records that unreliable() names are left out here; publishing stops at them (guards.publish_prefix).
+    snapshot_count records of each topic are SNAPSHOT, as is every r that isn't part of a pair. run: which run of the task wrote the log; a later run comes after.
+    A record that unreliable() names becomes a row with its reason and without op, key and images, and so does a d right before a c of its table that has
+    no key. Give the result to guards.publish_prefix(), which stops each topic at its first such row.
     """
     log = with_changes_only(log)
-    log = log.withColumn("seq", F.col("offset")) if dense else dense_order(log)
     log = log.withColumn("reason", unreliable(keys)).withColumn("k_before", key_text("before", keys)).withColumn("k_after", key_text("after", keys))
     log = log.withColumn("_link", F.struct("op", "db", "tbl", "k_before", "k_after", "reason", "ts_ms", "after"))
     log = with_neighbours(log, ["_link"])
-    same = lambda a, b: (a["db"] == b["db"]) & (a["tbl"] == b["tbl"])
     here, prev, after = F.col("_link"), F.col("prev__link"), F.col("next__link")
-    opens = (here["op"] == "d") & (after["op"] == "c") & same(here, after) & (here["k_before"] == after["k_after"]) & after["reason"].isNull()
-    closes = (here["op"] == "c") & (prev["op"] == "d") & same(here, prev) & (here["k_after"] == prev["k_before"]) & prev["reason"].isNull()
-    log = log.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("closes", F.coalesce(closes, F.lit(False)))
-    log = log.where(~F.col("closes") & F.col("reason").isNull())
+    sound = lambda x: x["reason"].isNull()
+    pair = lambda d, c: (d["op"] == "d") & (c["op"] == "c") & (d["db"] == c["db"]) & (d["tbl"] == c["tbl"]) & sound(d)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    log = log.withColumn("opens", true(pair(here, after) & sound(after) & (here["k_before"] == after["k_after"])))
+    log = log.withColumn("closes", true(pair(prev, here) & sound(here) & (here["k_after"] == prev["k_before"]))).where("not closes")
+    log = log.withColumn("reason", F.coalesce("reason", F.when(true(pair(here, after) & after["k_after"].isNull()), "missing key")))
     columns = columns or log.schema["after"].dataType.names
     before, data = projected("before", columns), projected("after", columns)
     next_data = F.when(F.col("opens"), F.struct(*[F.col(f"next__link.after.{c}").alias(c) for c in columns]))
-    early = F.col("seq") < snapshot_count
+    early = F.col("place") < snapshot_count
     phase = F.when(F.when(F.col("opens"), early).otherwise(early | (F.col("op") == "r")), SNAPSHOT).otherwise(CDC)
     none = F.lit(None).cast(log.select(before.alias("b")).schema["b"].dataType)
 
-    def event(op: str, key: Column, was: Column, now: Column) -> Column:
-        return F.struct(F.lit(op).alias("op"), key.alias("key"), was.alias("before"), now.alias("data"))
+    def event(op: str | None, key: Column, was: Column, now: Column) -> Column:
+        return F.struct(F.lit(op).cast("string").alias("op"), key.alias("key"), was.alias("before"), now.alias("data"))
 
     moved = (F.col("op") == "u") & F.col("k_before").isNotNull() & (F.col("k_before") != F.col("k_after"))
     events = (
-        F.when(F.col("opens"), F.array(event(UPDATE, F.col("k_before"), before, next_data)))
+        F.when(F.col("reason").isNotNull(), F.array(event(None, F.lit(None).cast("string"), none, none)))
+        .when(F.col("opens"), F.array(event(UPDATE, F.col("k_before"), before, next_data)))
         .when(F.col("op") == "d", F.array(event(DELETE, F.col("k_before"), before, before)))
         .when(moved, F.array(event(DELETE, F.col("k_before"), before, before), event(INSERT, F.col("k_after"), none, data)))
         .when(F.col("op") == "u", F.array(event(UPDATE, F.col("k_after"), before, data)))
         .otherwise(F.array(event(INSERT, F.col("k_after"), none, data)))
     )
     ms = F.when(F.col("opens"), F.greatest("ts_ms", "next__link.ts_ms")).otherwise(F.col("ts_ms"))
-    out = log.select("raw_topic", "seq", "db", "tbl", phase.alias("phase"), ms.alias("event_ms"), F.posexplode(events).alias("sub", "e"))
+    out = log.select("raw_topic", "seq", "db", "tbl", phase.alias("phase"), ms.alias("event_ms"), "reason", F.posexplode(events).alias("sub", "e"))
     return out.select(
-        "raw_topic", "seq", "sub", "e.op", "e.key", "e.before", "e.data", "phase", F.col("db").alias("sourceDatabase"), F.col("tbl").alias("sourceTable"),
-        "event_ms", instant_text(F.col("event_ms")).alias("sourceEventTime"),
+        "raw_topic", F.lit(run).alias("run"), "seq", "sub", "e.op", "e.key", "e.before", "e.data", "phase", F.col("db").alias("sourceDatabase"), F.col("tbl").alias("sourceTable"),
+        "event_ms", instant_text(F.col("event_ms")).alias("sourceEventTime"), "reason",
     )
 
 
-def snapshot_events(rows: DataFrame, keys: list[str], database: str, tbl: str, received_ms: Column, columns: list[str] | None = None) -> DataFrame:
-    """INSERT events of the SNAPSHOT phase from plain rows, ordered by key; received_ms is the time that they get. seq is -1: before every change."""
+def snapshot_events(rows: DataFrame, keys: list[str], database: str, tbl: str, received_ms: Column, columns: list[str] | None = None, run: int = 0) -> DataFrame:
+    """INSERT events of the SNAPSHOT phase from plain rows; received_ms is the time that they get.
+
+    seq is -1: before every change of the same run, and after all of earlier runs. A row without its key has a reason, as in normalize().
+    """
     columns = columns or rows.columns
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    data = F.struct(*columns)
+    rows = rows.withColumn("_row", F.struct(*rows.columns))
+    key = key_text("_row", keys)
+    data = F.when(key.isNotNull(), F.struct(*columns))
     kind = rows.select(data.alias("d")).schema["d"].dataType
     return rows.select(
-        F.lit("snapshot").alias("raw_topic"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit(INSERT).alias("op"), key.alias("key"), F.lit(None).cast(kind).alias("before"),
+        F.lit("snapshot").alias("raw_topic"), F.lit(run).alias("run"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("sub"), F.when(key.isNotNull(), INSERT).alias("op"), key.alias("key"),
+        F.lit(None).cast(kind).alias("before"),
         data.alias("data"), F.lit(SNAPSHOT).alias("phase"), F.lit(database).alias("sourceDatabase"), F.lit(tbl).alias("sourceTable"),
-        received_ms.cast("long").alias("event_ms"), instant_text(received_ms.cast("long")).alias("sourceEventTime"),
+        received_ms.cast("long").alias("event_ms"), instant_text(received_ms.cast("long")).alias("sourceEventTime"), F.when(key.isNull(), "missing key").alias("reason"),
     )
 
 
 def snapshot_then_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """All snapshot events come before all changes: seq of the snapshot lies below every offset."""
+    """Events of a snapshot and of the changes after it: a run's snapshot comes before its changes, in the order of run and seq."""
     return snapshot.unionByName(changes)

@@ -52,28 +52,27 @@ def old_values(columns: list[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *told), F.lit("}"))
 
 
-def serialize(events: DataFrame, keys: list[str], name: str | None = None, acknowledged_ms: Column | None = None) -> DataFrame:
-    """events with value: the text in the named format. key is the key text in every format. acknowledged_ms is the time of publishing."""
+def serialize(events: DataFrame, keys: list[str], name: str | None = None) -> DataFrame:
+    """events with value: the text in the named format. key is the key text in every format; times are the event's."""
     name = chosen_format(name)
     columns = events.schema["data"].dataType.names
-    now = F.col("event_ms") if acknowledged_ms is None else acknowledged_ms
     op, es = F.col("op"), F.col("event_ms")
-    old = F.when((op == UPDATE) & F.col("before").isNotNull(), old_values(columns))
+    old = F.when(op == UPDATE, F.when(F.col("before").isNull(), "{}").otherwise(old_values(columns)))
     names = F.lit("[" + ",".join(f'"{k}"' for k in keys) + "]")
     number = lambda c: c.cast("long").cast("string")
     if name == "ENVELOPE":
         source = _object(database=_text(F.col("sourceDatabase")), table=_text(F.col("sourceTable")))
         value = _object(op=_text(op), key=F.col("key"), data=_json(row_image()), before=_json(F.col("before")), source=source, sourceEventTime=_text(F.col("sourceEventTime")), phase=_text(F.col("phase")))
     elif name == "CANAL_JSON":
-        rows = F.concat(F.lit("["), _json(row_image()), F.lit("]"))
+        rows = F.concat(F.lit("["), F.coalesce(F.to_json(row_image(), KEEP_NULLS), F.lit("{}")), F.lit("]"))
         value = _object(
-            type=_text(op), database=_text(F.col("sourceDatabase")), table=_text(F.col("sourceTable")), es=number(es), ts=number(now), data=rows, old=F.concat(F.lit("["), old, F.lit("]")),
+            type=_text(op), database=_text(F.col("sourceDatabase")), table=_text(F.col("sourceTable")), es=number(es), ts=number(es), data=rows, old=F.concat(F.lit("["), old, F.lit("]")),
             pkNames=names, isDdl=F.lit("false"), sql=F.lit('""'),
         )
     elif name == "COMPATIBLE_DEBEZIUM_JSON":
-        code = F.when(F.col("phase") == SNAPSHOT, "r").when(op == INSERT, "c").when(op == UPDATE, "u").otherwise("d")
+        code = F.when((op == INSERT) & (F.col("phase") == SNAPSHOT), "r").when(op == INSERT, "c").when(op == UPDATE, "u").otherwise("d")
         source = _object(db=_text(F.col("sourceDatabase")), table=_text(F.col("sourceTable")), ts_ms=number(es), snapshot=F.when(F.col("phase") == SNAPSHOT, F.lit('"true"')))
-        value = _object(before=_json(F.col("before")), after=_json(after_image()), op=_text(code), ts_ms=number(now), source=source, transaction=F.lit("null"))
+        value = _object(before=_json(F.col("before")), after=_json(after_image()), op=_text(code), ts_ms=number(es), source=source, transaction=F.lit("null"))
     elif name == "MAXWELL_JSON":
         value = _object(
             database=_text(F.col("sourceDatabase")), table=_text(F.col("sourceTable")), type=_text(F.lower(op)), ts=number(F.floor(es / 1000)), data=_json(row_image()), old=old, primary_key_columns=names,

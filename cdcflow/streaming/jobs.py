@@ -86,20 +86,20 @@ def moved_apart(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def alert_stream(states: DataFrame, alerting: list[str]) -> DataFrame:
-    """owner_id, status, sampled_at of each entry into an alerting status, over batches. states: owner_id, status, sampled_at."""
+    """owner_id, status, sampled_at, sample_id of each entry into an alerting status, over batches, in the order of time and sample_id. states: the same columns."""
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         was = state.get[0] if state.exists else None
         out = []
-        for r in pd.concat(list(batches)).sort_values("sampled_at").itertuples(index=False):
+        for r in pd.concat(list(batches)).sort_values(["sampled_at", "sample_id"]).itertuples(index=False):
             due = r.status if r.status in alerting else None
             if due and due != was:
-                out.append((group[0], r.status, r.sampled_at))
+                out.append((group[0], r.status, r.sampled_at, r.sample_id))
             was = due
         state.update((was,))
-        yield pd.DataFrame(out, columns=["owner_id", "status", "sampled_at"])
+        yield pd.DataFrame(out, columns=["owner_id", "status", "sampled_at", "sample_id"])
 
-    return states.groupBy("owner_id").applyInPandasWithState(run, "owner_id long, status string, sampled_at timestamp", "due string", "append", GroupStateTimeout.NoTimeout)
+    return states.groupBy("owner_id").applyInPandasWithState(run, "owner_id long, status string, sampled_at timestamp, sample_id long", "due string", "append", GroupStateTimeout.NoTimeout)
 
 
 def apply_stream(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
