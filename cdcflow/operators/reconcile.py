@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_STEP = 1_000_000
@@ -27,19 +25,23 @@ def suggested_step(low: int, high: int) -> int:
     return max(1, -(-(high - low) // MAX_BLOCKS))
 
 
+def _check_blocks(low: int, high: int, step: int) -> None:
+    if not 1 <= step <= MAX_STEP:
+        raise ValueError(f"step must be 1 to {MAX_STEP}")
+    if -(-(high - low) // step) + 1 > MAX_BLOCKS:
+        raise ValueError(f"more than {MAX_BLOCKS} blocks; a larger step is needed, such as {suggested_step(low, high)}")
+
+
 def key_range_blocks(source: DataFrame, target: DataFrame, key: str, step: int) -> DataFrame:
     """block_index, lower, upper (exclusive), source_rows, target_rows, difference, matched, for blocks of `step` keys from the source's smallest.
 
     Empty blocks are listed. More than MAX_BLOCKS blocks are refused. Target rows outside the source's range are in no block; target_outside() counts them.
     """
-    if not 1 <= step <= MAX_STEP:
-        raise ValueError(f"step must be 1 to {MAX_STEP}")
     low, high, _ = key_range(source, key).first()
+    _check_blocks(low or 0, high or 0, step)
     if low is None:
         return source.sparkSession.createDataFrame([], "block_index long, lower long, upper long, source_rows long, target_rows long, difference long, matched boolean")
     n = (high - low) // step + 1
-    if -(-(high - low) // step) + 1 > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} blocks; a larger step is needed, such as {suggested_step(low, high)}")
     block = F.floor((F.col(key) - low) / step).alias("block_index")
     inside = F.col(key).between(low, high)
     one = lambda df, mine, other: df.where(inside).groupBy(block).agg(F.count("*").alias(mine)).withColumn(other, F.lit(0).cast("long"))
@@ -54,33 +56,43 @@ def key_range_blocks(source: DataFrame, target: DataFrame, key: str, step: int)
 def block_verdict(source: DataFrame, target: DataFrame, key: str, step: int) -> DataFrame:
     """total_blocks, matched_blocks, source_rows (null keys too), target_rows (of the blocks), target_outside, matched.
 
-    An empty source has no block; it matches, as one, if the target is empty too.
+    After the source's range is known, both sides are counted by block in one pass; block -1 is what lies outside. An empty source has no block; it matches, as
+    one, if the target is empty too.
     """
-    blocks = key_range_blocks(source, target, key, step)
     low, high, rows = key_range(source, key).first()
-    if low is None:
-        n = target.count()
-        return source.sparkSession.range(1).select(
-            F.lit(0).cast("long").alias("total_blocks"), F.lit(int(n == 0)).cast("long").alias("matched_blocks"), F.lit(rows).cast("long").alias("source_rows"), F.lit(n).cast("long").alias("target_rows"),
-            F.lit(n).cast("long").alias("target_outside"), F.lit(n == 0 and rows == 0).alias("matched"),
-        )
-    seen = blocks.agg(F.count("*").alias("total_blocks"), F.sum(F.when(F.col("matched"), 1).otherwise(0)).cast("long").alias("matched_blocks"), F.lit(rows).cast("long").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
-    outside = target.where(~F.col(key).between(low, high) | F.col(key).isNull()).count()
-    return seen.withColumn("target_outside", F.lit(outside).cast("long")).withColumn("matched", F.col("matched_blocks") == F.col("total_blocks"))
-
-
-def group_check(pairs: dict[str, tuple[DataFrame | None, DataFrame | None]]) -> DataFrame:
-    """table_name, source_rows, target_rows, difference, status for each table; one that can't be read is FAILED and stops no other."""
-    parts = []
-    for name, (source, target) in pairs.items():
-        if source is None or target is None:
-            some = next(d for pair in pairs.values() for d in pair if d is not None)
-            none = F.lit(None).cast("long")
-            parts.append(some.sparkSession.range(1).select(F.lit(name).alias("table_name"), none.alias("source_rows"), none.alias("target_rows"), none.alias("difference"), F.lit("FAILED").alias("status")))
-        else:
-            c = count_check(source, target)
-            parts.append(c.select(F.lit(name).alias("table_name"), "source_rows", "target_rows", "difference", F.when(F.col("matched"), "MATCHED").otherwise("MISMATCHED").alias("status")))
-    return reduce(DataFrame.unionByName, parts)
+    if low is not None:
+        _check_blocks(low, high, step)
+    inside = F.lit(False) if low is None else F.coalesce(F.col(key).between(low, high), F.lit(False))
+    block = F.when(inside, F.floor((F.col(key) - F.lit(low)) / step)).otherwise(-1).cast("long").alias("block")
+    side = lambda df, n: df.select(block, F.lit(n).alias("side"))
+    n = lambda i: F.sum(F.when(F.col("side") == i, 1).otherwise(0))
+    blocks = side(source, 0).unionByName(side(target, 1)).groupBy("block").agg(n(0).alias("s"), n(1).alias("t"))
+    counted = F.col("block") >= 0
+    total = 0 if low is None else (high - low) // step + 1
+    told = blocks.agg(F.count_if(counted & (F.col("s") != F.col("t"))).alias("differ"), F.sum(F.when(counted, F.col("t"))).alias("t"), F.sum(F.when(~counted, F.col("t"))).alias("outside"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    empty = (zero(F.col("outside")) == 0) & F.lit(rows == 0)
+    matched = (total - F.col("differ")).cast("long") if total else empty.cast("long")
+    return told.select(
+        F.lit(total).cast("long").alias("total_blocks"), matched.alias("matched_blocks"), F.lit(rows).cast("long").alias("source_rows"), zero(F.col("t") if total else F.col("outside")).alias("target_rows"),
+        zero(F.col("outside")).alias("target_outside"), (F.col("differ") == 0 if total else empty).alias("matched"),
+    )
+
+
+def group_check(pairs: dict[str, tuple]) -> DataFrame:
+    """table_name, source_rows, target_rows, difference, status for each table; one that is absent or fails while it is read is FAILED and stops no other.
+
+    pairs: source and target by table, each a DataFrame, a function that gives one, or None. Each table is counted when this is called.
+    """
+    out, spark = [], SparkSession.active()
+    for name, sides in pairs.items():
+        try:
+            source, target = (side() if callable(side) else side for side in sides)
+            c = count_check(source, target).first() if source is not None and target is not None else None
+        except Exception:  # whatever a source raises while it is opened or read
+            c = None
+        out.append((name, None, None, None, "FAILED") if c is None else (name, c["source_rows"], c["target_rows"], c["difference"], "MATCHED" if c["matched"] else "MISMATCHED"))
+    return spark.createDataFrame(out, "table_name string, source_rows long, target_rows long, difference long, status string")
 
 
 def group_summary(checks: DataFrame) -> DataFrame:

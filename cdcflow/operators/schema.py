@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 SYSTEM_SCHEMAS = ("information_schema", "mysql", "performance_schema", "sys", "pg_catalog", "pg_toast")
 #: Families of type names; the first pattern that is found wins, so a name that merely contains "int" is numeric.
 FAMILIES = (
-    ("numeric", "int|decimal|numeric|number|float|double|real|serial|money"),
-    ("string", "char|text|clob|enum|set|string|json|uuid"),
-    ("temporal", "date|time|year|interval"),
+    ("numeric", "tinyint|smallint|mediumint|int|integer|bigint|decimal|numeric|float|double|real|serial|money"),
+    ("string", "char|varchar|string|text|clob|json|enum|set"),
+    ("temporal", "date|time|year|timestamp"),
     ("binary", "blob|binary|bytea|bit"),
     ("boolean", "bool"),
 )
+#: Java.sql.Types of truth values.
+JDBC_BIT, JDBC_BOOLEAN = -7, 16
 
 
 def type_family(type_name: Column, jdbc_type: Column) -> Column:
@@ -28,20 +30,23 @@ def type_family(type_name: Column, jdbc_type: Column) -> Column:
     return out.otherwise(jdbc_type.cast("string"))
 
 
-def is_boolean(type_name: Column, size: Column) -> Column:
-    """Types that hold a truth value: boolean, BIT(1), TINYINT(1)."""
-    t = F.lower(type_name)
-    return t.rlike("^bool") | ((t == "bit") & (size <= 1)) | (t.startswith("tinyint") & (size <= 1))
+def holds_truth(column: dict[str, Column]) -> Column:
+    """Source types that hold a truth value: BIT(1), and tinyint of one digit."""
+    return F.coalesce(((column["jdbc"] == JDBC_BIT) & (column["size"] == 1)) | (F.lower(column["name"]).contains("tinyint") & (column["size"] <= 1)), F.lit(False))
+
+
+def is_boolean(column: dict[str, Column]) -> Column:
+    """Target types that are boolean by name or by JDBC type."""
+    return F.coalesce(column["jdbc"] == JDBC_BOOLEAN, F.lit(False)) | F.coalesce(F.lower(column["name"]).isin("bool", "boolean"), F.lit(False))
 
 
 def types_compatible(source: dict[str, Column], target: dict[str, Column], postgres: bool) -> Column:
-    """Can the target's column take the source's? Both map name (type_name), jdbc, size to columns."""
-    booleans = is_boolean(target["name"], target["size"])
-    family = type_family(source["name"], source["jdbc"]) == type_family(target["name"], target["jdbc"])
-    json_refused = F.lit(postgres) & (F.lower(source["name"]) != "json") & F.lower(target["name"]).isin("json", "jsonb")
-    json_refused = json_refused | (F.lit(postgres) & (F.lower(source["name"]) == "json") & F.lower(target["name"]).isin("json", "jsonb"))
-    pg_boolean = F.lower(target["name"]).rlike("^bool")
-    return F.when(json_refused, False).when(pg_boolean, is_boolean(source["name"], source["size"])).when(booleans & is_boolean(source["name"], source["size"]), True).otherwise(family)
+    """Can the target's column take the source's? Both map name (type_name), jdbc, size to columns. A JSON source has no cast to PostgreSQL's json types."""
+    name = lambda x: F.coalesce(F.lower(x["name"]), F.lit(""))
+    families = [type_family(name(x), x["jdbc"]) for x in (source, target)]
+    refused = F.lit(postgres) & (name(source) == "json") & name(target).isin("json", "jsonb")
+    small = (families[0] == "numeric") & (families[1] == "boolean") & name(source).contains("tinyint")
+    return F.when(refused, False).otherwise((holds_truth(source) & is_boolean(target)) | families[0].eqNullSafe(families[1]) | small)
 
 
 def user_databases(databases: DataFrame) -> DataFrame:

@@ -46,13 +46,27 @@ def check_start(mode: str, as_of_ms: int, start_ms: int | None = None, file: str
         raise ValueError(f"unknown start: {mode}")
 
 
+#: Identifiers of databases, tables and columns, and names of topics, as far as they are accepted.
+IDENTIFIER, TOPIC_NAME = r"^[A-Za-z0-9_$]{1,64}$", r"^[A-Za-z0-9._-]{1,249}$"
+
+
+def check_names(identifiers: list[str] = [], topics: list[str] = []) -> None:
+    """Refuses names that can't be an identifier or a topic."""
+    for kind, pattern, names in (("identifier", IDENTIFIER, identifiers), ("topic", TOPIC_NAME, topics)):
+        for name in names:
+            if not re.match(pattern, name or "") or name in (".", ".."):
+                raise ValueError(f"not a valid {kind}: {name!r}")
+
+
 def start_filter(mode: str, wall_clock: str | None = None, zone: str = DEFAULT_ZONE, file: str | None = None, position: int | None = None, end_offset: int | None = None) -> Column:
-    """Which records of a file-based log an incremental run starts with: columns offset, ts_ms, and log_file, log_pos for SPECIFIC."""
+    """Which records of a file-based log an incremental run starts with: columns offset, ts_ms, and log_file (ordered by the number that it ends with), log_pos for SPECIFIC."""
     if mode == "LATEST":
         return F.col("offset") >= F.lit(end_offset)
     if mode == "TIMESTAMP":
         return F.col("ts_ms") >= F.unix_millis(F.to_utc_timestamp(F.to_timestamp(F.lit(wall_clock)), zone))
-    return (F.col("log_file") > file) | ((F.col("log_file") == file) & (F.col("log_pos") >= position))
+    number = lambda c: F.coalesce(F.regexp_extract(c, r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    later = F.when(number(F.col("log_file")) != number(F.lit(file)), number(F.col("log_file")) > number(F.lit(file))).otherwise(F.col("log_file") > file)
+    return later | ((F.col("log_file") == file) & (F.col("log_pos") >= position))
 
 
 def read_limits(rows_per_second: int, bytes_per_second: int, trigger_seconds: int, kafka: bool) -> dict[str, str]:
@@ -63,11 +77,15 @@ def read_limits(rows_per_second: int, bytes_per_second: int, trigger_seconds: in
 
 
 def restored_names(df: DataFrame, canonical: list[str]) -> DataFrame:
-    """df with its columns under their canonical names, if all of them differ in case only; else as it is."""
-    real = {c.lower(): c for c in canonical}
-    if len(real) != len(canonical) or {c.lower() for c in df.columns} != set(real):
+    """df under the canonical names, in their order, where its labels were folded to upper or lower case; as it is unless every one of its columns is found so."""
+    found = {}
+    for name in canonical:
+        label = next((c for c in (name, name.upper(), name.lower()) if c in df.columns), None)
+        if label:
+            found[name] = label
+    if len(found) != len(df.columns) or all(name == label for name, label in found.items()):
         return df
-    return df.withColumnsRenamed({c: real[c.lower()] for c in df.columns})
+    return df.select(*[F.col(f"`{label}`").alias(name) for name, label in found.items()])
 
 
 def full_then_changes(rows: DataFrame, changes: DataFrame, topic: str, database: str, tbl: str, received_ms: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.apply import merged_into
+from ..operators.apply import ORDER, merged_into
 
 
 def _fs(spark: SparkSession, path: str):
@@ -14,36 +15,46 @@ def _fs(spark: SparkSession, path: str):
 
 
 class VersionedTable:
-    """A table on files: each version is a folder of its own, and a small pointer file, replaced by one rename, names the current one.
+    """A table on files: each version is a folder of its own, and a marker, made once and never changed, names it.
 
-    Readers see the old version until the pointer moves; a write that fails leaves it where it was.
+    The newest marker that names a folder is the current version. A marker is created only where there is none, after its folder is complete, so readers see
+    the old version until that moment, a write that fails at any step leaves the old version current, and of two writers of one version one fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _markers(self) -> list[int]:
+        p, fs = _fs(self.spark, f"{self.root}/_versions")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _folder(self, version: int) -> str | None:
+        first = self.spark.read.text(f"{self.root}/_versions/{version:012d}").first()
+        return first["value"] if first else None
+
     def current(self) -> int | None:
-        p, fs = _fs(self.spark, f"{self.root}/_current")
-        return int(self.spark.read.text(f"{self.root}/_current").first()["value"]) if fs.exists(p) else None
+        """Number of the newest version; a marker that a writer left empty counts for nothing."""
+        return next((n for n in reversed(self._markers()) if self._folder(n)), None)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.current()}")
+        version = self.current()
+        if version is None:
+            raise FileNotFoundError(f"{self.root} has no version yet")
+        return self.spark.read.parquet(f"{self.root}/{self._folder(version)}")
 
     def overwrite(self, df: DataFrame) -> int:
-        """Stage df as the next version and, once it is complete, point to it."""
-        version = (self.current() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self.spark.range(1).select(F.lit(str(version)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/_next-{version}")
-        new, fs = _fs(self.spark, f"{self.root}/_next-{version}")
-        old, backup = _fs(self.spark, f"{self.root}/_current")[0], _fs(self.spark, f"{self.root}/_backup-{version}")[0]
-        if fs.exists(old):
-            fs.rename(old, backup)
-        if not fs.rename(new, old):
-            fs.rename(backup, old)
-            raise OSError(f"the pointer of {self.root} could not be moved")
-        fs.delete(backup, True)
+        """Write df as a version's folder and, once it is complete, mark it."""
+        version, folder = max(self._markers(), default=0) + 1, f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        self._mark(version, folder)
         return version
 
+    def _mark(self, version: int, folder: str) -> None:
+        p, fs = _fs(self.spark, f"{self.root}/_versions/{version:012d}")
+        out = fs.create(p, False)  # fails if another writer has made it
+        out.writeBytes(folder)
+        out.close()
+
     def apply(self, events: DataFrame, keys: list[str]) -> int:
         """The next version: this one after the events."""
         return self.overwrite(merged_into(self.read(), events, keys))
@@ -56,7 +67,7 @@ def append(df: DataFrame, path: str, partition_by: list[str] = []) -> None:
 
 def events_by_key(events: DataFrame, partitions: int) -> DataFrame:
     """key, value in stable partitions by key, each in order: what an event sink is given."""
-    return events.repartition(partitions, "key").sortWithinPartitions("seq", "sub").select("key", "value")
+    return events.repartition(partitions, "key").sortWithinPartitions(*[c for c in ORDER if c in events.columns]).select("key", "value")
 
 
 def write_kafka(events: DataFrame, servers: str, topic: str, partitions: int) -> None:

@@ -98,13 +98,49 @@ def test_versioned_table(spark, tmp_path):
     assert t.overwrite(spark.range(5)) == 2 and t.read().count() == 5
 
 
+def test_versions_survive_a_crash_at_any_step(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    t = VersionedTable(spark, root)
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    t.overwrite(spark.range(3))
+    with monkeypatch.context() as m:  # before the marker
+        m.setattr(VersionedTable, "_mark", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            t.overwrite(spark.range(4))
+    assert t.read().count() == 3
+    with monkeypatch.context() as m:  # between making the marker and writing into it
+        mark = VersionedTable._mark
+        m.setattr(VersionedTable, "_mark", lambda self, version, folder: mark(self, version, ""))
+        t.overwrite(spark.range(5))
+    assert t.current() == 1 and t.read().count() == 3
+    assert t.overwrite(spark.range(6)) == 3 and t.read().count() == 6
+    with pytest.raises(Exception):  # a second writer of the same version
+        t._mark(3, "other")
+    assert t.read().count() == 6
+
+
+def test_a_table_that_breaks_on_read_stops_no_other(spark):
+    broken = spark.range(3).select(F.raise_error(F.lit("gone")).alias("id"))
+    got = reconcile.group_check({"a": (spark.range(2), spark.range(2)), "b": (broken.distinct(), spark.range(3)), "c": (lambda: spark.read.parquet("/no/such"), spark.range(1))}).collect()
+    assert [(r["table_name"], r["status"]) for r in got] == [("a", "MATCHED"), ("b", "FAILED"), ("c", "FAILED")]
+
+
 def test_sources(spark):
     with pytest.raises(ValueError):
         readers.check_start("SPECIFIC", 0, file="../x", position=10)
     with pytest.raises(ValueError):
         readers.check_start("TIMESTAMP", 10, start_ms=11)
     assert readers.restored_names(spark.range(1).toDF("ID"), ["Id"]).columns == ["Id"]
-    assert readers.restored_names(spark.range(1).toDF("ID"), ["Id", "x"]).columns == ["ID"]
+    assert readers.restored_names(spark.range(1).toDF("ID"), ["Id", "x"]).columns == ["Id"]
+    assert readers.restored_names(spark.range(1).selectExpr("id AS ID", "id AS other"), ["Id"]).columns == ["ID", "other"]
+    assert readers.restored_names(spark.range(1).selectExpr("id AS B", "id AS A"), ["a", "b"]).columns == ["a", "b"]
+    logs = spark.createDataFrame([("bin.999999", 9), ("bin.1000000", 4), ("bin.000998", 90), ("bin.999999", 2)], "log_file string, log_pos long")
+    assert sorted(tuple(r) for r in logs.where(readers.start_filter("SPECIFIC", file="bin.999999", position=4)).collect()) == [("bin.1000000", 4), ("bin.999999", 9)]
+    readers.check_names(["orders", "a_1"], ["raw.app-1"])
+    for bad in ({"identifiers": ["a b"]}, {"topics": [".."]}, {"topics": ["a/b"]}):
+        with pytest.raises(ValueError):
+            readers.check_names(**bad)
     assert upsert_sql("t", "s", ["id", "a"], ["id"], "postgresql")[1].endswith('ON CONFLICT ("id") DO UPDATE SET "a" = EXCLUDED."a"')
 
 
