@@ -29,6 +29,14 @@ def fenced(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
+def bundled(docs: DataFrame, carry: list[str], made: list[str]) -> tuple[DataFrame, str, list[str]]:
+    """docs (doc_id, text, source where it has them) with the carried columns as one struct, its name, and which they are: those not named like what is made."""
+    (name,) = spare(docs, "carried")
+    kept = [c for c in carry if c.lower() not in {m.lower() for m in made}]
+    own = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    return docs.select(*own, F.struct(F.lit(0).alias("none_"), *[F.col(f"`{c}`") for c in kept]).alias(name)), name, kept
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share, spark.checkpoint.dir; below /tmp only where that is unset and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,8 @@ the budget is found, and only that bucket is refined by the next bits, LEVELS ti
 levels read is one short row a document.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; rows equal in id, source and text share a hash and are
-taken together; an empty table gives no rows; a source without words has target 0; only doc_id, text and source are read.
+taken together; an empty table gives no rows; a source without words has target 0; other columns are carried if named, but for those named like
+an output column, which it replaces.
 """
 
 from __future__ import annotations
@@ -17,24 +18,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, table, temporaries, written
+from .common import NOT_SPACE, bundled, table, temporaries, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BITS = 10  # of the hash, for each level
 LEVELS = 4
+MADE = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
 #: Sources up to this number are broadcast (some tens of bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
 
-def sized(docs: DataFrame, carry: list[str] = []) -> DataFrame:
-    """doc_id, source, size, the hash's LEVELS parts h0, h1, ... and the columns in carry."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, the hash's LEVELS parts h0, h1, ... and the other columns of docs but text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     content = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), text)
     digits = F.conv(F.substring(F.md5(content), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    df = docs.select("doc_id", "source", F.regexp_count(text, F.lit(f"{NOT_SPACE}+")).cast("long").alias("size"), digits.alias("h"), *carry)
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    df = docs.select("doc_id", "source", F.regexp_count(text, F.lit(f"{NOT_SPACE}+")).cast("long").alias("size"), digits.alias("h"), *rest)
     parts = [F.shiftright("h", BITS * (LEVELS - 1 - i)).bitwiseAND(2**BITS - 1).cast("int").alias(f"h{i}") for i in range(LEVELS)]
-    return df.select("doc_id", "source", "size", *parts, *carry)
+    return df.select("doc_id", "source", "size", *parts, *rest)
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -91,19 +94,20 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken (words), and carry, for every row of docs."""
-    sizes = sized(docs, carry)
+    rows, carried, kept = bundled(docs, carry, MADE)
+    sizes = sized(rows)
     with temporaries(docs.sparkSession):
-        small = written(sizes.drop(*carry), "sizes", keep=not carry)
+        small = written(sizes.drop(carried), "sizes", keep=not kept)
         plan = written(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
         few = plan.count() <= BROADCAST_SOURCES
         cuts = thresholds(small, plan)
-    sizes = sizes if carry else small
+    sizes = sizes if kept else small
     below = F.lit(False)
     for i in reversed(range(LEVELS)):
         below = (F.col(f"h{i}") < F.col(f"c{i}")) | ((F.col(f"h{i}") == F.col(f"c{i}")) & below)
     taken = _joined(sizes, cuts, few)
     taken = taken.withColumn("copies", (F.col("passes") + F.when(below, 1).otherwise(0)).cast("int"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"{carried}.`{c}`").alias(c) for c in kept])
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

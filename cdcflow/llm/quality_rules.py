@@ -9,7 +9,7 @@ rows falls below min_precision or no junk row is left.
 
 Defined cases: a null text counts as empty (n_words 0, so base_failed); null ids are kept as rows; repeated rows get equal
 results each; without labelled rows of both kinds the list is empty and only the base rules decide; an empty table gives no rows;
-columns of docs that clash with the statistics' names are left out of what is computed, only doc_id and text are read.
+other columns of docs are carried if named, but for those named like an output column, which it replaces.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import RATIOS, labelled_sample, with_base_stats, with_ratios
+from .common import bundled
+from .text_stats import BASE, RATIOS, labelled_sample, with_base_stats, with_ratios
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+MADE = [*BASE, *RATIOS, "base_failed", "rule", "kept"]
 
 
 @dataclass(frozen=True)
@@ -134,9 +136,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000,
     sample = with_ratios(with_base_stats(labelled_sample(docs, labels, "quality", max_labelled)))
     rows = sample.select("k_label", base_failed().alias("out"), *RATIOS).collect()  # max_labelled rows at most
     rules = learn_rules([r for r in rows if not r["out"]], min_precision=min_precision)
-    stats = with_ratios(with_base_stats(docs.select("doc_id", "text", *carry)))
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", first_rule(rules))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    rows, carried, kept = bundled(docs, carry, ["doc_id", "text", *MADE])
+    judged = with_ratios(with_base_stats(rows.select("doc_id", "text", carried))).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(rules))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return judged.select("doc_id", "text", *[F.col(f"{carried}.`{c}`").alias(c) for c in kept], *MADE)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from .language import op7_language_id
 from .line_dedup import op10_line_dedup
 from .masked_lm import op9_lm_scoring
 from .mixing import OP4_SQL, op4_mix_sources
-from .near_dedup import op8_minhash_near_dedup
+from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .pairwise import op6_quality_classifier
 from .quality_rules import op2_quality_rules
 from .token_files import op3_token_output
@@ -15,4 +15,4 @@ from .topk import OP1_SQL, op1_topk_search
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op3_token_output, op4_mix_sources, op5_byte_bpe, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_lm_scoring, op10_line_dedup)}
 
-ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL}

@@ -61,6 +61,8 @@ def with_base_stats(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the statistics that with_base_stats() adds.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Names of the ratios that with_ratios() adds.
 RATIOS = ["mean_word", "symbols", "dup_lines", "repeats", "distinct", "upper", "marks", "digits", "stops"]
 

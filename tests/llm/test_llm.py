@@ -97,6 +97,32 @@ def test_rules_learn_and_judge(spark):
     assert quality_rules.quality_rules(empty_docs(spark), labels(spark)).count() == 0
 
 
+def test_rules_verdict_matches_brute_force(spark):
+    docs = sample_docs(spark)
+    sample = text_stats.with_ratios(text_stats.with_base_stats(text_stats.labelled_sample(docs, labels(spark), "quality", 8000)))
+    rows = sample.select("k_label", quality_rules.base_failed().alias("out"), *text_stats.RATIOS).collect()
+    rules = quality_rules.learn_rules([r for r in rows if not r["out"]])
+    for r in quality_rules.quality_rules(docs, labels(spark)).collect():
+        n_words, *_, n_repeat = stats_of(r["text"])
+        failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+        taken = next((i for i, rule in enumerate(rules, 1) if all(r[c.feature] >= c.threshold if c.above else r[c.feature] <= c.threshold for c in rule)), None)
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, taken, not failed and taken is None)
+
+
+def test_clashing_columns_are_carried(spark):
+    names = ["n_words", "w", "_p2", "kept", "lang"]
+    docs = sample_docs(spark).select("doc_id", "text", "source").limit(9)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = quality_rules.quality_rules(docs, labels(spark), carry=names).collect()
+    assert all([r["w"], r["_p2"], r["lang"]] == ["w", "_p2", "lang"] and isinstance(r["n_words"], int) and isinstance(r["kept"], bool) for r in out) and len(out) == 9
+    names = ["size", "h", "h0", "c0", "budget", "text", "carried"]
+    for n in names:
+        docs = docs if n == "text" else docs.withColumn(n, F.lit(n))
+    out = mixing.mixed(docs, carry=names).collect()
+    assert len(out) == 9 and all([r[n] for n in ("h", "h0", "c0", "budget", "carried")] == ["h", "h0", "c0", "budget", "carried"] and isinstance(r["size"], int) and len(WORDS.findall(r["text"])) == r["size"] for r in out)
+
+
 def test_classifier_ranks_held_out_documents(spark):
     df = pairwise.op6_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     rows = df.collect()
@@ -106,6 +132,20 @@ def test_classifier_ranks_held_out_documents(spark):
     assert {r["score"] for r in pairwise.quality_scores(odd_docs(spark), labels(spark).limit(0)).collect()} == {pairwise.CUT}
 
 
+def test_classifier_scores_match_brute_force(spark):
+    docs = sample_docs(spark)
+    sample = text_stats.labelled_sample(docs, labels(spark), "quality", 8000, ~pairwise.held_out(5, 0))
+    ranker = pairwise.learn_ranker(text_stats.with_ratios(text_stats.with_base_stats(sample)).select("k_label", *text_stats.RATIOS).collect())
+    for r in pairwise.quality_scores(docs, labels(spark)).collect():
+        raw = float(ranker.features(np.array([[r[n] for n in text_stats.RATIOS]]))[0] @ ranker.weights)
+        z = min(500, max(-500, (raw - ranker.threshold) * ranker.slope)) + np.log(0.3 / 0.7)
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert pairwise.quality_scores(empty_docs(spark), labels(spark)).count() == 0
+    twice = pairwise.quality_scores(docs.union(docs), labels(spark)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("s")).collect()
+    assert all((r["n"], r["s"]) == (2, 1) for r in twice)
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -209,6 +249,35 @@ def test_language_on_the_held_out_fold(spark):
     assert {r["lang_pred"] for r in language.identify(empty_docs(spark).union(odd_docs(spark).where("lang is null"))).collect()} == {"und"}
 
 
+def test_language_predictions_match_brute_force(spark):
+    docs = sample_docs(spark)
+    model = language.learn_languages(docs)
+
+    def vector(text):
+        raw, counts = text.lower().encode(), np.zeros(language.N_FEATURES)
+        for n in range(1, 5):
+            for i in range(len(raw) - n + 1):
+                g = n
+                for b in raw[i : i + n]:
+                    g = (g * 257 + b) % 2**32
+                counts[g * 2654435761 % 2**32 >> 20] += 1
+        return np.append((np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))).astype(np.float32), 1.0)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language.identify(docs).where("doc_id % 9 = 0").collect():
+        if not re.search(r"[^\W\d_]", texts[r["doc_id"]] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        v = vector(texts[r["doc_id"]])
+        margins = model.first @ v
+        members = model.members[model.families[int(margins.argmax())]]
+        wins = {n: 0 for n in members}
+        for (a, b), w in model.pairs.items():
+            if a in wins:
+                wins[a if w @ v >= 0 else b] += 1
+        assert wins[r["lang_pred"]] == max(wins.values()) and 0 <= r["score"] <= 1
+
+
 def shingle_set(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORDS.findall(low)
@@ -437,6 +506,26 @@ def test_line_dedup_odd_inputs(spark):
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_pipeline_takes_odd_documents(spark):
+    import corpus_pipeline
+
+    odd = odd_docs(spark).unionByName(odd_docs(spark))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, empty_docs(spark)):
+            out = stage(spark, docs, SF)
+            assert docs is odd or out.count() == 0
+            assert name == "byte_bpe" or (out.columns == corpus_pipeline.COLUMNS and out.schema["text"].dataType.simpleString() == "string" and out.count() <= 3 * docs.count())
+
+
+def test_two_runs_do_not_disturb_each_other(spark):
+    import corpus_pipeline
+
+    first = corpus_pipeline.run(spark, SF)
+    second = corpus_pipeline.run(spark, SF)
+    key = lambda r: (r["doc_id"], r["ids_sha256"])
+    assert sorted(map(key, first.collect())) == sorted(map(key, second.collect()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
