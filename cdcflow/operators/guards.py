@@ -37,6 +37,28 @@ def worst_case_sizes(columns: DataFrame, chosen: Column) -> DataFrame:
     )
 
 
+#: Bytes of the largest text form of a value, by type name; types without a bound; bytes of any other type.
+TEXT_BYTES = {"TINYTEXT": 255, "TEXT": 65_535, "MEDIUMTEXT": 16_777_215}
+BLOB_BYTES = {"TINYBLOB": 255, "BLOB": 65_535, "MEDIUMBLOB": 16_777_215, "BIT": 8}
+CHARACTER_TYPES, BINARY_TYPES = ("CHAR", "VARCHAR", "ENUM", "SET"), ("BINARY", "VARBINARY")
+UNBOUNDED_TYPES = ("JSON", "LONGTEXT", "LONGBLOB", "GEOMETRY", "POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION", "GEOMCOLLECTION")
+OTHER_BYTES = 40
+
+
+def value_bytes(type_name: Column, size: Column) -> Column:
+    """Most bytes that a column's value takes as JSON: four a character, Base64 for binary types, WORST_CASE_CAP where its type has no bound."""
+    t = F.upper(F.trim(F.regexp_extract(type_name, r"^[^( ]*", 0)))
+    n = F.greatest(F.coalesce(size, F.lit(0)), F.lit(1)).cast("long")
+    base64 = lambda c: F.ceil(c / 3) * 4
+    out = F.when(t.isin(*UNBOUNDED_TYPES), F.lit(WORST_CASE_CAP))
+    for name, most in TEXT_BYTES.items():
+        out = out.when(t == name, F.lit(most))
+    for name, most in BLOB_BYTES.items():
+        out = out.when(t == name, base64(F.lit(most)))
+    out = out.when(t.isin(*CHARACTER_TYPES), 4 * n).when(t.isin(*BINARY_TYPES), base64(n)).otherwise(F.lit(OTHER_BYTES))
+    return F.least(out, F.lit(WORST_CASE_CAP)).cast("long")
+
+
 def _with_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(small) if small.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS else small, on, "left")
 

@@ -15,30 +15,52 @@ def latest_per_owner(samples: DataFrame) -> DataFrame:
     return samples.groupBy("owner_id").agg(F.max_by(F.struct(*rest), F.struct("sampled_at", "sample_id")).alias("s")).select("owner_id", "s.*")
 
 
+#: Samples of one owner are ordered within blocks of this many seconds; a block is what one window holds.
+BLOCK_SECONDS = 3600
+_ORDER = ("sampled_at", "sample_id")
+
+
+def _in_blocks(samples: DataFrame, link: Column) -> DataFrame:
+    """samples with place (number among its owner's, from 0), n (how many the owner has) and prev (the link of the one before), in the order of time and sample_id.
+
+    Rows are ordered within an owner's hour; the hours' counts and last rows, a row an hour, tell the rest, so no owner, however many samples it has, meets
+    in one task.
+    """
+    df = samples.withColumns({"_block": F.floor(F.unix_seconds("sampled_at") / BLOCK_SECONDS), "_link": link})
+    hours = df.groupBy("owner_id", "_block").agg(F.count("*").alias("rows"), F.max_by("_link", F.struct(*_ORDER)).alias("last"))
+    w = Window.partitionBy("owner_id").orderBy("_block")
+    before = F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("owner_id", "_block", before.alias("_before"), F.lag("last").over(w).alias("_last"), F.sum("rows").over(Window.partitionBy("owner_id")).alias("n"))
+    inside = Window.partitionBy("owner_id", "_block").orderBy(*_ORDER)
+    # a null owner is an owner too
+    hours = hours.withColumnsRenamed({"owner_id": "h_owner", "_block": "h_block"})
+    out = df.join(hours, F.col("owner_id").eqNullSafe(F.col("h_owner")) & (F.col("_block") == F.col("h_block")))
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    first = F.row_number().over(inside) == 1
+    return out.withColumns({"place": place, "prev": F.when(first, F.col("_last")).otherwise(F.lag("_link").over(inside))}).drop("_block", "_link", "_before", "_last", "h_owner", "h_block")
+
+
 def series_window(samples: DataFrame, as_of: Column, minutes: int | None = None, max_points: int = 200) -> DataFrame:
     """Samples of the last minutes (5 to 1440, 60 if not said), the first 4 * max_points of each owner by time."""
     m = min(max(minutes or MINUTES[1], MINUTES[0]), MINUTES[2])
     inside = samples.where(F.col("sampled_at") >= as_of - F.expr(f"INTERVAL {m} MINUTES"))
-    place = F.row_number().over(Window.partitionBy("owner_id").orderBy("sampled_at", "sample_id"))
-    return inside.withColumn("place", place).where(F.col("place") <= 4 * max_points).drop("place")
+    return _in_blocks(inside, F.lit(0)).where(F.col("place") < 4 * max_points).drop("place", "n", "prev")
 
 
 def thinned(samples: DataFrame, max_points: int) -> DataFrame:
     """Every k-th sample of an owner and the last one, k = ceil(n / max_points); all where max_points is below 2 or enough."""
-    w = Window.partitionBy("owner_id")
-    df = samples.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("sampled_at", "sample_id")))
-    if max_points >= 2:
-        stride = F.ceil(F.col("n") / max_points)
-        df = df.where((F.col("n") <= max_points) | (F.pmod(F.col("place") - 1, stride) == 0) | (F.col("place") == F.col("n")))
-    return df.drop("n", "place")
+    if max_points < 2:
+        return samples
+    stride = F.ceil(F.col("n") / max_points)
+    df = _in_blocks(samples, F.lit(0))
+    return df.where((F.col("n") <= max_points) | (F.pmod("place", stride) == 0) | (F.col("place") == F.col("n") - 1)).drop("n", "place", "prev")
 
 
 def alert_transitions(states: DataFrame, alerting: Column) -> DataFrame:
     """Rows at which an owner enters an alerting status, or goes from one to another. states: owner_id, status, sampled_at, sample_id."""
     due = F.when(alerting, F.col("status"))
-    w = Window.partitionBy("owner_id").orderBy("sampled_at", "sample_id")
-    df = states.withColumn("due", due).withColumn("was", F.lag("due").over(w))
-    return df.where(F.col("due").isNotNull() & ~F.col("due").eqNullSafe(F.col("was"))).drop("due", "was")
+    df = _in_blocks(states, F.struct(due.alias("due"))).withColumn("due", due)
+    return df.where(F.col("due").isNotNull() & ~F.col("due").eqNullSafe(F.col("prev.due"))).drop("due", "place", "n", "prev")
 
 
 def latest_open_event(events: DataFrame) -> DataFrame:
@@ -88,10 +110,26 @@ def group_status(groups: DataFrame, items: DataFrame) -> DataFrame:
     return groups.select("group_id").join(per, "group_id", "left").select("group_id", status.alias("status"))
 
 
+#: An engine's job statuses by what the platform calls them, and the states that a job starts in.
+PLATFORM = {
+    "RUNNING": ("RUNNING", "STARTING", "INITIALIZING", "CREATED", "PENDING", "SCHEDULED", "RESTARTING"),
+    "PAUSING": ("DOING_SAVEPOINT",),
+    "PAUSED": ("SAVEPOINT_DONE",),
+    "STOPPED": ("CANCELING", "CANCELLING", "CANCELED", "CANCELLED"),
+    "FINISHED": ("FINISHED",),
+}
+#: Words of an error that means a job can't go on from where it was.
+RECOVERY_WORDS = ("checkpoint", "savepoint", "binlog", "offset", "restore", "恢复", "位点", "日志已过期")
+
+
 def platform_status(engine: Column) -> Column:
-    """Platform status of an engine's job status; an unknown one is FAILED."""
-    e = F.upper(engine)
-    return (
-        F.when(e.isin("RUNNING"), "RUNNING").when(e.isin("CREATED", "INITIALIZING", "PENDING", "SCHEDULED", "DEPLOYING"), "STARTING").when(e.isin("DOING_SAVEPOINT"), "PAUSING").when(e.isin("SAVEPOINT_DONE"), "PAUSED")
-        .when(e.isin("CANCELING", "CANCELLING"), "STOPPING").when(e.isin("CANCELED", "CANCELLED"), "STOPPED").when(e.isin("FINISHED"), "FINISHED").otherwise("FAILED")
-    )
+    """Platform status of an engine's job status; an unknown one, or none, is FAILED."""
+    out = F.when(engine.isNull(), "FAILED")
+    for status, names in PLATFORM.items():
+        out = out.when(F.upper(engine).isin(*names), status)
+    return out.otherwise("FAILED")
+
+
+def needs_reinitialising(error: Column) -> Column:
+    """Does an error's text say that the job can't go on from where it was?"""
+    return F.coalesce(F.lower(error).rlike("|".join(RECOVERY_WORDS)), F.lit(False))

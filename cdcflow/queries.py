@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import decode, masking, text
+from .functions import decode, masking, predicates, text
 from .operators import apply, events, formats, guards, metrics, reconcile, reports, schema, scope
 from .plans import testlog
 from .sources import readers
@@ -772,7 +772,7 @@ def q_latest_open_event(spark, sf_dir):
     return metrics.latest_open_event(opened).select("item_id", "event_id", "status")
 
 
-_ENGINE = {"RUNNING": "RUNNING", "created": "STARTING", "PENDING": "STARTING", "DOING_SAVEPOINT": "PAUSING", "SAVEPOINT_DONE": "PAUSED", "CANCELING": "STOPPING", "CANCELED": "STOPPED", "FINISHED": "FINISHED", "FAILING": "FAILED", "what": "FAILED"}
+_ENGINE = {"RUNNING": "RUNNING", "created": "RUNNING", "PENDING": "RUNNING", "DOING_SAVEPOINT": "PAUSING", "SAVEPOINT_DONE": "PAUSED", "CANCELING": "STOPPED", "CANCELED": "STOPPED", "FINISHED": "FINISHED", "FAILING": "FAILED", "what": "FAILED"}
 
 
 @query(f"SELECT status, count(*) AS jobs FROM (SELECT [{', '.join(repr(v) for v in _ENGINE.values())}][o_orderkey % {len(_ENGINE)} + 1] AS status FROM orders) GROUP BY 1")
@@ -781,6 +781,31 @@ def q_platform_status(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(metrics.platform_status(told).alias("status")).agg(F.count("*").alias("jobs"))
 
 
+@query("SELECT event_id, event_id % 4 IN (0, 2) AS lost FROM events")
+def q_recovery_errors(spark, sf_dir):
+    texts = F.array(*[F.lit(x) for x in ("Checkpoint 7 expired", "connection refused", "binlog position is gone", " ")])
+    return _t(spark, sf_dir, "events").select("event_id", metrics.needs_reinitialising(F.get(texts, (F.col("event_id") % 4).cast("int"))).alias("lost"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND contains(c_name, '1') AND c_acctbal <= 8000")
+def q_filter_if_present(spark, sf_dir):
+    """Only the conditions that have values count; the others are gone."""
+    wanted = predicates.list_filter({"c_nationkey": None, "c_phone": " "}, {"c_name": "1"}, {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_custkey": []}, {"c_acctbal": (None, 8000)})
+    return _t(spark, sf_dir, "customer").where(wanted).select("c_custkey")
+
+
+@query(
+    """SELECT 'tbl_' || p_partkey % 40 AS table_name, CAST(least(2 * sum(b) + 320 * count(*) + 512, 4294967296) AS BIGINT) AS raw_bytes, CAST(least(2 * sum(CASE WHEN p_partkey % 2 = 0 THEN b ELSE 0 END) + 512, 4294967296) AS BIGINT) AS event_bytes, CAST(count(*) FILTER (b > 1048576) AS BIGINT) AS large_columns
+FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN 4 * p_size WHEN 2 THEN 40 WHEN 3 THEN CAST(ceil(p_size / 3.0) * 4 AS BIGINT) WHEN 4 THEN CASE WHEN p_partkey % 40 < 8 THEN 22369620 ELSE 340 END WHEN 5 THEN 65535 WHEN 6 THEN 12 WHEN 7 THEN CASE WHEN p_partkey % 40 = 7 THEN 4294967296 ELSE 255 END ELSE 40 END AS b FROM part) GROUP BY 1"""
+)
+def q_bytes_by_type(spark, sf_dir):
+    k = F.col("p_partkey")
+    few = k % 40
+    kinds = F.array(F.lit("int"), F.lit("varchar(9)"), F.lit("datetime"), F.lit("varbinary"), F.when(few < 8, "mediumblob").otherwise("tinyblob"), F.lit("text"), F.lit("bit"), F.when(few == 7, "json").otherwise("TINYTEXT"))
+    columns = _t(spark, sf_dir, "part").select(k, F.concat(F.lit("tbl_"), few).alias("table_name"), guards.value_bytes(F.get(kinds, (k % 8).cast("int")), F.col("p_size")).alias("value_bytes"))
+    return guards.worst_case_sizes(columns, k % 2 == 0)
+
+
 @query(
     """SELECT p_partkey, 'password=******, part ' || p_partkey AS hidden, regexp_replace(p_name, '^.* ', '') AS last_word, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || '.x' END AS qualified, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END AS db, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'x' END AS tbl,
 CASE WHEN p_size * 100 >= 1024 THEN printf('%.1f KiB', p_size * 100 / 1024.0) ELSE CAST(p_size * 100 AS VARCHAR) || ' B' END AS size_text, left(p_name, 7) AS cut, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS number FROM part"""
