@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.apply import ORDER, merged_into
+from .catalog import connection
 
 
 def _fs(spark: SparkSession, path: str):
@@ -84,18 +85,40 @@ def jdbc_overwrite(df: DataFrame, url: str, table: str, column_types: str | None
 def jdbc_stage_changes(changes: DataFrame, url: str, stage_table: str, batch_size: int = 100, properties: dict | None = None) -> None:
     """Write the last change of each key to a staging table, from which the database upserts and deletes in one statement of its dialect."""
     flat = changes.select("key", "op", "data.*")
-    flat.write.format("jdbc").mode("overwrite").option("url", url).option("dbtable", stage_table).option("batchsize", batch_size).options(**(properties or {})).save()
+    flat.write.format("jdbc").mode("overwrite").option("createTableColumnTypes", "op VARCHAR(8)").option("url", url).option("dbtable", stage_table).option("batchsize", batch_size).options(**(properties or {})).save()
 
 
 def upsert_sql(target: str, stage: str, columns: list[str], keys: list[str], dialect: str) -> list[str]:
-    """Statements that bring a staging table of last changes into the target: deletes first, then upserts."""
-    q = '"' if dialect == "postgresql" else "`"
+    """Statements that bring a staging table of last changes into the target: deletes first, then upserts; one MERGE in the standard dialect."""
+    q = "`" if dialect == "mysql" else '"'
     name = lambda c: f"{q}{c}{q}"
     listed, on = ", ".join(map(name, columns)), " AND ".join(f"t.{name(k)} = s.{name(k)}" for k in keys)
     rest = [c for c in columns if c not in keys]
+    if dialect == "standard":
+        put = f"WHEN NOT MATCHED AND s.{name('op')} <> 'DELETE' THEN INSERT ({listed}) VALUES ({', '.join(f's.{name(c)}' for c in columns)})"
+        change = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{name(c)} = s.{name(c)}' for c in rest)}" if rest else ""
+        return [f"MERGE INTO {target} t USING {stage} s ON {on} WHEN MATCHED AND s.{name('op')} = 'DELETE' THEN DELETE{change} {put}"]
     gone = f"DELETE FROM {target} t USING {stage} s WHERE {on} AND s.op = 'DELETE'" if dialect == "postgresql" else f"DELETE t FROM {target} t JOIN {stage} s ON {on} WHERE s.op = 'DELETE'"
     put = f"INSERT INTO {target} ({listed}) SELECT {listed} FROM {stage} WHERE op <> 'DELETE'"
     if dialect == "postgresql":
         tail = "DO UPDATE SET " + ", ".join(f"{name(c)} = EXCLUDED.{name(c)}" for c in rest) if rest else "DO NOTHING"
         return [gone, f"{put} ON CONFLICT ({', '.join(map(name, keys))}) {tail}"]
     return [gone, f"{put} ON DUPLICATE KEY UPDATE " + ", ".join(f"{name(c)} = VALUES({name(c)})" for c in rest or keys)]
+
+
+def jdbc_apply(changes: DataFrame, url: str, target: str, stage: str, keys: list[str], dialect: str, properties: dict | None = None) -> None:
+    """Bring the last change of each key (apply.latest_changes) into a target table: staged in parallel, then applied in one transaction.
+
+    Applying the same changes again leaves the same rows, so a streaming batch may come twice: use it as jobs.apply_stream's write.
+    """
+    spark = changes.sparkSession
+    jdbc_stage_changes(changes, url, stage, properties=properties)
+    with connection(spark, url, properties) as conn:
+        conn.setAutoCommit(False)
+        try:
+            for statement in upsert_sql(target, stage, changes.schema["data"].dataType.names, keys, dialect):
+                conn.createStatement().executeUpdate(statement)
+            conn.commit()
+        except Exception:
+            conn.rollback()
+            raise

@@ -152,6 +152,37 @@ def test_jdbc_round_trip(spark):
     assert readers.snapshot(spark, url, "T1", ["ID"], "ID", (0, 10), 3).count() == 10
 
 
+def test_changes_are_applied_over_jdbc(spark):
+    from cdcflow.operators import apply, events
+    from cdcflow.sources.catalog import connection, read_catalog
+    from cdcflow.sources.sinks import jdbc_apply
+
+    url = "jdbc:derby:memory:upsert;create=true"
+    with connection(spark, url) as conn:
+        conn.createStatement().executeUpdate('CREATE TABLE "people" ("id" BIGINT NOT NULL PRIMARY KEY, "name" VARCHAR(20) NOT NULL, "note" VARCHAR(9) DEFAULT \'x\')')
+        conn.createStatement().executeUpdate('CREATE UNIQUE INDEX "by_name" ON "people" ("name", "id")')
+        conn.createStatement().executeUpdate("INSERT INTO \"people\" VALUES (1, 'old', NULL), (2, 'gone', NULL), (3, 'kept', NULL)")
+    row = "struct<id:bigint,name:string>"
+    records = [("u", (1, "old"), (1, "new")), ("d", (2, "gone"), None), ("c", None, (4, "added")), ("c", None, (5, "brief")), ("d", (5, "brief"), None)]
+    log = spark.createDataFrame([("t", i, *r, "app", "people", 0) for i, r in enumerate(records)], f"raw_topic string, offset long, op string, before {row}, after {row}, db string, tbl string, ts_ms long")
+    changes = apply.latest_changes(events.normalize(log, ["id"]))
+    for _ in range(2):
+        jdbc_apply(changes, url, '"people"', "stage", ["id"], "standard")
+        got = readers.snapshot(spark, url, '"people"', ["id", "name"]).orderBy("id").collect()
+        assert [tuple(r) for r in got] == [(1, "new"), (3, "kept"), (4, "added")]
+    columns, keys, errors = read_catalog(spark, url, ["people", "nowhere"])
+    assert [(r["column_name"], r["nullable"], r["default_value"]) for r in columns.orderBy("position").collect()] == [("id", False, None), ("name", False, None), ("note", True, "'x'")]
+    assert [tuple(r) for r in errors.collect()] == [("nowhere", "table not found")]
+    assert [r["key_columns"] for r in schema.key_candidates(columns, keys).orderBy("rank").collect()] == [["id"], ["name", "id"]]
+
+
+def test_check_is_refused_while_changes_flow():
+    reconcile.check_standing_still("FULL_CDC", "PAUSED")
+    reconcile.check_standing_still("FULL", "RUNNING")
+    with pytest.raises(ValueError):
+        reconcile.check_standing_still("full_cdc", "RUNNING")
+
+
 def test_entry_has_queries():
     import __spark_entry__ as e
 
