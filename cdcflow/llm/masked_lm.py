@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, table, temporaries, words, written
 
-CLASSES, WITHIN = 48, 48
+CLASSES, WITHIN = 40, 40
 VOCABULARY = CLASSES * WITHIN
 KNOWN = VOCABULARY - 256  # the others stand for words that begin with a byte
 PAD = VOCABULARY
@@ -98,7 +98,7 @@ def spelling(counts: DataFrame, known: list[str]) -> np.ndarray:
 
 
 class Ids(dict):
-    """Rows of words in the arrays ids and logs (of their spelling); words that it hasn't seen are added."""
+    """Rows of words in the arrays ids and logs (of their spelling); words that it hasn't seen get the next rows when they are looked up, and learn() fills these."""
 
     def __init__(self, known: list[str], spelled: np.ndarray):
         self.known, self.spelled = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(known)}, spelled
@@ -106,15 +106,22 @@ class Ids(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.update({w: i for w, i in self.known.items()})
+        self.update(self.known)
+        self.fresh: list[bytes] = []
         self.ids, self.logs = np.arange(len(self.known)), np.zeros(len(self.known))
 
-    def add(self, fresh: list[bytes]) -> None:
-        context, symbol, owner = spelling_steps(fresh)
-        logs = np.bincount(owner, weights=self.spelled[context, symbol], minlength=len(fresh))
-        self.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
-        self.ids = np.concatenate([self.ids, KNOWN + np.array([p[0] for p in fresh])])
-        self.logs = np.concatenate([self.logs, logs])
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        row = self[word] = len(self)
+        return row
+
+    def learn(self) -> None:
+        if self.fresh:
+            context, symbol, owner = spelling_steps(self.fresh)
+            logs = np.bincount(owner, weights=self.spelled[context, symbol], minlength=len(self.fresh))
+            self.ids = np.concatenate([self.ids, KNOWN + np.fromiter((p[0] for p in self.fresh), np.int64, len(self.fresh))])
+            self.logs = np.concatenate([self.logs, logs])
+            self.fresh = []
 
 
 def _to_ids(known: list[str], spelled: np.ndarray):
@@ -124,16 +131,14 @@ def _to_ids(known: list[str], spelled: np.ndarray):
         place = Ids(known, spelled)
         for batch in batches:
             out, logs = [], []
-            for start in range(0, batch.num_rows, 200):
-                split = [(t.as_py() or "").lower().encode("utf-8", "surrogatepass").split() for t in batch.column("text").slice(start, 200)]
+            for start in range(0, batch.num_rows, 500):
                 if len(place) > REMEMBERED:
                     place.forget()
-                if fresh := [p for p in {p for s in split for p in s} if p not in place]:
-                    place.add(fresh)
-                for pieces in split:
-                    rows = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-                    out.append(place.ids[rows].astype("<u2").tobytes())
-                    logs.append(float(np.sort(place.logs[rows]).sum()))
+                split = [(t.as_py() or "").lower().encode("utf-8", "surrogatepass").split() for t in batch.column("text").slice(start, 500)]
+                rows = [np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces)) for pieces in split]
+                place.learn()
+                out += [place.ids[r].astype("<u2").tobytes() for r in rows]
+                logs += [float(place.logs[r].sum()) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(logs, pa.float64())], names=["doc_id", "ids", "spelled"])
 
     return run
@@ -156,18 +161,10 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
-
-
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _in_classes(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts targets of one class side by side, and where the classes begin and end in it."""
     classes = (targets // WITHIN).astype(np.uint8)
-    order = np.argsort(classes, kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
-    for c in range(CLASSES):
-        if len(rows := order[ends[c - 1] if c else 0 : ends[c]]):
-            yield c, rows
+    return np.argsort(classes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=CLASSES))])
 
 
 def projected(p: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -185,11 +182,19 @@ def _hidden(p: dict[str, np.ndarray], adds: list[np.ndarray], padded: np.ndarray
 
 def log_probabilities(p: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, adds: list[np.ndarray] | None = None) -> np.ndarray:
     """Of the tokens at the places at of padded, from both sides."""
-    h = _hidden(p, adds or projected(p), padded, at)
-    targets = padded[at]
-    out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(at)), targets // WITHIN]
-    for c, rows in _by_class(targets):
-        out[rows] += _log_softmax(h[rows] @ p["o"][c] + p["ob"][c])[np.arange(len(rows)), targets[rows] % WITHIN]
+    order, ends = _in_classes(padded[at])
+    at = at[order]
+    h, targets = _hidden(p, adds or projected(p), padded, at), padded[at]
+    z, row = h @ p["c"] + p["cb"], np.arange(len(at))
+    told = z[row, targets // WITHIN] - np.log(np.exp(z, out=z).sum(1))  # weights are small, so nothing overflows
+    z = np.empty((len(at), WITHIN), np.float32)
+    for c in range(CLASSES):
+        part = slice(ends[c], ends[c + 1])
+        np.matmul(h[part], p["o"][c], out=z[part])
+        z[part] += p["ob"][c]
+    told += z[row, targets % WITHIN] - np.log(np.exp(z, out=z).sum(1))
+    out = np.empty(len(at), np.float32)
+    out[order] = told
     return out
 
 
@@ -202,26 +207,37 @@ class Trainer:
 
     def step(self, padded: np.ndarray, at: np.ndarray) -> None:
         p, n = self.p, len(at)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        h = _hidden(p, projected(p), padded, at)
-        targets = padded[at]
-        d = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
-        d[np.arange(n), targets // WITHIN] -= 1
+        g = {k: np.zeros_like(p[k]) for k in ("w", "o", "ob")}
+        order, ends = _in_classes(padded[at])
+        at = at[order]
+        h, targets, row = _hidden(p, projected(p), padded, at), padded[at], np.arange(n)
+
+        def softmax(z: np.ndarray) -> np.ndarray:
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            return z
+
+        d = softmax(h @ p["c"] + p["cb"])
+        d[row, targets // WITHIN] -= 1
         g["c"], g["cb"], dh = h.T @ d, d.sum(0), d @ p["c"].T
-        for c, rows in _by_class(targets):
-            some = h[rows]
-            d = np.exp(_log_softmax(some @ p["o"][c] + p["ob"][c]))
-            d[np.arange(len(rows)), targets[rows] % WITHIN] -= 1
-            g["o"][c], g["ob"][c] = some.T @ d, d.sum(0)
-            dh[rows] += d @ p["o"][c].T
+        z = np.empty((n, WITHIN), np.float32)
+        for c in range(CLASSES):
+            part = slice(ends[c], ends[c + 1])
+            np.matmul(h[part], p["o"][c], out=z[part])
+            z[part] += p["ob"][c]
+        d = softmax(z)
+        d[row, targets % WITHIN] -= 1
+        for c in range(CLASSES):
+            part = slice(ends[c], ends[c + 1])
+            g["o"][c], g["ob"][c] = h[part].T @ d[part], d[part].sum(0)
+            dh[part] += d[part] @ p["o"][c].T
         dh *= 1 - h * h
         g["b"] = dh.sum(0)
         context = np.concatenate([padded[at + k] for k in PLACES])
-        back = np.concatenate([dh @ p["w"][j].T for j in range(len(PLACES))])
+        back = np.ascontiguousarray(np.concatenate([p["w"][j] @ dh.T for j in range(len(PLACES))], axis=1))
         for j in range(len(PLACES)):
             g["w"][j] = p["e"][context[j * n : (j + 1) * n]].T @ dh
-        for i in range(DIM):
-            g["e"][:, i] = np.bincount(context, weights=back[:, i], minlength=VOCABULARY + 1)
+        g["e"] = np.stack([np.bincount(context, weights=b, minlength=VOCABULARY + 1) for b in back], axis=1).astype(np.float32)
         for k in p:
             grad = g[k] / np.float32(n)
             self.seen[k] += grad * grad
@@ -304,8 +320,8 @@ def _score(flat: np.ndarray):
         for batch in batches:
             sums, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for padded, at, owner, start, n in padded_runs(batch.column("ids")):
-                for s in range(0, len(at), 16_384):
-                    part = slice(s, s + 16_384)
+                for s in range(0, len(at), 8_192):
+                    part = slice(s, s + 8_192)
                     sums[start : start + n] += np.bincount(owner[part], weights=log_probabilities(p, padded, at[part], adds), minlength=n)
                 sizes[start : start + n] = np.bincount(owner, minlength=n)
             sums += batch.column("spelled").to_numpy()
