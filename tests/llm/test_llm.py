@@ -479,6 +479,21 @@ def test_line_dedup_finds_edit_similar_lines(spark):
     assert len(truth) > 30 and sum(group.get(r["a"], r["a"]) == group.get(r["b"], r["b"]) for r in truth) >= 0.9 * len(truth)
 
 
+def test_similar_pairs_are_exact(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(400):
+        w = ["".join(rng.choice("abé日") for _ in range(rng.randint(1, 6))) for _ in range(rng.choice((1, 3, 12, 90)))]
+        x = list(w)
+        for _ in range(rng.randint(0, max(1, len(w) // 4))):
+            at = rng.randrange(len(x)) if x else 0
+            x[at : at + rng.randint(0, 1)] = [] if rng.random() < 0.3 and len(x) > 1 else ["".join(rng.choice("abé日") for _ in range(rng.randint(1, 9)))]
+        rows.append((" ".join(w), " ".join(x)))
+    both = spark.createDataFrame(rows, "a_norm string, b_norm string").distinct()
+    allowed = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * 0.2 + 1e-9)
+    want = sorted(map(tuple, both.where(F.levenshtein("a_norm", "b_norm") <= allowed).collect()))
+    assert 50 < len(want) < 390 and sorted(map(tuple, line_dedup.similar_pairs(both, 0.8).collect())) == want
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     words = [f"word{i}" for i in range(9)]
     lines = spark.createDataFrame([(1, " ".join(words))], "key long, norm string").repartition("key")
