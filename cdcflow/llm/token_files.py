@@ -4,8 +4,8 @@ Ids are dealt by range, so each partition writes one file, file by file in order
 its own for each attempt; only the files that the manifest (one row a file) names count, so a task that runs again leaves no harm.
 Reading starts from the manifest: a file's offset is the sum of the ids before it, and each task reads its files' frames.
 
-The vocabulary splits at ASCII white space and nothing it does reaches across, so a text's ids are those of its white-space-separated
-pieces in order, and each process encodes a piece that it has seen lately only once.
+If the vocabulary's file says that it lower-cases, splits at white space and lets nothing reach across (splits_at_space), a text's ids are those of its
+white-space-separated pieces in order, and each process encodes a piece that it has seen lately only once; else whole texts are encoded.
 
 Defined cases: a null text is empty and gets the end id alone; null ids come first; rows with equal ids are ordered by a hash of their text and each
 keep their place; an empty table gives no rows; other columns aren't read.
@@ -33,6 +33,25 @@ END_ID = 1
 MAX_PIECES = 1_000_000  # remembered at a time
 
 
+#: The normaliser and the splits of vocabularies that can be encoded piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_space(vocabulary: str) -> bool:
+    """Does the file describe a vocabulary whose ids of a text are those of its white-space-separated, lower-cased pieces?"""
+    with open(vocabulary, encoding="utf-8") as f:
+        j = json.load(f)
+    own = [t for t in j["added_tokens"] if not t["special"]]
+    return j["normalizer"] == NORMALIZER and j["pre_tokenizer"] == PRE_TOKENIZER and j["model"]["type"] == "BPE" and not j["model"].get("dropout") and not own
+
+
 class PieceEncoder:
     """Encodes texts piece by piece and remembers pieces.
 
@@ -47,6 +66,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.by_piece = splits_at_space(vocabulary)
         self.forget()
 
     def forget(self) -> None:
@@ -80,6 +100,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_piece:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.place) > MAX_PIECES:
             self.forget()
         place, known = self.place, len(self.place)

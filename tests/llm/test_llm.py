@@ -1,6 +1,7 @@
 """Each operator against brute force, exact round trips or held-out accuracy, and its odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -193,6 +194,19 @@ def test_piece_encoder_equals_the_tokenizer():
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    j = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    j["normalizer"]["normalizers"].pop()  # no lower case any more
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(j), encoding="utf-8")
+    e, t = token_files.PieceEncoder(str(path)), Tokenizer.from_file(str(path))
+    texts = ["Some Words that AREN'T lower", "", "x  Y"]
+    assert token_files.splits_at_space(P.path("word_bpe_49k.json")) and not e.by_piece
+    assert [i.tolist() for i in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_bpe_stitches_exactly(spark):
     vocabulary = P.path("byte_bpe_multi_50k.tiktoken")
     e = byte_bpe.encoding(vocabulary, P.PATTERN)
