@@ -12,7 +12,10 @@ from .pairwise import op6_quality_classifier
 from .quality_rules import op2_quality_rules
 from .token_files import op3_token_output
 from .topk import OP1_SQL, op1_topk_search
+from .variants import OP12_SQL, op12_spelling_variants
+from .warc import OP13_SQL, op13_warc
+from .whitening import op11_embedding_whitening
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op3_token_output, op4_mix_sources, op5_byte_bpe, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_lm_scoring, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_quality_rules, op3_token_output, op4_mix_sources, op5_byte_bpe, op6_quality_classifier, op7_language_id, op8_minhash_near_dedup, op9_lm_scoring, op10_line_dedup, op11_embedding_whitening, op12_spelling_variants, op13_warc)}
 
-ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_spelling_variants": OP12_SQL, "op13_warc": OP13_SQL}
