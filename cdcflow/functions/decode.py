@@ -1,7 +1,8 @@
-"""Connect change envelopes to typed rows, in native expressions."""
+"""Connect change envelopes to typed rows, in native expressions: by declared fields, or by the schema that each record brings."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,21 +14,22 @@ from .text import DEFAULT_ZONE
 
 @dataclass(frozen=True)
 class Field:
-    """A source column. kind: int, uint64, bool, decimal, float, double, date, millis, micros, nanos, zoned, time_ms, time_us, time_ns, bytes, text, geometry."""
+    """A source column. kind: int, uint64, bool, decimal, float, double, date, millis, micros, nanos, zoned, time_ms, time_us, time_ns, bytes, text, geometry, json (any other value, as it is). scale: digits behind a decimal's point."""
 
     name: str
     kind: str
+    scale: int = 10
 
 
-#: How each kind arrives in the envelope.
+#: How each kind arrives in the envelope. Truth values come as true or as numbers.
 ARRIVES = {
-    "int": "bigint", "uint64": "decimal(20,0)", "bool": "int", "decimal": "decimal(38,10)", "float": "float", "double": "double", "date": "int", "millis": "bigint", "micros": "bigint",
-    "nanos": "bigint", "zoned": "string", "time_ms": "bigint", "time_us": "bigint", "time_ns": "bigint", "bytes": "string", "text": "string", "geometry": "struct<wkb:string,srid:int>",
+    "int": "bigint", "uint64": "decimal(38,0)", "bool": "string", "decimal": "decimal(38,{scale})", "float": "float", "double": "double", "date": "int", "millis": "bigint", "micros": "bigint",
+    "nanos": "bigint", "zoned": "string", "time_ms": "bigint", "time_us": "bigint", "time_ns": "bigint", "bytes": "string", "text": "string", "geometry": "struct<wkb:string,srid:int>", "json": "string",
 }
 
 
 def image_schema(fields: list[Field]) -> str:
-    return "struct<" + ",".join(f"`{f.name}`:{ARRIVES[f.kind]}" for f in fields) + ">"
+    return "struct<" + ",".join("`" + f.name.replace("`", "``") + "`:" + ARRIVES[f.kind].format(scale=f.scale) for f in fields) + ">"
 
 
 def payload_schema(fields: list[Field]) -> str:
@@ -45,38 +47,75 @@ def time_text(nanos: Column) -> Column:
     return F.when(nanos < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-def local_text(micros: Column) -> Column:
-    """ISO local date-time of epoch microseconds, seconds left out if zero, as are trailing zeros of the fraction in threes."""
-    at, part = F.timestamp_micros(micros), F.pmod(micros, F.lit(1_000_000))
-    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
-    digits = F.lpad(part.cast("string"), 6, "0")
-    return F.when(part == 0, F.when(F.date_format(at, "ss") == "00", F.date_format(at, "yyyy-MM-dd'T'HH:mm")).otherwise(whole)).otherwise(
-        F.concat(whole, F.lit("."), F.when(F.pmod(part, F.lit(1000)) == 0, F.substring(digits, 1, 3)).otherwise(digits))
-    )
+def local_text(seconds: Column, nanos: Column) -> Column:
+    """ISO local date-time of epoch seconds and nanoseconds of the second: seconds always, the fraction without trailing zeros and only if there is one."""
+    whole = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    digits = F.rtrim(F.lpad(nanos.cast("string"), 9, "0"), F.lit("0"))
+    return F.when(nanos == 0, whole).otherwise(F.concat(whole, F.lit("."), digits))
+
+
+#: Units of a second in the kinds of date-times, and nanoseconds in a unit of the kinds of times.
+_PER_SECOND = {"millis": 1000, "micros": 1_000_000, "nanos": 1_000_000_000}
+_NANOS = {"time_ms": 1_000_000, "time_us": 1000, "time_ns": 1}
 
 
 def decoded(value: Column, kind: str, zone: str = DEFAULT_ZONE) -> Column:
-    """The published value of a field. The session zone must be UTC."""
+    """The published value of a field; a decimal keeps its type, and json_text() writes it. The session zone must be UTC."""
     if kind == "bool":
-        return value != 0
+        said = F.lower(value)
+        return F.when(said.isin("true", "false"), said == "true").otherwise(said.try_cast("decimal(38,0)") != 0)
     if kind == "float":
         return value.cast("float").cast("string").cast("double")
     if kind == "date":
         return F.date_from_unix_date(value)
-    if kind in ("millis", "micros", "nanos"):
-        return local_text(value * 1000 if kind == "millis" else value if kind == "micros" else F.floor(value / 1000))
+    if kind in _PER_SECOND:
+        by = F.lit(_PER_SECOND[kind]).cast("long")
+        part = F.pmod(value, by)
+        return local_text(F.call_function("div", value - part, by), part * (1_000_000_000 // _PER_SECOND[kind]))
     if kind == "zoned":
-        return local_text(F.unix_micros(F.from_utc_timestamp(F.to_timestamp(value), zone)))
-    if kind in ("time_ms", "time_us", "time_ns"):
-        return time_text(value * {"time_ms": 1_000_000, "time_us": 1000, "time_ns": 1}[kind])
+        micros = F.unix_micros(F.from_utc_timestamp(F.to_timestamp(value), zone))
+        part = F.pmod(micros, F.lit(1_000_000).cast("long"))
+        return local_text(F.call_function("div", micros - part, F.lit(1_000_000).cast("long")), part * 1000)
+    if kind in _NANOS:  # to microseconds, as the source has them
+        nanos = value * _NANOS[kind]
+        return time_text(nanos - F.pmod(nanos, F.lit(1000).cast("long")))
     if kind == "geometry":
         return value["wkb"]
     return value
 
 
 def decimal_text(value: Column) -> Column:
-    """A decimal as JSON publishes it: whole numbers without a fraction, others as a double."""
-    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("double").cast("string"))
+    """A decimal as JSON publishes it: whole numbers exactly and without a fraction, others as a double."""
+    text = value.cast("string")  # compared as text: a decimal and its floor meet in a type with fewer digits
+    whole = F.regexp_replace(F.substring_index(text, ".", 1), "^-0$", "0")
+    return F.when(text.rlike(r"^-?\d+(\.0*)?$"), whole).otherwise(value.cast("double").cast("string"))
+
+
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def json_text(row: Column, kind: T.StructType, raw: tuple[str, ...] = ()) -> Column:
+    """A struct as a JSON object in the order of its columns, nulls kept and decimals by decimal_text(); null for a null struct. raw: columns that hold JSON text."""
+    fractions = {f.name for f in kind if isinstance(f.dataType, T.DecimalType) and f.dataType.scale > 0}
+    if not fractions and not raw:
+        return F.to_json(row, KEEP_NULLS)
+    parts, plain = [], []
+
+    def flush() -> None:
+        if plain:
+            some = F.to_json(F.struct(*[row.getField(n).alias(n) for n in plain]), KEEP_NULLS)
+            parts.append(F.substring(some, F.lit(2), F.length(some) - 2))
+            plain.clear()
+
+    for f in kind:
+        if f.name in fractions or f.name in raw:
+            flush()
+            value = row.getField(f.name)
+            parts.append(F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), F.coalesce(decimal_text(value) if f.name in fractions else value, F.lit("null"))))
+        else:
+            plain.append(f.name)
+    flush()
+    return F.when(row.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
 
 
 def decode_log(raw: DataFrame, fields: list[Field], zone: str = DEFAULT_ZONE) -> DataFrame:
@@ -112,3 +151,115 @@ def decode_log(raw: DataFrame, fields: list[Field], zone: str = DEFAULT_ZONE) ->
 
 def row_type(df: DataFrame, image: str = "after") -> T.StructType:
     return df.schema[image].dataType
+
+
+# --- by the schema that each record brings
+
+#: Logical types of a column's schema, and where it tells the type and length in the source.
+LOGICAL = {
+    "org.apache.kafka.connect.data.Decimal": "decimal", "io.debezium.time.Date": "date", "io.debezium.time.Timestamp": "millis", "io.debezium.time.MicroTimestamp": "micros", "io.debezium.time.NanoTimestamp": "nanos",
+    "io.debezium.time.ZonedTimestamp": "zoned", "io.debezium.time.Time": "time_ms", "io.debezium.time.MicroTime": "time_us", "io.debezium.time.NanoTime": "time_ns",
+}
+SOURCE_TYPE, SOURCE_LENGTH = "__debezium.source.column.type", "__debezium.source.column.length"
+#: Schemas of a log that one expression may tell apart; more are refused, as each adds a branch to it.
+MAX_SCHEMAS = 500
+
+
+def column_field(column: dict) -> Field:
+    """The field that a column's schema (field, type, name, parameters) describes."""
+    told = column.get("parameters") or {}
+    name, kind, source = column["field"], column.get("type") or "", (told.get(SOURCE_TYPE) or "").upper()
+    if column.get("name") in LOGICAL:
+        return Field(name, LOGICAL[column["name"]], int(told.get("scale") or 0))
+    if kind in ("int8", "int16", "int32", "int64"):
+        return Field(name, "bool" if source == "TINYINT" and told.get(SOURCE_LENGTH) == "1" else "uint64")
+    if kind in ("float", "double"):
+        return Field(name, "float" if source.startswith("FLOAT") else "double")
+    if kind == "struct":
+        return Field(name, "geometry" if any(f.get("field") == "wkb" for f in column.get("fields") or []) else "json")
+    return Field(name, {"boolean": "bool", "bytes": "bytes", "string": "text"}.get(kind, "json"))
+
+
+def envelope_fields(schema: str) -> list[Field]:
+    """The row's fields, in order, from an envelope's schema: those of its after, else of its before; none if it tells of no row."""
+    for image in ("after", "before"):
+        columns: dict[str, Field] = {}
+        for part in json.loads(schema).get("fields") or []:
+            if part.get("field") == image:
+                for column in part.get("fields") or []:
+                    columns.setdefault(column["field"], column_field(column))
+        if columns:
+            return list(columns.values())
+    return []
+
+
+def with_schema_key(raw: DataFrame) -> DataFrame:
+    """raw with schema_text and schema_key (its SHA-256): the schema that an envelope brings, null for other records."""
+    text = F.when(F.col("value").startswith('{"schema":'), F.get_json_object("value", "$.schema"))
+    return raw.withColumn("schema_text", text).withColumn("schema_key", F.sha2("schema_text", 256))
+
+
+def collected_schemas(raw: DataFrame) -> dict[str, list[Field]]:
+    """Fields by schema_key of all schemas of a log: a row a version of a table, MAX_SCHEMAS at most."""
+    found = with_schema_key(raw).where("schema_key is not null").groupBy("schema_key").agg(F.first("schema_text").alias("schema_text")).limit(MAX_SCHEMAS + 1).collect()
+    if len(found) > MAX_SCHEMAS:
+        raise ValueError(f"more than {MAX_SCHEMAS} schemas; decode the tables' logs one by one")
+    return {r["schema_key"]: envelope_fields(r["schema_text"]) for r in found}
+
+
+def _images(fields: list[Field], zone: str) -> Column:
+    """before and after of an envelope of the given fields, as JSON texts."""
+    row = image_schema(fields)
+    kind = T.StructType([T.StructField(f.name, T.DecimalType(38, f.scale) if f.kind == "decimal" else T.StringType()) for f in fields])
+    raw = tuple(f.name for f in fields if f.kind == "json")
+
+    def image(of: Column) -> Column:
+        made = F.struct(*[decoded(of.getField(f.name), f.kind, zone).alias(f.name) for f in fields])
+        return F.when(of.isNotNull(), json_text(made, kind, raw))
+
+    payload = F.from_json("value", f"struct<payload:struct<before:{row},after:{row}>>")["payload"]
+    both = F.transform(F.array(payload), lambda p: F.struct(image(p["before"]).alias("before"), image(p["after"]).alias("after")))
+    return F.get(both, F.lit(0))
+
+
+def decode_by_schema(raw: DataFrame, schemas: dict[str, list[Field]] | None = None, zone: str = DEFAULT_ZONE) -> DataFrame:
+    """raw (raw_topic, offset, value) -> raw_topic, offset, op, before, after (JSON texts), db, tbl, ts_ms, plain, schema_key, decode_error.
+
+    Every envelope is decoded by its own schema, so a log may hold several versions of a table, or several tables; an image has its record's columns, in its schema's order.
+    Envelopes without an op and tombstones are left out. One whose schema tells of no row, or isn't among schemas (which are collected if not given), has a decode_error and no
+    images. Records of the older shape and plain rows come as they are. Whole decimals beyond 38 digits are null: declare them as text at the source.
+    """
+    schemas = collected_schemas(raw) if schemas is None else schemas
+    df = with_schema_key(raw).where("value is not null").drop("schema_text")
+    head = F.from_json("value", "struct<payload:struct<op:string,source:struct<db:string,`table`:string,ts_ms:bigint>,ts_ms:bigint>,op:string,source:struct<database:string,db:string,`table`:string,ts_ms:bigint>,ts_ms:bigint>")
+    df = df.withColumn("h", head).withColumn("own", F.col("schema_key").isNotNull()).where("not own or h.payload.op is not null")
+    images = F.lit(None).cast("struct<before:string,after:string>")
+    for key, fields in schemas.items():
+        if not fields:
+            continue
+        images = F.when(F.col("schema_key") == key, _images(fields, zone)).otherwise(images)
+    raw_image = lambda c: F.nullif(F.get_json_object("value", f"$.{c}"), F.lit("null"))
+    plain = ~F.col("own") & F.col("h.op").isNull() & F.col("h.source").isNull() & raw_image("before").isNull() & raw_image("after").isNull()
+    df = df.withColumn("plain", plain).withColumn("i", images)
+    told = F.col("own") & F.col("schema_key").isin(*[k for k, f in schemas.items() if f])
+    known = F.col("schema_key").isin(*schemas)
+    source_ms = F.when(F.col("own"), F.col("h.payload.source.ts_ms"))
+    pick = lambda mine, older: F.when(F.col("own"), F.col(mine)).otherwise(older)
+    return df.select(
+        "raw_topic",
+        "offset",
+        F.when(F.col("plain"), "r").otherwise(pick("h.payload.op", F.col("h.op"))).alias("op"),
+        F.when(F.col("own"), F.col("i.before")).when(~F.col("plain"), raw_image("before")).alias("before"),
+        F.when(F.col("own"), F.col("i.after")).when(F.col("plain"), F.get_json_object("value", "$")).otherwise(raw_image("after")).alias("after"),
+        pick("h.payload.source.db", F.coalesce("h.source.database", "h.source.db")).alias("db"),
+        pick("h.payload.source.table", F.col("h.source.table")).alias("tbl"),
+        F.when(source_ms > 0, source_ms).otherwise(pick("h.payload.ts_ms", F.col("h.ts_ms"))).alias("ts_ms"),
+        "plain",
+        "schema_key",
+        F.when(F.col("own") & ~told, F.when(known, "no row in the schema").otherwise("unknown schema")).alias("decode_error"),
+    )
+
+
+def typed_images(decoded_log: DataFrame, row: str) -> DataFrame:
+    """A log of decode_by_schema() whose images are structs of the given type (DDL): columns that a record doesn't have are null, so versions of a table meet in one row type."""
+    return decoded_log.withColumn("before", F.from_json("before", row)).withColumn("after", F.from_json("after", row))

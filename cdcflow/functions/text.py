@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def default_target_name(database: Column, tbl: Column) -> Column:
 
 
 def comma_list(text: Column) -> Column:
-    """The trimmed, non-blank items of a comma-separated list, in order, without repeats."""
+    """The trimmed, non-blank items of a comma-separated list, in order, repeats kept."""
     items = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(items, lambda x: x != ""))
+    return F.filter(items, lambda x: x != "")
 
 
 def table_of(qualified: Column) -> Column:
@@ -56,13 +58,13 @@ def byte_size_text(n: Column) -> Column:
     """Bytes as a short text with the largest unit that gives at least 1."""
     k, m, g = 1024, 1024**2, 1024**3
     return (
-        F.when(n >= g, F.format_string("%.1f GiB", n / g)).when(n >= m, F.format_string("%.1f MiB", n / m)).when(n >= k, F.format_string("%.1f KiB", n / k)).otherwise(F.format_string("%d B", n.cast("long")))
+        F.when(n >= g, F.format_string("%.1f GB", n / g)).when(n >= m, F.format_string("%.1f MB", n / m)).when(n >= k, F.format_string("%.1f KB", n / k)).otherwise(F.format_string("%d B", n.cast("long")))
     )
 
 
 def redacted(text: Column) -> Column:
     """Passwords in key=value or key: value form replaced by ******."""
-    return F.regexp_replace(text, r"(?i)(password|passwd|pwd)(\s*[=:]\s*)[^\s,;&]+", "$1$2******")
+    return F.regexp_replace(text, r"(?i)(password|pwd)(\s*[=:]\s*)[^&,;\s}]+", "$1$2******")
 
 
 def base64_length(n: Column) -> Column:
@@ -81,5 +83,40 @@ def local_to_epoch_ms(text: Column, zone: str) -> Column:
 
 
 def number_from(text: Column) -> Column:
-    """Whole number from text; null if it can't be read."""
-    return text.cast("string").try_cast("long")
+    """Whole number from a number or its text, such as 50, 50.9 or 1e1, without its fraction; null if it can't be read."""
+    whole = F.trim(text.cast("string")).try_cast("decimal(38,9)")
+    return whole.try_cast("long")
+
+
+#: Abbreviations that name several zones, or none by themselves.
+ABBREVIATIONS = ("EST", "MST", "HST", "ACT", "AET", "AGT", "ART", "AST", "BET", "BST", "CAT", "CNT", "CST", "CTT", "EAT", "ECT", "IET", "IST", "JST", "MIT", "NET", "NST", "PLT", "PNT", "PRT", "PST", "SST", "VST")
+
+
+def zone_id(name: str | None) -> str | None:
+    """The canonical IANA id of a zone, whatever its case; blank stays blank (the default zone) and None stays None. Abbreviations, bare offsets and unknown names are refused."""
+    if name is None or not name.strip():
+        return name if name is None else ""
+    given = name.strip()
+    found = next((z for z in available_timezones() if z.upper() == given.upper()), None)
+    if found is None or given.upper() in ABBREVIATIONS:
+        raise ValueError(f"{given!r} is no IANA zone id, such as Asia/Shanghai or UTC")
+    return found
+
+
+def effective_zone(name: str | None) -> str:
+    """The zone that a source counts as having."""
+    return zone_id(name) or DEFAULT_ZONE
+
+
+def offset_text(seconds: Column) -> Column:
+    """UTC+08:00, UTC-05:30, UTC+00:00: an offset from UTC; its seconds only where there are any."""
+    size = F.abs(seconds).cast("long")
+    text = F.format_string("%02d:%02d", F.floor(size / 3600), F.floor(F.pmod(size, F.lit(3600)) / 60))
+    rest = F.pmod(size, F.lit(60))
+    return F.concat(F.lit("UTC"), F.when(seconds < 0, "-").otherwise("+"), text, F.when(rest != 0, F.format_string(":%02d", rest)).otherwise(""))
+
+
+def shift_hours_text(seconds: Column) -> Column:
+    """Hours of a shift with at most two decimals, and no trailing zeros: 8, -5.5, 5.75."""
+    text = F.round(seconds.cast("decimal(20,0)") / 3600, 2).cast("decimal(20,2)").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")

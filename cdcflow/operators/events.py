@@ -7,21 +7,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.decode import json_text
 from ..functions.text import instant_text
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 SNAPSHOT, CDC = "SNAPSHOT", "CDC"
 #: Neighbouring records are compared within blocks of this many offsets; a block is what one window holds.
 BLOCK = 65_536
+#: Where a record without an offset comes in its topic: before all others.
+NO_OFFSET = -(2**62)
 
 
-def key_text(image: str, keys: list[str]) -> Column:
-    """Ordered JSON object of the key columns; null if the image or a key is null. Keys are equal if these texts are."""
+def key_text(image: str, keys: list[str], kind: T.StructType | None = None) -> Column:
+    """Ordered JSON object of the key columns; null if the image or a key is null. Keys are equal if these texts are. kind: the image's type, for keys with decimals."""
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(f"{image}.{k}").isNotNull()
-    return F.when(whole, F.to_json(F.struct(*[F.col(f"{image}.{k}").alias(k) for k in keys]), {"ignoreNullFields": "false"}))
+    named = {f.name.lower(): f for f in kind or []}
+    row = F.struct(*[F.col(f"{image}.{k}").alias(k) for k in keys])
+    kinds = T.StructType([T.StructField(k, named[k.lower()].dataType if k.lower() in named else T.StringType()) for k in keys])
+    return F.when(whole, json_text(row, kinds))
 
 
 def with_changes_only(log: DataFrame) -> DataFrame:
@@ -31,11 +38,11 @@ def with_changes_only(log: DataFrame) -> DataFrame:
 
 def _blocks(log: DataFrame, link: Column) -> DataFrame:
     """raw_topic, block, before, after (link of the record before and after the block), place (records of the topic before it), topic_base: a row a block of offsets."""
-    edges = log.groupBy("raw_topic", "block").agg(F.count("*").alias("n"), F.min_by(link, "offset").alias("first"), F.max_by(link, "offset").alias("last"))
+    counts = log.groupBy("raw_topic", "block").agg(F.count("*").alias("n"), F.min_by(link, "offset").alias("first"), F.max_by(link, "offset").alias("last"))
     w = Window.partitionBy("raw_topic").orderBy("block")
     so_far = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.select("raw_topic", "block", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"), F.coalesce(so_far, F.lit(0)).alias("place"))
-    topics = log.groupBy("raw_topic").agg(F.count("*").alias("n"))
+    edges = counts.select("raw_topic", "block", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"), F.coalesce(so_far, F.lit(0)).alias("place"))
+    topics = counts.groupBy("raw_topic").agg(F.sum("n").alias("n"))
     base = F.sum("n").over(Window.orderBy("raw_topic").rowsBetween(Window.unboundedPreceding, -1))  # a row a topic
     return edges.join(topics.select("raw_topic", F.coalesce(base, F.lit(0)).alias("topic_base")), "raw_topic")
 
@@ -66,10 +73,10 @@ def blank(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(c) == "")
 
 
-def unreliable(keys: list[str]) -> Column:
+def unreliable(keys: list[str], kind: T.StructType | None = None) -> Column:
     """Why a record can't be published, or null."""
-    op, before_key = F.col("op"), key_text("before", keys)
-    image_key = F.when(op == "d", before_key).otherwise(key_text("after", keys))
+    op, before_key = F.col("op"), key_text("before", keys, kind)
+    image_key = F.when(op == "d", before_key).otherwise(key_text("after", keys, kind))
     return (
         F.when(blank("op"), "missing op")
         .when(~op.isin("r", "c", "u", "d"), "unknown op")
@@ -88,11 +95,15 @@ def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None,
 
     A d directly before a c of the same table and key is one UPDATE; a u whose key changes is a DELETE and an INSERT; the first
     snapshot_count records of each topic are SNAPSHOT, as is every r that isn't part of a pair. run: which run of the task wrote the log; a later run comes after.
-    A record that unreliable() names becomes a row with its reason and without op, key and images, and so does a d right before a c of its table that has
-    no key. Give the result to guards.publish_prefix(), which stops each topic at its first such row.
+    A record that unreliable() names, or that has a decode_error, becomes a row with its reason and without op, key and images, and so does a d right before a c of its table
+    that has no key, or of its key that has no time. A record without a topic or an offset is the first of a topic named "", or of its own. Give the result to
+    guards.publish_prefix(), which stops each topic at its first such row.
     """
-    log = with_changes_only(log)
-    log = log.withColumn("reason", unreliable(keys)).withColumn("k_before", key_text("before", keys)).withColumn("k_after", key_text("after", keys))
+    log, kind = with_changes_only(log), log.schema["after"].dataType
+    reason = F.when(F.col("raw_topic").isNull() | F.col("offset").isNull(), "missing position")
+    reason = F.coalesce(reason, *([F.col("decode_error")] if "decode_error" in log.columns else []), unreliable(keys, kind))
+    log = log.withColumn("reason", reason).withColumn("k_before", key_text("before", keys, kind)).withColumn("k_after", key_text("after", keys, kind))
+    log = log.withColumn("raw_topic", F.coalesce("raw_topic", F.lit(""))).withColumn("offset", F.coalesce("offset", F.lit(NO_OFFSET)))
     log = log.withColumn("_link", F.struct("op", "db", "tbl", "k_before", "k_after", "reason", "ts_ms", "after"))
     log = with_neighbours(log, ["_link"])
     here, prev, after = F.col("_link"), F.col("prev__link"), F.col("next__link")
@@ -101,7 +112,8 @@ def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None,
     true = lambda c: F.coalesce(c, F.lit(False))
     log = log.withColumn("opens", true(pair(here, after) & sound(after) & (here["k_before"] == after["k_after"])))
     log = log.withColumn("closes", true(pair(prev, here) & sound(here) & (here["k_after"] == prev["k_before"]))).where("not closes")
-    log = log.withColumn("reason", F.coalesce("reason", F.when(true(pair(here, after) & after["k_after"].isNull()), "missing key")))
+    next_reason = F.when(after["k_after"].isNull(), "missing key").when((here["k_before"] == after["k_after"]) & after["ts_ms"].isNull(), "missing time")
+    log = log.withColumn("reason", F.coalesce("reason", F.when(true(pair(here, after)), next_reason)))
     columns = columns or log.schema["after"].dataType.names
     before, data = projected("before", columns), projected("after", columns)
     next_data = F.when(F.col("opens"), F.struct(*[F.col(f"next__link.after.{c}").alias(c) for c in columns]))
@@ -129,18 +141,18 @@ def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None,
     )
 
 
-def snapshot_events(rows: DataFrame, keys: list[str], database: str, tbl: str, received_ms: Column, columns: list[str] | None = None, run: int = 0) -> DataFrame:
-    """INSERT events of the SNAPSHOT phase from plain rows; received_ms is the time that they get.
+def snapshot_events(rows: DataFrame, keys: list[str], database: str, tbl: str, received_ms: Column, columns: list[str] | None = None, run: int = 0, topic: str = "snapshot") -> DataFrame:
+    """INSERT events of the SNAPSHOT phase from plain rows; received_ms is the time that they get. topic: that of the owner's changes, if publishing shall stop both together.
 
     seq is -1: before every change of the same run, and after all of earlier runs. A row without its key has a reason, as in normalize().
     """
     columns = columns or rows.columns
     rows = rows.withColumn("_row", F.struct(*rows.columns))
-    key = key_text("_row", keys)
+    key = key_text("_row", keys, rows.schema["_row"].dataType)
     data = F.when(key.isNotNull(), F.struct(*columns))
     kind = rows.select(data.alias("d")).schema["d"].dataType
     return rows.select(
-        F.lit("snapshot").alias("raw_topic"), F.lit(run).alias("run"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("sub"), F.when(key.isNotNull(), INSERT).alias("op"), key.alias("key"),
+        F.lit(topic).alias("raw_topic"), F.lit(run).alias("run"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("sub"), F.when(key.isNotNull(), INSERT).alias("op"), key.alias("key"),
         F.lit(None).cast(kind).alias("before"),
         data.alias("data"), F.lit(SNAPSHOT).alias("phase"), F.lit(database).alias("sourceDatabase"), F.lit(tbl).alias("sourceTable"),
         received_ms.cast("long").alias("event_ms"), instant_text(received_ms.cast("long")).alias("sourceEventTime"), F.when(key.isNull(), "missing key").alias("reason"),

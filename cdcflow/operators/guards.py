@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that a record takes besides key and value, and per-column and per-record allowances of the worst case.
 RECORD_OVERHEAD = 128
+FIELD_OVERHEAD = 32
 COLUMN_OVERHEAD = 160
 RECORD_BASE = 512
 LARGE_COLUMN = 1 << 20
@@ -26,22 +27,28 @@ def with_size_reason(events: DataFrame, producer_limit: int, topic_limit: int) -
     return events.withColumn("record_bytes", size).withColumn("size_reason", F.when(size > limit, F.concat(F.lit("record of "), size.cast("string"), F.lit(f" bytes, limit {limit}"))))
 
 
-def worst_case_sizes(columns: DataFrame, chosen: Column) -> DataFrame:
-    """table_name, raw_bytes, event_bytes, large_columns from column metadata (table_name, column_name, value_bytes); chosen: is the column selected."""
+def worst_case_sizes(columns: DataFrame, chosen: Column, cdc: bool = True) -> DataFrame:
+    """table_name, raw_bytes, event_bytes, large_columns (NAME(TYPE), in the order of position) from column metadata (table_name, column_name, type_name, position, value_bytes).
+
+    chosen: is the column selected. Of changes, the raw record has every column, both images and its schema, and the event both images; in a FULL run both have the selected columns once.
+    Large columns are told whether selected or not of changes, else only if selected.
+    """
     least = lambda c: F.least(c, F.lit(WORST_CASE_CAP)).cast("long")
-    taken = F.sum(F.when(chosen, F.col("value_bytes")).otherwise(0))
+    value = F.least(F.col("value_bytes"), F.lit(WORST_CASE_CAP)) + FIELD_OVERHEAD
+    taken = F.sum(F.when(chosen, value).otherwise(0))
+    raw = 2 * F.sum(value) + 2 * COLUMN_OVERHEAD * F.count("*") + RECORD_BASE if cdc else taken + RECORD_BASE
+    large = (F.col("value_bytes") > LARGE_COLUMN) & (F.lit(cdc) | chosen)
+    named = F.collect_list(F.when(large, F.struct("position", F.concat("column_name", F.lit("("), "type_name", F.lit(")")).alias("name"))))
     return columns.groupBy("table_name").agg(
-        least(2 * F.sum("value_bytes") + 2 * COLUMN_OVERHEAD * F.count("*") + RECORD_BASE).alias("raw_bytes"),
-        least(2 * taken + RECORD_BASE).alias("event_bytes"),
-        F.sum(F.when(F.col("value_bytes") > LARGE_COLUMN, 1).otherwise(0)).cast("long").alias("large_columns"),
-    )
+        least(raw).alias("raw_bytes"), least((2 if cdc else 1) * taken + RECORD_BASE).alias("event_bytes"), F.transform(F.array_sort(named), lambda x: x["name"]).alias("large_columns"),
+    )
 
 
 #: Bytes of the largest text form of a value, by type name; types without a bound; bytes of any other type.
 TEXT_BYTES = {"TINYTEXT": 255, "TEXT": 65_535, "MEDIUMTEXT": 16_777_215}
 BLOB_BYTES = {"TINYBLOB": 255, "BLOB": 65_535, "MEDIUMBLOB": 16_777_215, "BIT": 8}
 CHARACTER_TYPES, BINARY_TYPES = ("CHAR", "VARCHAR", "ENUM", "SET"), ("BINARY", "VARBINARY")
-UNBOUNDED_TYPES = ("JSON", "LONGTEXT", "LONGBLOB", "GEOMETRY", "POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION", "GEOMCOLLECTION")
+UNBOUNDED_TYPES = ("LONGTEXT", "LONGBLOB", "JSON", "GEOMETRY", "POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION", "GEOMCOLLECTION")
 OTHER_BYTES = 40
 
 
@@ -63,17 +70,30 @@ def _with_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(small) if small.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS else small, on, "left")
 
 
-def first_refused(events: DataFrame, reason: str = "reason") -> DataFrame:
-    """raw_topic, first_bad, first_reason: the first refused event of each topic that has one."""
+ORDER = ("run", "seq", "sub")
+
+
+def place(events: DataFrame) -> Column:
+    """Where an event stands among those of its owner: run, seq and sub, as far as there are such columns."""
+    return F.struct(*[F.col(c) for c in ORDER if c in events.columns])
+
+
+def first_refused(events: DataFrame, reason: str = "reason", owner: str = "raw_topic") -> DataFrame:
+    """owner, first_place, first_bad (its seq), first_reason: the first refused event of each owner that has one, in the order of run, seq and sub."""
     bad = events.where(F.col(reason).isNotNull())
-    return bad.groupBy("raw_topic").agg(F.min("seq").alias("first_bad"), F.min_by(F.col(reason), F.col("seq")).alias("first_reason"))
+    first = F.min(F.struct(place(events).alias("at"), F.col(reason).alias("why"))).alias("f")
+    return bad.groupBy(owner).agg(first).select(owner, F.col("f.at").alias("first_place"), F.col("f.at.seq").alias("first_bad"), F.col("f.why").alias("first_reason"))
 
 
-def publish_prefix(events: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
-    """(published, held): the events before each topic's first refused one, and the rest with where and why it stopped. Nothing is discarded."""
-    both = _with_small(events, first_refused(events, reason), "raw_topic")
-    goes = F.col("first_bad").isNull() | (F.col("seq") < F.col("first_bad"))
-    return both.where(goes).drop("first_bad", "first_reason"), both.where(~goes)
+def publish_prefix(events: DataFrame, reason: str = "reason", owner: str = "raw_topic") -> tuple[DataFrame, DataFrame]:
+    """(published, held): the events before each owner's first refused one, and the rest with where and why it stopped. Nothing is discarded.
+
+    owner: a column; a snapshot and the changes of one owner, which share it, stop together, and a run that failed holds every later run of its owner. An owner that is null is one of its own.
+    """
+    named = events.withColumn("_owner", F.coalesce(F.col(owner).cast("string"), F.lit("")))
+    both = _with_small(named, first_refused(named, reason, "_owner"), "_owner")
+    goes = F.col("first_place").isNull() | (place(events) < F.col("first_place"))
+    return both.where(goes).drop("_owner", "first_place", "first_bad", "first_reason"), both.where(~goes).drop("_owner", "first_place")
 
 
 def position_check(log: DataFrame, positions: DataFrame) -> DataFrame:
@@ -113,12 +133,13 @@ def backlog(ends: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def effective_lag(stored: Column, stopped_since_ms: Column, as_of_ms: Column) -> Column:
-    """Seconds: while stopped, at least the time since the stop."""
-    return F.when(stopped_since_ms.isNull(), stored).otherwise(F.greatest(stored, F.floor((as_of_ms - stopped_since_ms) / 1000)))
+    """Seconds: while stopped, at least the time since the stop, which is never below 0."""
+    waited = F.greatest(F.lit(0), F.floor((as_of_ms - stopped_since_ms) / 1000))
+    return F.when(stopped_since_ms.isNull(), stored).otherwise(F.greatest(stored, waited))
 
 
 def delivery_stats(events: DataFrame, acknowledged_ms: Column) -> DataFrame:
-    """raw_topic, delivered, last_seq, last_event_ms, lag_ms (never below 0)."""
-    last = F.max_by(F.struct("event_ms", acknowledged_ms.alias("ack")), F.struct("seq", "sub"))
-    out = events.groupBy("raw_topic").agg(F.count("*").alias("delivered"), F.max("seq").alias("last_seq"), last.alias("l"))
-    return out.select("raw_topic", "delivered", "last_seq", F.col("l.event_ms").alias("last_event_ms"), F.greatest(F.lit(0), F.col("l.ack") - F.col("l.event_ms")).alias("lag_ms"))
+    """raw_topic, delivered, last_seq, last_event_ms, lag_ms (never below 0): the last is the last of the latest run."""
+    last = F.max_by(F.struct("seq", "event_ms", acknowledged_ms.alias("ack")), place(events))
+    out = events.groupBy("raw_topic").agg(F.count("*").alias("delivered"), last.alias("l"))
+    return out.select("raw_topic", "delivered", F.col("l.seq").alias("last_seq"), F.col("l.event_ms").alias("last_event_ms"), F.greatest(F.lit(0), F.col("l.ack") - F.col("l.event_ms")).alias("lag_ms"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import number_from
+
 MINUTES = (5, 60, 1440)  # least, default, most
 FAILED = ("FAILED", "REINITIALIZE_REQUIRED", "DDL_BLOCKED")
 
@@ -70,8 +72,7 @@ def latest_open_event(events: DataFrame) -> DataFrame:
 
 def sample_figures(received: Column, committed: Column, event_ms: Column, commit_ms: Column) -> tuple[Column, Column]:
     """(backlog, lag in seconds) of a sample whose numbers may be text: null where one is missing or unreadable, lag also where the commit is before the event."""
-    number = lambda c: c.cast("string").try_cast("long")
-    r, c, e, m = map(number, (received, committed, event_ms, commit_ms))
+    r, c, e, m = map(number_from, (received, committed, event_ms, commit_ms))
     backlog = F.when(r.isNotNull() & c.isNotNull(), F.greatest(F.lit(0), r - c))
     return backlog, F.when(m >= e, F.floor((m - e) / 1000))
 
@@ -93,8 +94,8 @@ def counts_by_status(jobs: DataFrame) -> DataFrame:
 
 
 def counts_by_target(jobs: DataFrame) -> DataFrame:
-    """target_type, jobs, running."""
-    return jobs.groupBy("target_type").agg(F.count("*").alias("jobs"), F.sum(F.when(F.col("status") == "RUNNING", 1).otherwise(0)).cast("long").alias("running"))
+    """target_type, jobs, running; jobs whose target is unknown are left out."""
+    return jobs.where("target_type is not null").groupBy("target_type").agg(F.count("*").alias("jobs"), F.sum(F.when(F.col("status") == "RUNNING", 1).otherwise(0)).cast("long").alias("running"))
 
 
 def group_status(groups: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,6 +119,7 @@ PLATFORM = {
     "STOPPED": ("CANCELING", "CANCELLING", "CANCELED", "CANCELLED"),
     "FINISHED": ("FINISHED",),
 }
+STARTUP = ("INITIALIZING", "CREATED", "PENDING", "SCHEDULED", "STARTING")
 #: Words of an error that means a job can't go on from where it was.
 RECOVERY_WORDS = ("checkpoint", "savepoint", "binlog", "offset", "restore", "恢复", "位点", "日志已过期")
 
@@ -133,3 +135,9 @@ def platform_status(engine: Column) -> Column:
 def needs_reinitialising(error: Column) -> Column:
     """Does an error's text say that the job can't go on from where it was?"""
     return F.coalesce(F.lower(error).rlike("|".join(RECOVERY_WORDS)), F.lit(False))
+
+
+def job_phase(mode: Column, engine: Column) -> Column:
+    """What a job does: FULL only takes snapshots, INCREMENTAL only follows changes, and others take a snapshot while they start and are MIXED afterwards."""
+    starting = F.coalesce(F.upper(engine).isin(*STARTUP), F.lit(False))
+    return F.when(F.upper(mode) == "FULL", "SNAPSHOT").when(F.upper(mode) == "INCREMENTAL", "CDC").when(starting, "SNAPSHOT").otherwise("MIXED")

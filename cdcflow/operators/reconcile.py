@@ -1,9 +1,10 @@
-"""Source against target: row counts and key-range blocks."""
+"""Source against target: row counts and key-range blocks. Differences are source minus target."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_STEP = 1_000_000
 MAX_BLOCKS = 1000
@@ -22,7 +23,17 @@ def count_check(source: DataFrame, target: DataFrame) -> DataFrame:
     """source_rows, target_rows, difference, matched."""
     counts = source.agg(F.count("*").alias("source_rows"), F.lit(0).cast("long").alias("target_rows")).unionByName(target.agg(F.lit(0).cast("long").alias("source_rows"), F.count("*").alias("target_rows")))
     both = counts.agg(F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
-    return both.withColumn("difference", F.col("target_rows") - F.col("source_rows")).withColumn("matched", F.col("difference") == 0)
+    return both.withColumn("difference", F.col("source_rows") - F.col("target_rows")).withColumn("matched", F.col("difference") == 0)
+
+
+def check_key(df: DataFrame, keys: list[str]) -> str:
+    """The column to make blocks by; a key of no or several columns, or one that is no number, is refused: count the rows instead."""
+    if len(keys) != 1:
+        raise ValueError("blocks need a sync key of exactly one column; use the row count")
+    field = next((f for f in df.schema if f.name.lower() == keys[0].lower()), None)
+    if field is None or not isinstance(field.dataType, T.NumericType):
+        raise ValueError(f"{keys[0]} is not a number; use the row count")
+    return field.name
 
 
 def key_range(df: DataFrame, key: str) -> DataFrame:
@@ -41,50 +52,53 @@ def _check_blocks(low: int, high: int, step: int) -> None:
         raise ValueError(f"more than {MAX_BLOCKS} blocks; a larger step is needed, such as {suggested_step(low, high)}")
 
 
+def _counted_blocks(source: DataFrame, target: DataFrame, key: str, step: int) -> tuple[DataFrame, int, int, Column]:
+    """(block, s, t: rows of each side, block null for what is in none), number of blocks, source rows, lower bound of a block. One pass over each side once the range is known."""
+    low, high, rows = key_range(source, check_key(source, [key])).first()
+    n = 0
+    if rows:
+        low, high = low or 0, high or 0  # only null keys: one block from 0
+        _check_blocks(low, high, step)
+        n = int((high - low) // step) + 1
+    start = F.lit(low or 0)
+    block = F.floor((F.col(key) - start) / step).cast("long")
+    block = F.when((F.col(key) >= start) & (F.col(key) < start + n * step), block).alias("block")
+    side = lambda df, i: df.select(block, F.lit(i).alias("side"))
+    count = lambda i: F.sum(F.when(F.col("side") == i, 1).otherwise(0))
+    blocks = side(source, 0).unionByName(side(target, 1)).groupBy("block").agg(count(0).alias("s"), count(1).alias("t"))
+    whole = isinstance(source.schema[key].dataType, T.IntegralType)
+    return blocks, n, rows, (start + F.col("block") * step).cast("long" if whole else "decimal(38,10)")
+
+
 def key_range_blocks(source: DataFrame, target: DataFrame, key: str, step: int) -> DataFrame:
-    """block_index, lower, upper (exclusive), source_rows, target_rows, difference, matched, for blocks of `step` keys from the source's smallest.
+    """block_index (from 1), lower, upper (exclusive), source_rows, target_rows, difference, matched, for blocks of `step` keys from the source's smallest.
 
-    Empty blocks are listed. More than MAX_BLOCKS blocks are refused. Target rows outside the source's range are in no block; target_outside() counts them.
+    Empty blocks are listed. More than MAX_BLOCKS blocks are refused. Target rows before the first or behind the last block are in none; block_verdict() counts them.
     """
-    low, high, _ = key_range(source, key).first()
-    _check_blocks(low or 0, high or 0, step)
-    if low is None:
-        return source.sparkSession.createDataFrame([], "block_index long, lower long, upper long, source_rows long, target_rows long, difference long, matched boolean")
-    n = (high - low) // step + 1
-    block = F.floor((F.col(key) - low) / step).alias("block_index")
-    inside = F.col(key).between(low, high)
-    one = lambda df, mine, other: df.where(inside).groupBy(block).agg(F.count("*").alias(mine)).withColumn(other, F.lit(0).cast("long"))
-    blocks = source.sparkSession.range(n).select(F.col("id").alias("block_index"), F.lit(0).cast("long").alias("source_rows"), F.lit(0).cast("long").alias("target_rows"))
-    rows = one(source, "source_rows", "target_rows").unionByName(one(target, "target_rows", "source_rows")).unionByName(blocks)
-    out = rows.groupBy("block_index").agg(F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows"))
-    lower = (F.lit(low) + F.col("block_index") * step).cast("long")
-    out = out.select("block_index", lower.alias("lower"), (lower + step).alias("upper"), "source_rows", "target_rows")
-    return out.withColumn("difference", F.col("target_rows") - F.col("source_rows")).withColumn("matched", F.col("difference") == 0)
+    blocks, n, _, lower = _counted_blocks(source, target, key, step)
+    every = source.sparkSession.range(n).select(F.col("id").alias("block"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = every.join(blocks.where("block is not null"), "block", "left")
+    out = out.select((F.col("block") + 1).alias("block_index"), lower.alias("lower"), (lower + step).alias("upper"), zero(F.col("s")).alias("source_rows"), zero(F.col("t")).alias("target_rows"))
+    return out.withColumn("difference", F.col("source_rows") - F.col("target_rows")).withColumn("matched", F.col("difference") == 0)
 
 
 def block_verdict(source: DataFrame, target: DataFrame, key: str, step: int) -> DataFrame:
-    """total_blocks, matched_blocks, source_rows (null keys too), target_rows (of the blocks), target_outside, matched.
+    """total_blocks, matched_blocks, mismatched_blocks, source_rows, target_rows, difference, target_outside, matched.
 
-    After the source's range is known, both sides are counted by block in one pass; block -1 is what lies outside. An empty source has no block; it matches, as
-    one, if the target is empty too.
+    source_rows counts all rows, those without a key too; target_rows are those of the blocks, and target_outside the others, which the verdict doesn't look at. It is
+    matched if no block differs and neither do source_rows and target_rows. An empty source has no block: the target's rows are all counted, and it is as one block.
     """
-    low, high, rows = key_range(source, key).first()
-    if low is not None:
-        _check_blocks(low, high, step)
-    inside = F.lit(False) if low is None else F.coalesce(F.col(key).between(low, high), F.lit(False))
-    block = F.when(inside, F.floor((F.col(key) - F.lit(low)) / step)).otherwise(-1).cast("long").alias("block")
-    side = lambda df, n: df.select(block, F.lit(n).alias("side"))
-    n = lambda i: F.sum(F.when(F.col("side") == i, 1).otherwise(0))
-    blocks = side(source, 0).unionByName(side(target, 1)).groupBy("block").agg(n(0).alias("s"), n(1).alias("t"))
-    counted = F.col("block") >= 0
-    total = 0 if low is None else (high - low) // step + 1
-    told = blocks.agg(F.count_if(counted & (F.col("s") != F.col("t"))).alias("differ"), F.sum(F.when(counted, F.col("t"))).alias("t"), F.sum(F.when(~counted, F.col("t"))).alias("outside"))
+    blocks, n, rows, _ = _counted_blocks(source, target, key, step)
+    inside = F.col("block").isNotNull()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    empty = (zero(F.col("outside")) == 0) & F.lit(rows == 0)
-    matched = (total - F.col("differ")).cast("long") if total else empty.cast("long")
+    told = blocks.agg(F.count_if(inside & (F.col("s") != F.col("t"))).alias("differ"), zero(F.sum(F.when(inside, F.col("t")))).alias("t"), zero(F.sum(F.when(~inside, F.col("t")))).alias("outside"))
+    counted = F.col("t") if n else F.col("outside")
+    difference = F.lit(rows).cast("long") - counted
+    differ = F.col("differ") if n else (difference != 0).cast("long")
     return told.select(
-        F.lit(total).cast("long").alias("total_blocks"), matched.alias("matched_blocks"), F.lit(rows).cast("long").alias("source_rows"), zero(F.col("t") if total else F.col("outside")).alias("target_rows"),
-        zero(F.col("outside")).alias("target_outside"), (F.col("differ") == 0 if total else empty).alias("matched"),
+        F.lit(n).cast("long").alias("total_blocks"), (max(n, 1) - differ).cast("long").alias("matched_blocks"), differ.alias("mismatched_blocks"), F.lit(rows).cast("long").alias("source_rows"),
+        counted.alias("target_rows"), difference.alias("difference"), F.col("outside").alias("target_outside"), ((difference == 0) & (differ == 0)).alias("matched"),
     )
 
 

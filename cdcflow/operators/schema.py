@@ -100,7 +100,7 @@ def drift(base_columns: DataFrame, base_keys: DataFrame, now_columns: DataFrame,
     has = lambda cond: F.bool_or(F.coalesce(cond, F.lit(False)))
     parts = both.groupBy("table_name").agg(
         has(F.col("was").isNull()).alias("added"), has(F.col("is").isNull()).alias("gone"), has(F.col("was").isNotNull() & F.col("is").isNotNull() & ~F.col("was").eqNullSafe(F.col("is"))).alias("altered"),
-        has(F.col("was").isNull() & ~F.col("is.nullable")).alias("added_required"),
+        has(F.col("was").isNull() & ~F.coalesce("is.nullable", F.lit(False))).alias("added_required"),
     )
     out = tables.join(parts, "table_name", "left").withColumn("rekeyed", F.col("now_keys").isNotNull() & (F.col("primaryKeys") != F.col("now_keys")))
     missing = F.col("now_hash").isNull()
@@ -121,21 +121,25 @@ def column_sets(base_columns: DataFrame, now_columns: DataFrame) -> DataFrame:
 
 
 def followed_selection(selected: Column, baseline: Column, current: Column) -> Column:
-    """A selection that covered the whole baseline becomes the current columns; an explicit subset stays."""
+    """A selection that covered the whole baseline becomes the current columns; an explicit subset stays, as does any selection where no baseline is known."""
     lower = lambda c: F.transform(c, lambda x: F.lower(x))
-    return F.when(F.size(F.array_except(lower(baseline), lower(selected))) == 0, current).otherwise(selected)
+    known = F.coalesce(F.size(baseline) > 0, F.lit(False))
+    return F.when(known & (F.size(F.array_except(lower(baseline), lower(selected))) == 0), current).otherwise(selected)
 
 
 def drift_state(drifted: DataFrame, compatible: DataFrame, open_events: DataFrame, baselines: DataFrame) -> DataFrame:
-    """table_name, state: BASELINE_SET (none known yet), PENDING_FIX, READY_TO_RESUME, RESOLVED or null (nothing to do)."""
+    """table_name, state: BASELINE_SET (none was known, and the target fits), PENDING_FIX, READY_TO_RESUME or null (nothing to do).
+
+    A table that can't be read is pending, whatever else is known of it. A change is ready to resume once the target fits, and so is an open event whose table is back at its baseline.
+    """
     df = drifted.join(compatible.select("table_name", "compatible"), "table_name", "left").join(open_events.select("table_name", F.lit(True).alias("open")), "table_name", "left")
     df = df.join(baselines.select("table_name", F.lit(True).alias("known")), "table_name", "left")
     fits, opened = F.coalesce("compatible", F.lit(False)), F.coalesce("open", F.lit(False))
     state = (
-        F.when(F.col("known").isNull(), "BASELINE_SET")
+        F.when(F.coalesce(F.col("change_type") == "TABLE_UNAVAILABLE", F.lit(False)), "PENDING_FIX")
+        .when(F.col("known").isNull(), F.when(fits, "BASELINE_SET"))
         .when(F.col("change_type").isNull(), F.when(opened, "READY_TO_RESUME"))
-        .when(fits, F.when(opened, "READY_TO_RESUME").otherwise("RESOLVED"))
-        .otherwise("PENDING_FIX")
+        .otherwise(F.when(fits, "READY_TO_RESUME").otherwise("PENDING_FIX"))
     )
     return df.select("table_name", state.alias("state"))
 
@@ -143,7 +147,8 @@ def drift_state(drifted: DataFrame, compatible: DataFrame, open_events: DataFram
 def target_compatibility(source: DataFrame, target: DataFrame, source_keys: DataFrame, target_keys: DataFrame, mode: str, postgres: bool = False) -> DataFrame:
     """table_name, missing, incompatible, extra_required (comma lists), keys_equal, target_exists, compatible for each source table.
 
-    source_keys and target_keys: table_name, key_columns. An absent target passes when the mode is FULL or the source has a key.
+    source_keys and target_keys: table_name, key_columns. A source without a key asks for none. A required column without a default, or with a blank one, must come from the source.
+    An absent target passes when the mode is FULL or the source has a key.
     """
     s = source.select("table_name", F.lower("column_name").alias("c"), F.struct("type_name", "jdbc_type", "size").alias("s"))
     t = target.select("table_name", F.lower("column_name").alias("c"), F.struct("type_name", "jdbc_type", "size", "nullable", "default_value").alias("t"))
@@ -153,13 +158,14 @@ def target_compatibility(source: DataFrame, target: DataFrame, source_keys: Data
     in_both = F.col("s").isNotNull() & F.col("t").isNotNull()
     per = both.groupBy("table_name").agg(
         named(F.col("t").isNull()).alias("missing"), named(in_both & ~types_compatible(side("s"), side("t"), postgres)).alias("incompatible"),
-        named(F.col("s").isNull() & ~F.col("t.nullable") & F.col("t.default_value").isNull()).alias("extra_required"), F.bool_or(F.col("t").isNotNull()).alias("target_exists"),
+        named(F.col("s").isNull() & ~F.col("t.nullable") & (F.trim(F.coalesce("t.default_value", F.lit(""))) == "")).alias("extra_required"), F.bool_or(F.col("t").isNotNull()).alias("target_exists"),
         F.bool_or(F.col("s").isNotNull()).alias("has_source"),
     ).where("has_source")
     lower = lambda c: F.transform(c, lambda x: F.lower(x))
     keys = per.join(source_keys.select("table_name", lower("key_columns").alias("sk")), "table_name", "left").join(target_keys.select("table_name", lower("key_columns").alias("tk")), "table_name", "left")
-    equal = F.coalesce(F.col("sk") == F.col("tk"), F.col("sk").isNull() & F.col("tk").isNull())
-    absent_ok = F.lit(mode == "FULL") | F.col("sk").isNotNull()
+    keyed = F.coalesce(F.size("sk") > 0, F.lit(False))
+    equal = ~keyed | F.coalesce(F.col("sk") == F.col("tk"), F.lit(False))
+    absent_ok = F.lit(mode.upper() == "FULL") | keyed
     fits = (F.col("missing") == "") & (F.col("incompatible") == "") & (F.col("extra_required") == "") & equal
     return keys.select(
         "table_name", F.when(F.col("target_exists"), F.col("missing")).otherwise("").alias("missing"), "incompatible", "extra_required", equal.alias("keys_equal"), "target_exists",
@@ -168,8 +174,8 @@ def target_compatibility(source: DataFrame, target: DataFrame, source_keys: Data
 
 
 def new_tables(catalog: DataFrame, known: DataFrame, room: int) -> DataFrame:
-    """table_name, taken: tables that aren't known yet (ignoring case), the first `room` by name taken. The catalog lists tables, not rows."""
-    fresh = catalog.select("table_name").join(known.select(F.lower("table_name").alias("k")), F.lower("table_name") == F.col("k"), "left_anti")
+    """table_name, taken: tables that aren't known yet (ignoring case, within the catalog too), the first `room` by name taken. The catalog lists tables, not rows."""
+    fresh = catalog.groupBy(F.lower("table_name")).agg(F.min("table_name").alias("table_name")).select("table_name").join(known.select(F.lower("table_name").alias("k")), F.lower("table_name") == F.col("k"), "left_anti")
     return fresh.withColumn("taken", F.row_number().over(Window.orderBy("table_name")) <= room)
 
 

@@ -240,33 +240,39 @@ def _orders_copy(spark, sf_dir):
     return orders, orders.where("o_orderkey % 97 <> 0")
 
 
-@query("SELECT count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 <> 0) - count(*) AS difference, count(*) FILTER (o_orderkey % 97 <> 0) = count(*) AS matched FROM orders")
+@query("SELECT count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 = 0) AS difference, count(*) FILTER (o_orderkey % 97 = 0) = 0 AS matched FROM orders")
 def q_count_check(spark, sf_dir):
     return reconcile.count_check(*_orders_copy(spark, sf_dir))
 
 
-_BLOCKS = """WITH r AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, greatest(1, CAST(ceil((max(o_orderkey) - min(o_orderkey)) / 50.0) AS BIGINT)) AS step FROM orders),
-b AS (SELECT CAST(unnest(generate_series(0, (hi - lo) // step)) AS BIGINT) AS block_index, lo, step FROM r),
-c AS (SELECT (o_orderkey - lo) // step AS block_index, count(*) AS s, count(*) FILTER (o_orderkey % 97 <> 0) AS t FROM orders, r GROUP BY 1),
-x AS (SELECT b.block_index, lo + b.block_index * step AS lower, lo + b.block_index * step + step AS upper, coalesce(s, 0) AS source_rows, coalesce(t, 0) AS target_rows FROM b LEFT JOIN c USING (block_index))
+#: The source has rows without a key, the target rows before and behind the source's keys, some of them in the last block.
+_BLOCKS = """WITH src AS (SELECT CASE WHEN o_orderkey % 5000 = 7 THEN NULL ELSE o_orderkey END AS k FROM orders), r AS (SELECT min(k) AS lo, max(k) AS hi, greatest(1, CAST(ceil((max(k) - min(k)) / 50.0) AS BIGINT)) AS step FROM src),
+tgt AS (SELECT k FROM src WHERE k % 97 <> 0 UNION ALL SELECT -k FROM src WHERE k % 500 = 0 UNION ALL SELECT hi + k % 1000 FROM src, r WHERE k % 700 = 1),
+b AS (SELECT CAST(i AS BIGINT) AS i, lo + i * step AS lower, lo + i * step + step AS upper FROM (SELECT unnest(range(0, (hi - lo) // step + 1)) AS i, lo, step FROM r)),
+x AS (SELECT i + 1 AS block_index, lower, upper, (SELECT count(*) FROM src WHERE k >= lower AND k < upper) AS source_rows, (SELECT count(*) FROM tgt WHERE k >= lower AND k < upper) AS target_rows FROM b)
 """
 
 
-def _step(source: DataFrame) -> int:
+def _keyed_sides(spark, sf_dir):
+    k = F.col("o_orderkey")
+    source = _t(spark, sf_dir, "orders").select(F.when(k % 5000 != 7, k).alias("o_orderkey"))
     low, high, _ = reconcile.key_range(source, "o_orderkey").first()
-    return max(1, -(-(high - low) // 50))
+    target = source.where(k % 97 != 0).unionByName(source.where(k % 500 == 0).select((-k).alias("o_orderkey"))).unionByName(source.where(k % 700 == 1).select((high + k % 1000).alias("o_orderkey")))
+    return source, target, "o_orderkey", max(1, -(-(high - low) // 50))
 
 
-@query(_BLOCKS + "SELECT *, target_rows - source_rows AS difference, target_rows = source_rows AS matched FROM x")
+@query(_BLOCKS + "SELECT *, source_rows - target_rows AS difference, target_rows = source_rows AS matched FROM x")
 def q_key_range_blocks(spark, sf_dir):
-    source, target = _orders_copy(spark, sf_dir)
-    return reconcile.key_range_blocks(source, target, "o_orderkey", _step(source))
+    return reconcile.key_range_blocks(*_keyed_sides(spark, sf_dir))
 
 
-@query(_BLOCKS + "SELECT count(*) AS total_blocks, count(*) FILTER (source_rows = target_rows) AS matched_blocks, (SELECT count(*) FROM orders) AS source_rows, CAST(sum(target_rows) AS BIGINT) AS target_rows, CAST(0 AS BIGINT) AS target_outside, bool_and(source_rows = target_rows) AS matched FROM x")
+@query(
+    _BLOCKS
+    + """, v AS (SELECT count(*) AS total_blocks, count(*) FILTER (source_rows = target_rows) AS matched_blocks, (SELECT count(*) FROM src) AS source_rows, CAST(sum(target_rows) AS BIGINT) AS target_rows, (SELECT count(*) FROM tgt) - CAST(sum(target_rows) AS BIGINT) AS target_outside FROM x)
+SELECT *, total_blocks - matched_blocks AS mismatched_blocks, source_rows - target_rows AS difference, source_rows = target_rows AND matched_blocks = total_blocks AS matched FROM v"""
+)
 def q_block_verdict(spark, sf_dir):
-    source, target = _orders_copy(spark, sf_dir)
-    return reconcile.block_verdict(source, target, "o_orderkey", _step(source))
+    return reconcile.block_verdict(*_keyed_sides(spark, sf_dir))
 
 
 def _group(spark, sf_dir):
@@ -276,7 +282,7 @@ def _group(spark, sf_dir):
 
 
 @query(
-    """SELECT 'orders' AS table_name, count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 <> 0) - count(*) AS difference, 'MISMATCHED' AS status FROM orders
+    """SELECT 'orders' AS table_name, count(*) AS source_rows, count(*) FILTER (o_orderkey % 97 <> 0) AS target_rows, count(*) FILTER (o_orderkey % 97 = 0) AS difference, 'MISMATCHED' AS status FROM orders
 UNION ALL SELECT 'customer', count(*), count(*), 0, 'MATCHED' FROM customer UNION ALL SELECT 'lost', NULL, NULL, NULL, 'FAILED'"""
 )
 def q_group_check(spark, sf_dir):
@@ -312,10 +318,28 @@ def q_publish_prefix(spark, sf_dir):
     return goes.select("raw_topic", "seq", F.lit(False).alias("held"), F.lit(None).cast("long").alias("first_bad")).unionByName(held.select("raw_topic", "seq", F.lit(True).alias("held"), "first_bad"))
 
 
-@query("SELECT c_mktsegment AS table_name, CAST(least(2 * sum(c_custkey) + 320 * count(*) + 512, 4294967296) AS BIGINT) AS raw_bytes, CAST(least(2 * sum(CASE WHEN c_nationkey % 2 = 0 THEN c_custkey ELSE 0 END) + 512, 4294967296) AS BIGINT) AS event_bytes, CAST(sum(CASE WHEN c_custkey > 1048576 THEN 1 ELSE 0 END) AS BIGINT) AS large_columns FROM customer GROUP BY 1")
+_WORST = """WITH c AS (SELECT c_mktsegment AS table_name, c_custkey AS k, least(CASE WHEN c_custkey % 300 = 0 THEN 5000000000 WHEN c_custkey % 200 = 0 THEN 2000000 ELSE c_custkey END, 4294967296) AS b, c_nationkey % 2 = 0 AS chosen FROM customer WHERE c_custkey % 100 < 40 OR c_mktsegment <> 'BUILDING')
+SELECT table_name, CAST(least({raw}, 4294967296) AS BIGINT) AS raw_bytes, CAST(least({event}, 4294967296) AS BIGINT) AS event_bytes, coalesce(string_agg('C' || k || '(text)', ',' ORDER BY k) FILTER (b > 1048576 AND {told}), '') AS large FROM c GROUP BY 1"""
+_TAKEN = "sum(CASE WHEN chosen THEN b + 32 ELSE 0 END)"
+
+
+def _worst(spark, sf_dir, cdc: bool):
+    k = F.col("c_custkey")
+    size = F.when(k % 300 == 0, 5_000_000_000).when(k % 200 == 0, 2_000_000).otherwise(k)
+    cols = _t(spark, sf_dir, "customer").where("c_custkey % 100 < 40 or c_mktsegment <> 'BUILDING'")
+    cols = cols.select(F.col("c_mktsegment").alias("table_name"), F.concat(F.lit("C"), k).alias("column_name"), F.lit("text").alias("type_name"), k.alias("position"), size.alias("value_bytes"), "c_nationkey")
+    return guards.worst_case_sizes(cols, F.col("c_nationkey") % 2 == 0, cdc).select("table_name", "raw_bytes", "event_bytes", F.array_join("large_columns", ",").alias("large"))
+
+
+@query(_WORST.format(raw="2 * sum(b + 32) + 320 * count(*) + 512", event=f"2 * {_TAKEN} + 512", told="TRUE"))
 def q_worst_case_size(spark, sf_dir):
-    cols = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("table_name"), F.col("c_name").alias("column_name"), F.col("c_custkey").alias("value_bytes"), "c_nationkey")
-    return guards.worst_case_sizes(cols, F.col("c_nationkey") % 2 == 0)
+    return _worst(spark, sf_dir, True)
+
+
+@query(_WORST.format(raw=f"{_TAKEN} + 512", event=f"{_TAKEN} + 512", told="chosen"))
+def q_worst_case_size_full(spark, sf_dir):
+    """The sizes of a run that only reads the tables: one image, of the selected columns."""
+    return _worst(spark, sf_dir, False)
 
 
 def _holed(spark, sf_dir):
@@ -501,16 +525,16 @@ def q_counts_by_status(spark, sf_dir):
     return metrics.counts_by_status(_jobs(spark, sf_dir))
 
 
-_TARGET = f"WITH j AS (SELECT o_orderkey AS job_id, {_STATUS} AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 ELSE (o_custkey + 1) % 10 END AS t FROM orders), k AS (SELECT j.*, n_name AS target_type FROM j LEFT JOIN nation ON n_nationkey = t)"
+_TARGET = f"WITH j AS (SELECT o_orderkey AS job_id, {_STATUS} AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 ELSE (o_custkey + 1) % 10 END AS t FROM orders), k AS (SELECT j.*, n_name AS target_type FROM j LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 4) ON n_nationkey = t)"
 
 
 def _typed(spark, sf_dir):
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), ((F.col("c_custkey") + 1) % 10).alias("target_id"))
-    sources = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("data_source_id"), F.col("n_name").alias("target_type"))
+    sources = _t(spark, sf_dir, "nation").where("n_nationkey <> 4").select(F.col("n_nationkey").cast("long").alias("data_source_id"), F.col("n_name").alias("target_type"))
     return reports.with_target_type(_jobs(spark, sf_dir), groups, sources)
 
 
-@query(_TARGET.replace("(o_custkey + 1) % 10", "(SELECT (c_custkey + 1) % 10 FROM customer WHERE c_custkey = o_custkey)") + "SELECT target_type, count(*) AS jobs, count(*) FILTER (s = 'RUNNING') AS running FROM k GROUP BY 1")
+@query(_TARGET.replace("(o_custkey + 1) % 10", "(SELECT (c_custkey + 1) % 10 FROM customer WHERE c_custkey = o_custkey)") + "SELECT target_type, count(*) AS jobs, count(*) FILTER (s = 'RUNNING') AS running FROM k WHERE target_type IS NOT NULL GROUP BY 1")
 def q_counts_by_target(spark, sf_dir):
     return metrics.counts_by_target(_typed(spark, sf_dir))
 
@@ -523,7 +547,7 @@ def q_group_status(spark, sf_dir):
     return metrics.group_status(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id")), _jobs(spark, sf_dir).select("group_id", "status"))
 
 
-@query("SELECT 'log-' || o_orderkey AS topic_name, CASE WHEN c_custkey IS NULL THEN 'OWNER_GONE' WHEN o_orderkey % 3 <> c_custkey % 3 THEN 'OTHER_TARGET' ELSE 'OTHER_VERSION' END AS reason, o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 24 HOUR AS due FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_orderkey % 3 <> c_custkey % 3 OR o_orderkey % 2 <> c_custkey % 2")
+@query("SELECT 'log-' || o_orderkey AS topic_name, CASE WHEN c_custkey IS NULL THEN 'OWNER_GONE' WHEN o_orderkey % 3 <> c_custkey % 3 THEN 'OTHER_TARGET' ELSE 'OTHER_VERSION' END AS reason, o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 24 HOUR AS due FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_orderkey % 3 <> c_custkey % 3 OR o_orderkey % 2 <> c_custkey % 2")
 def q_retention_audit(spark, sf_dir):
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     registry = o.select(F.concat(F.lit("log-"), "o_orderkey").alias("topic_name"), F.col("o_custkey").alias("owner_id"), (F.col("o_orderkey") % 3).alias("data_source_id"), (F.col("o_orderkey") % 2).alias("config_version"), F.col("o_orderdate").cast("timestamp").alias("retired_time"))
@@ -531,7 +555,7 @@ def q_retention_audit(spark, sf_dir):
     return reports.retention_audit(registry, owners, F.lit("1998-01-01").cast("timestamp"), 24)
 
 
-@query("SELECT o_orderkey AS checkpoint_id FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 1 HOUR AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) AND o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT o_orderkey AS checkpoint_id FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 1 HOUR AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) AND o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def q_orphans(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("checkpoint_id"), F.col("o_orderdate").cast("timestamp").alias("modified_at"))
     tasks = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("checkpoint_id"))
@@ -626,7 +650,7 @@ def q_split_and_sum(spark, sf_dir):
 def _envelopes(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     i = F.col("event_id")
-    row = lambda up: F.struct(i.alias("id"), (i % 2).cast("int").alias("flag"), (F.floor(F.col("value") * 100).cast("long") + up).alias("at"), ((i * 7919) % 200_000_000 - 80_000_000).alias("t"), (i % 20000).cast("int").alias("day"))
+    row = lambda up: F.struct(i.alias("id"), (i % 2).cast("int").alias("flag"), (F.floor(F.col("value") * 100).cast("long") * 250_000 + up * 1_500_000).alias("at"), ((i * 7919) % 200_000_000 - 80_000_000).alias("t"), (i % 20000).cast("int").alias("day"))
     op = F.element_at(F.array(*[F.lit(x) for x in "rcud"]), (i % 4 + 1).cast("int"))
     payload = F.struct(
         F.when(op.isin("u", "d"), row(0)).alias("before"), F.when(op != "d", row(1)).alias("after"), op.alias("op"), F.struct(F.lit("app").alias("db"), F.lit("t").alias("table"), (i % 3).alias("ts_ms")).alias("source"), (i + 5).alias("ts_ms")
@@ -640,14 +664,87 @@ FIELDS = [decode.Field("id", "int"), decode.Field("flag", "bool"), decode.Field(
 
 
 @query(
-    """WITH e AS (SELECT event_id AS i, ['r', 'c', 'u', 'd'][event_id % 4 + 1] AS o, event_id % 5 = 0 AS plain, (event_id * 7919) % 200000000 - 80000000 AS t FROM events WHERE event_id % 11 <> 0)
+    """WITH e AS (SELECT event_id AS i, ['r', 'c', 'u', 'd'][event_id % 4 + 1] AS o, event_id % 5 = 0 AS plain, (event_id * 7919) % 200000000 - 80000000 AS t, CAST(floor(value * 100) AS BIGINT) * 250000 + 1500000 AS us FROM events WHERE event_id % 11 <> 0)
 SELECT i AS "offset", CASE WHEN plain THEN 'r' ELSE o END AS op, plain, CASE WHEN plain THEN NULL WHEN i % 3 > 0 THEN i % 3 ELSE i + 5 END AS ts_ms, CASE WHEN plain OR o <> 'd' THEN CAST(i % 2 = 1 AS VARCHAR) END AS flag, CASE WHEN plain OR o <> 'd' THEN CAST(DATE '1970-01-01' + CAST(i % 20000 AS INTEGER) AS VARCHAR) END AS day,
 CASE WHEN plain OR o <> 'd' THEN CASE WHEN t < 0 THEN '-' ELSE '' END || lpad(CAST(abs(t) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(t) // 1000 % 60 AS VARCHAR), 2, '0') || CASE WHEN abs(t) % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(abs(t) % 1000 AS VARCHAR), 3, '0'), '0') END END AS t,
-CASE WHEN NOT plain AND o IN ('u', 'd') THEN i END AS before_id FROM e"""
+CASE WHEN NOT plain AND o IN ('u', 'd') THEN i END AS before_id,
+CASE WHEN plain OR o <> 'd' THEN strftime(make_timestamp(us - us % 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(us % 1000000 AS VARCHAR), 6, '0'), '0') END END AS at FROM e"""
 )
 def q_decode_types(spark, sf_dir):
     d = decode.decode_log(_envelopes(spark, sf_dir), FIELDS)
-    return d.select("offset", "op", "plain", "ts_ms", F.col("after.flag").cast("string").alias("flag"), F.col("after.day").cast("string").alias("day"), "after.t", F.col("before.id").alias("before_id"))
+    return d.select("offset", "op", "plain", "ts_ms", F.col("after.flag").cast("string").alias("flag"), F.col("after.day").cast("string").alias("day"), "after.t", F.col("before.id").alias("before_id"), "after.at")
+
+
+#: Columns of three versions of one table: name, connect type, logical type, parameters. Every type of a source is among them.
+_VERSIONS = (
+    (("id", "int64", None, {}), ("flag", "int16", None, {"type": "TINYINT", "length": "1"}), ("amount", "bytes", "org.apache.kafka.connect.data.Decimal", {"scale": "2"}), ("name", "string", None, {"type": "VARCHAR"})),
+    (("id", "int64", None, {}), ("flag", "boolean", None, {"type": "BIT"}), ("amount", "bytes", "org.apache.kafka.connect.data.Decimal", {"scale": "4"}), ("at6", "int64", "io.debezium.time.MicroTimestamp", {}), ("at3", "int64", "io.debezium.time.Timestamp", {}), ("day", "int32", "io.debezium.time.Date", {})),
+    (
+        ("id", "int64", None, {}), ("at9", "int64", "io.debezium.time.NanoTimestamp", {}), ("z", "string", "io.debezium.time.ZonedTimestamp", {}), ("t3", "int32", "io.debezium.time.Time", {}), ("t6", "int64", "io.debezium.time.MicroTime", {}),
+        ("t9", "int64", "io.debezium.time.NanoTime", {}), ("f", "float", None, {"type": "FLOAT UNSIGNED"}), ("d", "double", None, {"type": "DOUBLE"}), ("small", "int16", None, {"type": "TINYINT", "length": "4"}), ("b", "bytes", None, {"type": "BLOB"}),
+        ("g", "struct", None, {}), ("none", "string", None, {}),
+    ),
+)
+
+
+def _versions_log(spark, sf_dir):
+    """Envelopes of three versions of a table, as text; those of events divisible by 50 tell of no row, as the schema of their row is missing."""
+    import json
+
+    def schema_of(columns) -> str:
+        def column(name, kind, logical, told):
+            more = {"parameters": {(k if k == "scale" else f"__debezium.source.column.{k}"): v for k, v in told.items()}} if told else {}
+            return {"type": kind, "field": name, **({"name": logical} if logical else {}), **more, **({"fields": [{"type": "bytes", "field": "wkb"}, {"type": "int32", "field": "srid"}]} if kind == "struct" else {})}
+
+        row = [column(*c) for c in columns]
+        return json.dumps({"type": "struct", "fields": [{"type": "struct", "field": "before", "fields": row}, {"type": "struct", "field": "after", "fields": row}]}, separators=(",", ":"))
+
+    i = F.col("event_id").cast("long")
+    text_ = lambda c: c.cast("string")
+    t = (i * 7919) % 200_000_000 - 80_000_000
+    values = {
+        "id": text_(i), "name": F.concat(F.lit('"n'), text_(i % 7), F.lit("\\u00e9\\n\"")), "at6": text_(i * 7_919_000_500 - 40_000_000_000_000), "at3": text_(i * 86_413_500 - 400_000_000_000), "day": text_(i % 20_000 - 5000),
+        "at9": text_(i * 123_456_789_010 - 5_000_000_000_000), "z": F.format_string('"2020-01-01T10:%02d:00%sZ"', i % 60, F.when(i % 2 == 0, ".5").otherwise("")), "t3": text_(t), "t6": text_(t * 1000 + i % 7), "t9": text_((t * 1000 + i % 7) * 1000 + 1),
+        "f": F.concat(text_(i % 1000), F.lit(".1")), "d": F.concat(text_(i % 1000), F.lit(".25")), "small": text_(i % 128), "b": F.lit('"AAE="'), "g": F.lit('{"wkb":"AQ==","srid":null}'), "none": F.lit("null"),
+    }
+    amounts = [F.format_string("%d.%02d", F.floor(i / 100), i % 100), F.when(i % 2 == 0, F.lit("12345678901234567890.0000")).otherwise(F.format_string("-0.%04d", i % 1000 + 1000)), F.lit("")]
+    flags = [text_(i % 3), F.when(i % 4 < 2, F.lit("true")).otherwise(F.lit("false")), F.lit("")]
+    op = F.get(F.array(*[F.lit(x) for x in "rcud"]), (F.floor(i / 3) % 4).cast("int"))
+    value = None
+    for v, columns in enumerate(_VERSIONS):
+        known = values | {"amount": amounts[v], "flag": flags[v]}
+        row = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c[0]}":'), known[c[0]]) for c in columns]), F.lit("}"))
+        before, after = F.when(op.isin("u", "d"), row).otherwise("null"), F.when(op != "d", row).otherwise("null")
+        schema_text = F.when(i % 50 == 0, F.lit('{"type":"struct","fields":[]}')).otherwise(F.lit(schema_of(columns)))
+        one = F.concat(F.lit('{"schema":'), schema_text, F.lit(',"payload":{"before":'), before, F.lit(',"after":'), after, F.lit(',"op":"'), op, F.lit('","source":{"db":"app","table":"t","ts_ms":'), text_(i % 3), F.lit('},"ts_ms":'), text_(i + 5), F.lit("}}"))
+        value = F.when(i % 3 == v, one).otherwise(value)
+    return _t(spark, sf_dir, "events").select(F.lit("raw").alias("raw_topic"), i.alias("offset"), value.alias("value"))
+
+
+def _local_sql(n: str, per_second: int, digits: int) -> str:
+    part = f"(({n}) % {per_second} + {per_second}) % {per_second}"
+    return f"""strftime(make_timestamp((({n}) - {part}) // {per_second} * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {part} = 0 THEN '' ELSE '.' || rtrim(lpad(CAST({part} AS VARCHAR), {digits}, '0'), '0') END"""
+
+
+def _time_sql(us: str) -> str:
+    n = f"abs({us})"
+    whole = " || ':' || ".join(f"lpad(CAST({x} AS VARCHAR), 2, '0')" for x in (f"{n} // 3600000000", f"{n} // 60000000 % 60", f"{n} // 1000000 % 60"))
+    return f"CASE WHEN {us} < 0 THEN '-' ELSE '' END || {whole} || CASE WHEN {n} % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST({n} % 1000000 AS VARCHAR), 6, '0'), '0') END"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id AS i, ['r', 'c', 'u', 'd'][event_id // 3 % 4 + 1] AS op, (event_id * 7919) % 200000000 - 80000000 AS t FROM events),
+v AS (SELECT *, CASE i % 3
+WHEN 0 THEN '{{"id":' || i || ',"flag":' || CASE WHEN i % 3 = 0 THEN 'false' ELSE 'true' END || ',"amount":' || CAST(i // 100 AS VARCHAR) || CASE WHEN i % 100 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0'), '0') END || ',"name":"n' || i % 7 || 'é\\n"}}'
+WHEN 1 THEN '{{"id":' || i || ',"flag":' || CASE WHEN i % 4 < 2 THEN 'true' ELSE 'false' END || ',"amount":' || CASE WHEN i % 2 = 0 THEN '12345678901234567890' ELSE rtrim('-0.' || CAST(i % 1000 + 1000 AS VARCHAR), '0') END
+  || ',"at6":"' || {_local_sql('i * 7919000500 - 40000000000000', 1000000, 6)} || '","at3":"' || {_local_sql('i * 86413500 - 400000000000', 1000, 3)} || '","day":"' || CAST(DATE '1970-01-01' + CAST(i % 20000 - 5000 AS INTEGER) AS VARCHAR) || '"}}'
+ELSE '{{"id":' || i || ',"at9":"' || {_local_sql('i * 123456789010 - 5000000000000', 1000000000, 9)} || '","z":"2020-01-01T18:' || lpad(CAST(i % 60 AS VARCHAR), 2, '0') || ':00' || CASE WHEN i % 2 = 0 THEN '.5' ELSE '' END || '","t3":"' || {_time_sql('(t * 1000)')}
+  || '","t6":"' || {_time_sql('(t * 1000 + i % 7)')} || '","t9":"' || {_time_sql('(t * 1000 + i % 7)')} || '","f":' || i % 1000 || '.1,"d":' || i % 1000 || '.25,"small":' || i % 128 || ',"b":"AAE=","g":"AQ==","none":null}}' END AS row FROM e)
+SELECT i AS "offset", op, CASE WHEN i % 3 > 0 THEN i % 3 ELSE i + 5 END AS ts_ms, CASE WHEN op IN ('u', 'd') AND i % 50 <> 0 THEN row END AS before, CASE WHEN op <> 'd' AND i % 50 <> 0 THEN row END AS after, CASE WHEN i % 50 = 0 THEN 'no row in the schema' END AS decode_error FROM v"""
+)
+def q_decode_by_schema(spark, sf_dir):
+    """One log with three versions of a table, each record decoded by the schema that it brings."""
+    return decode.decode_by_schema(_versions_log(spark, sf_dir)).select("offset", "op", "ts_ms", "before", "after", "decode_error")
 
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 + 8 * 3600000 AS BIGINT) AS shanghai_ms, CAST(8 AS DOUBLE) AS shift FROM events")
@@ -734,13 +831,13 @@ def q_type_pairs(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'ADD_COLUMN' END AS ch, c_custkey % 3 = 0 AS fits, c_custkey % 5 = 0 AS opened, c_custkey % 7 <> 0 AS known FROM customer)
-SELECT 't' || k AS table_name, CASE WHEN NOT known THEN 'BASELINE_SET' WHEN ch IS NULL THEN CASE WHEN opened THEN 'READY_TO_RESUME' END WHEN fits THEN CASE WHEN opened THEN 'READY_TO_RESUME' ELSE 'RESOLVED' END ELSE 'PENDING_FIX' END AS state FROM c"""
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 = 0 AS same, c_custkey % 11 = 0 AS gone, c_custkey % 3 = 0 AS fits, c_custkey % 5 = 0 AS opened, c_custkey % 7 <> 0 AS known FROM customer)
+SELECT 't' || k AS table_name, CASE WHEN gone THEN 'PENDING_FIX' WHEN NOT known AND fits THEN 'BASELINE_SET' WHEN known AND same AND opened THEN 'READY_TO_RESUME' WHEN known AND NOT same AND fits THEN 'READY_TO_RESUME' WHEN known AND NOT same THEN 'PENDING_FIX' END AS state FROM c"""
 )
 def q_drift_state(spark, sf_dir):
     k = F.col("c_custkey")
     c = _t(spark, sf_dir, "customer").select(k, F.concat(F.lit("t"), k).alias("table_name"))
-    drifted = c.select("table_name", F.when(k % 4 != 0, "ADD_COLUMN").alias("change_type"))
+    drifted = c.select("table_name", F.when(k % 11 == 0, "TABLE_UNAVAILABLE").when(k % 4 != 0, "ADD_COLUMN").alias("change_type"))
     fits = c.select("table_name", (k % 3 == 0).alias("compatible"))
     return schema.drift_state(drifted, fits, c.where(k % 5 == 0).select("table_name"), c.where(k % 7 != 0).select("table_name"))
 
@@ -751,17 +848,25 @@ def q_time_precision(spark, sf_dir):
     return schema.time_precision_risks(_t(spark, sf_dir, "part").select(F.concat(F.lit("t"), k % 40).alias("table_name"), F.concat(F.lit("c"), k).alias("column_name"), F.when(k % 3 == 0, "TIME").otherwise("DATETIME").alias("type_name"), F.col("p_size").alias("size")))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 50 ELSE greatest(event_id % 50, (event_id % 90000) // 1000) END AS lag FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN event_id % 50 END WHEN event_id % 2 = 0 THEN greatest(event_id % 50, (event_id % 90000) // 1000) WHEN event_id % 3 = 1 THEN (event_id % 90000) // 1000 ELSE 0 END AS lag FROM events")
 def q_effective_lag(spark, sf_dir):
-    i = F.col("event_id")
-    return _t(spark, sf_dir, "events").select("event_id", guards.effective_lag(i % 50, F.when(i % 3 != 0, F.lit(0).cast("long")), i % 90_000).alias("lag"))
+    """Lags of owners that publish, that stopped, and whose stop is told to be in the future; odd ones have no stored lag."""
+    i = F.col("event_id").cast("long")
+    stopped = F.when(i % 3 == 0, F.lit(None)).when((i % 3 == 2) & (i % 2 == 1), i + 5000).otherwise(F.lit(0)).cast("long")
+    return _t(spark, sf_dir, "events").select("event_id", guards.effective_lag(F.when(i % 2 == 0, i % 50), stopped, i % 90_000).alias("lag"))
 
 
-@query("SELECT o_orderkey AS item_id, o_custkey AS group_id, coalesce(a, TRUE) AS alerts_on FROM orders LEFT JOIN (SELECT c_custkey, c_custkey % 2 = 0 AS a FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey")
+@query(
+    """WITH g AS (SELECT c_custkey, ['RUNNING', 'DEGRADED', 'PAUSED', 'FAILED'][c_custkey % 4 + 1] AS s FROM customer WHERE c_custkey % 5 <> 0), i AS (SELECT o_orderkey, o_custkey, ['RUNNING', 'FAILED', 'DDL_BLOCKED', 'PAUSED', 'REINITIALIZE_REQUIRED'][o_orderkey % 5 + 1] AS s FROM orders)
+SELECT o_orderkey AS item_id, o_custkey AS group_id, CASE WHEN g.s = 'RUNNING' OR g.s = 'DEGRADED' THEN CASE WHEN i.s = 'FAILED' OR i.s = 'DDL_BLOCKED' THEN i.s WHEN i.s = 'RUNNING' AND o_orderkey % 3 = 0 THEN 'KAFKA_BRIDGE_STOPPED' END END AS due FROM i LEFT JOIN g ON c_custkey = o_custkey"""
+)
 def q_alert_gate(spark, sf_dir):
-    items = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("group_id"))
-    k = F.col("c_custkey")
-    return reports.gated_items(items, _t(spark, sf_dir, "customer").where(k % 5 != 0).select(k.alias("group_id"), (k % 2 == 0).alias("alerts_on"))).select("item_id", "group_id", "alerts_on")
+    pick = lambda n, *names: F.get(F.array(*[F.lit(x) for x in names]), (n % len(names)).cast("int"))
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    status = pick(o, "RUNNING", "FAILED", "DDL_BLOCKED", "PAUSED", "REINITIALIZE_REQUIRED")
+    items = _t(spark, sf_dir, "orders").select(o.alias("item_id"), F.col("o_custkey").alias("group_id"), status.alias("status"), (o % 3 == 0).alias("stopped"))
+    groups = _t(spark, sf_dir, "customer").where(k % 5 != 0).select(k.alias("group_id"), pick(k, "RUNNING", "DEGRADED", "PAUSED", "FAILED").alias("status"))
+    return reports.gated_items(items, groups).select("item_id", "group_id", "due")
 
 
 @query("SELECT item_id, event_id, status FROM (SELECT user_id AS item_id, event_id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events WHERE event_id % 4 <> 0) WHERE p = 1")
@@ -795,28 +900,30 @@ def q_filter_if_present(spark, sf_dir):
 
 
 @query(
-    """SELECT 'tbl_' || p_partkey % 40 AS table_name, CAST(least(2 * sum(b) + 320 * count(*) + 512, 4294967296) AS BIGINT) AS raw_bytes, CAST(least(2 * sum(CASE WHEN p_partkey % 2 = 0 THEN b ELSE 0 END) + 512, 4294967296) AS BIGINT) AS event_bytes, CAST(count(*) FILTER (b > 1048576) AS BIGINT) AS large_columns
+    """SELECT 'tbl_' || p_partkey % 40 AS table_name, CAST(least(2 * sum(b + 32) + 320 * count(*) + 512, 4294967296) AS BIGINT) AS raw_bytes, CAST(least(2 * sum(CASE WHEN p_partkey % 2 = 0 THEN b + 32 ELSE 0 END) + 512, 4294967296) AS BIGINT) AS event_bytes, coalesce(string_agg(p_partkey || '(' || CASE p_partkey % 8 WHEN 4 THEN 'mediumblob' ELSE 'json' END || ')', ',' ORDER BY p_partkey) FILTER (b > 1048576), '') AS large
 FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN 4 * p_size WHEN 2 THEN 40 WHEN 3 THEN CAST(ceil(p_size / 3.0) * 4 AS BIGINT) WHEN 4 THEN CASE WHEN p_partkey % 40 < 8 THEN 22369620 ELSE 340 END WHEN 5 THEN 65535 WHEN 6 THEN 12 WHEN 7 THEN CASE WHEN p_partkey % 40 = 7 THEN 4294967296 ELSE 255 END ELSE 40 END AS b FROM part) GROUP BY 1"""
 )
 def q_bytes_by_type(spark, sf_dir):
     k = F.col("p_partkey")
     few = k % 40
     kinds = F.array(F.lit("int"), F.lit("varchar(9)"), F.lit("datetime"), F.lit("varbinary"), F.when(few < 8, "mediumblob").otherwise("tinyblob"), F.lit("text"), F.lit("bit"), F.when(few == 7, "json").otherwise("TINYTEXT"))
-    columns = _t(spark, sf_dir, "part").select(k, F.concat(F.lit("tbl_"), few).alias("table_name"), guards.value_bytes(F.get(kinds, (k % 8).cast("int")), F.col("p_size")).alias("value_bytes"))
-    return guards.worst_case_sizes(columns, k % 2 == 0)
+    kind = F.get(kinds, (k % 8).cast("int"))
+    columns = _t(spark, sf_dir, "part").select(k, k.cast("string").alias("column_name"), k.alias("position"), kind.alias("type_name"), F.concat(F.lit("tbl_"), few).alias("table_name"), guards.value_bytes(kind, F.col("p_size")).alias("value_bytes"))
+    return guards.worst_case_sizes(columns, k % 2 == 0).select("table_name", "raw_bytes", "event_bytes", F.array_join("large_columns", ",").alias("large"))
 
 
 @query(
-    """SELECT p_partkey, 'password=******, part ' || p_partkey AS hidden, regexp_replace(p_name, '^.* ', '') AS last_word, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || '.x' END AS qualified, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END AS db, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'x' END AS tbl,
-CASE WHEN p_size * 100 >= 1024 THEN printf('%.1f KiB', p_size * 100 / 1024.0) ELSE CAST(p_size * 100 AS VARCHAR) || ' B' END AS size_text, left(p_name, 7) AS cut, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS number FROM part"""
+    """SELECT p_partkey, '{password=******}, passwd=x, Pwd : ****** ' || p_partkey AS hidden, regexp_replace(p_name, '^.* ', '') AS last_word, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || '.x' END AS qualified, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END AS db, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'x' END AS tbl,
+CASE WHEN p_size * 100 >= 1024 THEN printf('%.1f KB', p_size * 100 / 1024.0) ELSE CAST(p_size * 100 AS VARCHAR) || ' B' END AS size_text, left(p_name, 7) AS cut, [3 + p_partkey % 2, p_partkey // 10, -5, 20, NULL][p_partkey % 5 + 1] AS number, 3 + p_partkey % 2 AS n_items FROM part"""
 )
 def q_text_functions(spark, sf_dir):
     k, brand = F.col("p_partkey"), F.col("p_brand")
     qualified = F.when(k % 2 == 0, brand).otherwise(F.concat(brand, F.lit(".x")))
     return _t(spark, sf_dir, "part").select(
-        "p_partkey", text.redacted(F.concat(F.lit("password=p"), k, F.lit(", part "), k)).alias("hidden"), F.element_at(text.comma_list(F.regexp_replace("p_name", " ", " ,, ")), -1).alias("last_word"), qualified.alias("qualified"),
+        "p_partkey", text.redacted(F.concat(F.lit("{password=p"), k, F.lit("}, passwd=x, Pwd : a "), k)).alias("hidden"), F.element_at(text.comma_list(F.regexp_replace("p_name", " ", " ,, ")), -1).alias("last_word"), qualified.alias("qualified"),
         text.database_of(qualified).alias("db"), text.table_of(qualified).alias("tbl"), text.byte_size_text(F.col("p_size") * 100).alias("size_text"), text.within_bytes(F.col("p_name"), 7).alias("cut"),
-        text.number_from(F.when(k % 3 == 0, k.cast("string")).otherwise(F.lit("n/a"))).alias("number"),
+        text.number_from(F.get(F.array(F.concat((3 + k % 2).cast("string"), F.lit(".9")), F.concat((k * 1).cast("string"), F.lit("e-1")), F.lit(" -5.99 "), F.lit("2e1"), F.lit("n/a")), (k % 5).cast("int"))).alias("number"),
+        F.size(text.comma_list(F.when(k % 2 == 0, "a, b,,a").otherwise("a,b,a, a ,"))).cast("long").alias("n_items"),
     )
 
 

@@ -47,14 +47,14 @@ def check_start(mode: str, as_of_ms: int, start_ms: int | None = None, file: str
 
 
 #: Identifiers of databases, tables and columns, and names of topics, as far as they are accepted.
-IDENTIFIER, TOPIC_NAME = r"^[A-Za-z0-9_$]{1,64}$", r"^[A-Za-z0-9._-]{1,249}$"
+IDENTIFIER, TOPIC_NAME = r"^[A-Za-z0-9_$]+(\.[A-Za-z0-9_$]+)?$", r"^[A-Za-z0-9._-]{1,249}$"
 
 
 def check_names(identifiers: list[str] = [], topics: list[str] = []) -> None:
     """Refuses names that can't be an identifier or a topic."""
     for kind, pattern, names in (("identifier", IDENTIFIER, identifiers), ("topic", TOPIC_NAME, topics)):
         for name in names:
-            if not re.match(pattern, name or "") or name in (".", ".."):
+            if not re.fullmatch(pattern[1:-1], name or "") or name in (".", ".."):
                 raise ValueError(f"not a valid {kind}: {name!r}")
 
 
