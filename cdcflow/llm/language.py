@@ -143,6 +143,7 @@ def learn_languages(docs: DataFrame, per_language: int = 600, max_rows: int = 12
     chosen = chosen.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), 1, each).alias("rows"))  # each + SALTS rows at most
     chosen = chosen.select("lang", F.explode("rows.doc_id").alias("doc_id")).distinct()
     sample = docs.select("lang", "doc_id", "text").where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["lang", "doc_id"])  # max_rows rows, or one a language
+    sample = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # of rows that share an id, one
     rows = sample.select("lang", "text").mapInArrow(_featurise, "lang string, x binary").collect()
     if not rows:
         return None

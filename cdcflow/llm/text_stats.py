@@ -91,10 +91,11 @@ def with_ratios(stats: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where: Column | None = None) -> DataFrame:
-    """At most max_rows rows of docs that carry a label, as k_label: those whose id hashes lowest. Ids labelled twice take the smaller label."""
+    """At most max_rows rows of docs that carry a label, as k_label: those whose id hashes lowest. Ids labelled twice take the smaller label, and of rows that share an id one counts, that of the smallest text."""
     chosen = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("k_label")).where("doc_id is not null and k_label is not null")
     if where is not None:
         chosen = chosen.where(where)
     chosen = chosen.groupBy("doc_id").agg(F.min("k_label").alias("k_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
+    return met.groupBy("doc_id", "k_label").agg(F.min("text").alias("text")).select("doc_id", "text", "k_label")

@@ -295,3 +295,11 @@ def test_hot_payloads_and_empty_tables(spark, tmp_path):
     assert got == sorted(((i, len(p), digest(p), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, _, p in rows), key=str)
     none = warc.write_archives(pages_of(spark, []), f"file://{tmp_path}/e")
     assert none.count() == 0 and warc.read_archives(none).count() == 0
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    from cdcflow.llm import text_stats
+
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(2, None), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in text_stats.labelled_sample(docs, labels, "quality", 10).collect()) == [(1, "text 0", 0), (2, None, 1)]
