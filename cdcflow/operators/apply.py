@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.decode import json_text
 from .events import DELETE
 
 ORDER = ("run", "seq", "sub")
@@ -27,12 +29,19 @@ def applied(events: DataFrame, upto: Column | None = None) -> DataFrame:
     return latest_changes(events, upto).where(F.col("op") != DELETE).select("data.*")
 
 
+def row_key(table: DataFrame, keys: list[str]) -> Column:
+    """The key text of a table's rows, as events have it; a null part is written as null."""
+    kind = T.StructType([next(f for f in table.schema if f.name.lower() == k.lower()) for k in keys])
+    return json_text(F.struct(*[F.col(f"`{k}`").alias(k) for k in keys]), T.StructType([T.StructField(k, f.dataType) for k, f in zip(keys, kind)]))
+
+
 def merged_into(base: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
-    """base after events: rows whose key has an event are replaced by its outcome."""
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    """base after events: rows whose key has an event are replaced by its outcome. One join; columns are matched by name and keep base's types."""
     last = latest_changes(events)
-    untouched = base.withColumn("key", key).join(last.select("key"), "key", "left_anti").drop("key")
-    return untouched.unionByName(last.where(F.col("op") != DELETE).select("data.*"))
+    kept = base.select(row_key(base, keys).alias("key"), F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"))
+    new = F.struct(*[F.col(f"data.`{f.name}`").cast(f.dataType).alias(f.name) for f in base.schema])
+    met = kept.join(last, "key", "full").where(F.col("op").isNull() | (F.col("op") != DELETE))
+    return met.select(F.when(F.col("op").isNull(), F.col("row")).otherwise(new).alias("r")).select("r.*")
 
 
 def topic_reconciliation(source: DataFrame, events: DataFrame) -> DataFrame:

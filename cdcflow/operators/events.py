@@ -90,11 +90,12 @@ def projected(image: str, columns: list[str]) -> Column:
     return F.when(F.col(image).isNotNull(), F.struct(*[F.col(f"{image}.{c}").alias(c) for c in columns]))
 
 
-def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None, snapshot_count: int = 0, run: int = 0) -> DataFrame:
+def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None, snapshot_count: int = 0, run: int = 0, by_offset: bool = False) -> DataFrame:
     """Events of a log: raw_topic, run, seq, sub, op, key, before, data, phase, sourceDatabase, sourceTable, event_ms, sourceEventTime, reason.
 
     A d directly before a c of the same table and key is one UPDATE; a u whose key changes is a DELETE and an INSERT; the first
     snapshot_count records of each topic are SNAPSHOT, as is every r that isn't part of a pair. run: which run of the task wrote the log; a later run comes after.
+    by_offset: seq is the offset in the topic, which stays the same however a log is cut into batches, and not the number in the order.
     A record that unreliable() names, or that has a decode_error, becomes a row with its reason and without op, key and images, and so does a d right before a c of its table
     that has no key, or of its key that has no time. A record without a topic or an offset is the first of a topic named "", or of its own. Give the result to
     guards.publish_prefix(), which stops each topic at its first such row.
@@ -134,7 +135,7 @@ def normalize(log: DataFrame, keys: list[str], columns: list[str] | None = None,
         .otherwise(F.array(event(INSERT, F.col("k_after"), none, data)))
     )
     ms = F.when(F.col("opens"), F.greatest("ts_ms", "next__link.ts_ms")).otherwise(F.col("ts_ms"))
-    out = log.select("raw_topic", "seq", "db", "tbl", phase.alias("phase"), ms.alias("event_ms"), "reason", F.posexplode(events).alias("sub", "e"))
+    out = log.select("raw_topic", F.col("offset" if by_offset else "seq").cast("long").alias("seq"), "db", "tbl", phase.alias("phase"), ms.alias("event_ms"), "reason", F.posexplode(events).alias("sub", "e"))
     return out.select(
         "raw_topic", F.lit(run).alias("run"), "seq", "sub", "e.op", "e.key", "e.before", "e.data", "phase", F.col("db").alias("sourceDatabase"), F.col("tbl").alias("sourceTable"),
         "event_ms", instant_text(F.col("event_ms")).alias("sourceEventTime"), "reason",

@@ -12,8 +12,6 @@ COLUMN_OVERHEAD = 160
 RECORD_BASE = 512
 LARGE_COLUMN = 1 << 20
 WORST_CASE_CAP = 4 << 30
-#: Raw-log topics up to this many are broadcast.
-BROADCAST_TOPICS = 100_000
 
 
 def record_bytes(key: Column, value: Column) -> Column:
@@ -66,10 +64,6 @@ def value_bytes(type_name: Column, size: Column) -> Column:
     return F.least(out, F.lit(WORST_CASE_CAP)).cast("long")
 
 
-def _with_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
-    return df.join(F.broadcast(small) if small.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS else small, on, "left")
-
-
 ORDER = ("run", "seq", "sub")
 
 
@@ -91,7 +85,7 @@ def publish_prefix(events: DataFrame, reason: str = "reason", owner: str = "raw_
     owner: a column; a snapshot and the changes of one owner, which share it, stop together, and a run that failed holds every later run of its owner. An owner that is null is one of its own.
     """
     named = events.withColumn("_owner", F.coalesce(F.col(owner).cast("string"), F.lit("")))
-    both = _with_small(named, first_refused(named, reason, "_owner"), "_owner")
+    both = named.join(first_refused(named, reason, "_owner"), "_owner", "left")  # broadcast at run time, once its size is known to be small
     goes = F.col("first_place").isNull() | (place(events) < F.col("first_place"))
     return both.where(goes).drop("_owner", "first_place", "first_bad", "first_reason"), both.where(~goes).drop("_owner", "first_place")
 

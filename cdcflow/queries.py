@@ -12,6 +12,7 @@ from .operators import apply, events, formats, guards, metrics, reconcile, repor
 from .plans import testlog
 from .sources import readers
 from .streaming import jobs
+from .streaming.publisher import LogPublisher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +77,14 @@ def q_key_change_split(spark, sf_dir):
     return _flat(_events(spark, sf_dir)).withColumn("parts", parts).where("parts = 1").select("seq", "sub", "op", "k", "event_ms")
 
 
+def _broken_log(spark, sf_dir):
+    """The log with records that have no database: every view in its second half."""
+    log = _log(spark, sf_dir)
+    half = log.agg(F.floor(F.max("offset") / 2).alias("half"))
+    broken = (F.col("after.event_type") == "view") & (F.col("op") == "u") & (F.col("before.user_id") == F.col("after.user_id")) & (F.col("offset") >= F.col("half"))
+    return log.join(F.broadcast(half)).withColumn("db", F.when(F.coalesce(broken, F.lit(False)), F.lit(" ")).otherwise(F.col("db"))).drop("half")  # half: one row
+
+
 @query(
     LOG
     + """, bad AS (SELECT min(seq) AS s FROM raw WHERE event_type = 'view' AND "offset" >= (SELECT max("offset") // 2 FROM raw))
@@ -83,11 +92,7 @@ SELECT seq, sub, op, k FROM ev WHERE seq < (SELECT s FROM bad) UNION ALL SELECT
 )
 def q_publish_stops_at_unreliable(spark, sf_dir):
     """Events up to the first record without a database, and why it stopped there; every view in the second half of the log is such a record."""
-    log = _log(spark, sf_dir)
-    half = log.agg(F.floor(F.max("offset") / 2).alias("half"))
-    broken = (F.col("after.event_type") == "view") & (F.col("op") == "u") & (F.col("before.user_id") == F.col("after.user_id")) & (F.col("offset") >= F.col("half"))
-    log = log.join(F.broadcast(half)).withColumn("db", F.when(F.coalesce(broken, F.lit(False)), F.lit(" ")).otherwise(F.col("db"))).drop("half")
-    goes, held = guards.publish_prefix(events.normalize(log, testlog.KEYS))
+    goes, held = guards.publish_prefix(events.normalize(_broken_log(spark, sf_dir), testlog.KEYS))
     why = held.groupBy("raw_topic").agg(F.min("first_bad").alias("seq"), F.min("first_reason").alias("op"))
     return _flat(goes).select("seq", "sub", "op", "k").unionByName(why.select("seq", F.lit(None).cast("int").alias("sub"), "op", F.lit(None).cast("long").alias("k")))
 
@@ -796,6 +801,28 @@ def stream_split_update_merge(spark, sf_dir):
     return out.select(F.col("offset").alias("seq"), "op", F.get_json_object("key", "$.user_id").cast("long").alias("k"), "event_ms")
 
 
+@query(
+    LOG
+    + """, bad AS (SELECT seq AS s, "offset" AS o FROM raw WHERE event_type = 'view' AND "offset" >= (SELECT max("offset") // 2 FROM raw) ORDER BY seq LIMIT 1)
+SELECT raw."offset" AS seq, ev.sub, ev.op, ev.k FROM ev JOIN raw ON raw.seq = ev.seq WHERE ev.seq < (SELECT s FROM bad) UNION ALL SELECT o, NULL, 'missing source', NULL FROM bad"""
+)
+def stream_ordered_publish(spark, sf_dir):
+    """The log of q_publish_stops_at_unreliable in four batches: what goes out, and where and why its owner stands then."""
+    from .sources.shared import shared_path
+
+    log = _broken_log(spark, sf_dir)
+    low, high = log.agg(F.min("offset"), F.max("offset")).first()
+    path, step = shared_path(spark, "raw"), (high - low) // 4 + 1
+    for i in range(4):  # files in the order that a log has
+        log.where(F.col("offset").between(low + i * step, low + (i + 1) * step - 1)).coalesce(2).write.mode("append").parquet(f"{path}/part={i}")
+    publisher = LogPublisher(spark, shared_path(spark, "published"), log.schema, testlog.KEYS)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/part=*")
+    publisher.start(stream, shared_path(spark, "checkpoint")).awaitTermination()
+    publisher.flush()
+    why = publisher.stopped().select("seq", F.lit(None).cast("int").alias("sub"), F.col("reason").alias("op"), F.lit(None).cast("long").alias("k"))
+    return _flat(publisher.published()).select("seq", "sub", "op", "k").unionByName(why)
+
+
 @query(ORACLES["q_alert_transitions"])
 def stream_alert_transitions(spark, sf_dir):
     s = _samples(spark, sf_dir).select("sample_id", "owner_id", "status", "sampled_at")
@@ -938,6 +965,17 @@ def q_followed_selection(spark, sf_dir):
     return c.groupBy("segment", "columns").agg(F.count("*").alias("n"))
 
 
+def _order_changes(o: DataFrame, third: int, seventh: int, eleventh: int) -> DataFrame:
+    """A log that gives some orders another status, deletes some, and adds some under the negative key."""
+    k, image = F.col("o_orderkey"), F.struct("o_orderkey", "o_orderstatus")
+    changed = F.struct("o_orderkey", F.concat("o_orderstatus", F.lit("2")).alias("o_orderstatus"))
+    added = F.struct((-k).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"))
+    record = lambda op, before, after: F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after"))
+    none = F.lit(None).cast("struct<o_orderkey:bigint,o_orderstatus:string>")
+    records = F.array_compact(F.array(F.when(k % third == 0, record("u", image, changed)), F.when(k % seventh == 0, record("d", image, none)), F.when(k % eleventh == 0, record("c", none, added))))
+    return o.select(k.alias("n"), F.posexplode(records).alias("i", "r")).select(F.lit("raw").alias("raw_topic"), (3 * F.col("n") + F.col("i")).alias("offset"), "r.*", F.lit("shop").alias("db"), F.lit("orders").alias("tbl"), F.lit(0).cast("long").alias("ts_ms"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '2' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 11 = 0")
 def q_versioned_table(spark, sf_dir):
     """orders written as a table's first version, changed by events into the second, and read back."""
@@ -947,12 +985,18 @@ def q_versioned_table(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     t = VersionedTable(spark, shared_path(spark, "orders"))
     t.overwrite(o)
-    k, image = F.col("o_orderkey"), F.struct("o_orderkey", "o_orderstatus")
-    changed = F.struct("o_orderkey", F.concat("o_orderstatus", F.lit("2")).alias("o_orderstatus"))
-    added = F.struct((-k).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"))
-    record = lambda op, before, after: F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after"))
-    none = F.lit(None).cast("struct<o_orderkey:bigint,o_orderstatus:string>")
-    records = F.array_compact(F.array(F.when(k % 3 == 0, record("u", image, changed)), F.when(k % 7 == 0, record("d", image, none)), F.when(k % 11 == 0, record("c", none, added))))
-    log = o.select(k.alias("n"), F.posexplode(records).alias("i", "r")).select(F.lit("raw").alias("raw_topic"), (3 * F.col("n") + F.col("i")).alias("offset"), "r.*", F.lit("shop").alias("db"), F.lit("orders").alias("tbl"), F.lit(0).cast("long").alias("ts_ms"))
-    t.apply(events.normalize(log, ["o_orderkey"]), ["o_orderkey"])
+    t.apply(events.normalize(_order_changes(o, 3, 7, 11), ["o_orderkey"]), ["o_orderkey"])
+    return t.read()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 300 = 0 THEN o_orderstatus || '2' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 700 <> 0 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 1100 = 0")
+def q_merge_by_bucket(spark, sf_dir):
+    """orders in buckets by key; changes of one order in some hundred rewrite the buckets that hold one, and the version is read from new and old files."""
+    from .sources.shared import shared_path
+    from .sources.sinks import BucketedTable
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    t = BucketedTable(spark, shared_path(spark, "orders"), ["o_orderkey"], n_buckets=64)
+    t.overwrite(o)
+    t.apply(events.normalize(_order_changes(o, 300, 700, 1100), ["o_orderkey"]))
     return t.read()
