@@ -149,6 +149,22 @@ def decode_log(raw: DataFrame, fields: list[Field], zone: str = DEFAULT_ZONE) ->
     )
 
 
+def received_rows(log: DataFrame, received_ms: Column, database: str | None, tbl: str) -> DataFrame:
+    """A decoded log whose plain rows, which tell of neither, have the time at which they were received and the table that they are from ("unknown" for a blank database).
+
+    Plain rows are a bounded snapshot's; a topic that has other records, too, is no such snapshot, and its plain rows get the decode_error that they have no op.
+    """
+    kinds = log.groupBy("raw_topic").agg(F.bool_or("plain").alias("p"), F.bool_and("plain").alias("all"))
+    mixed = kinds.where("p and not all").select("raw_topic", F.lit(True).alias("_mixed"))  # a row a topic
+    plain = F.col("plain")
+    error = F.when(plain & F.col("_mixed"), "missing op")
+    fill = lambda c, value: F.when(plain, value).otherwise(F.col(c)).alias(c)
+    rest = [c for c in log.columns if c not in ("db", "tbl", "ts_ms", "decode_error")]
+    name = database if database and database.strip() else "unknown"
+    told = F.coalesce(F.col("decode_error"), error) if "decode_error" in log.columns else error
+    return log.join(mixed, "raw_topic", "left").select(*rest, fill("db", F.lit(name)), fill("tbl", F.lit(tbl)), fill("ts_ms", received_ms.cast("long")), told.alias("decode_error"))
+
+
 def row_type(df: DataFrame, image: str = "after") -> T.StructType:
     return df.schema[image].dataType
 

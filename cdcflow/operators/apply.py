@@ -24,6 +24,12 @@ def latest_changes(events: DataFrame, upto: Column | None = None) -> DataFrame:
     return events.groupBy("key").agg(last).select("key", "last.op", "last.data")
 
 
+def until(events: DataFrame, position: dict) -> DataFrame:
+    """The events at or before a position, {"run": ..., "seq": ...}."""
+    here = F.struct(*[(F.col(c) if c in events.columns else F.lit(0)).cast("long").alias(c) for c in ("run", "seq")])
+    return events.where(here <= F.struct(F.lit(position["run"]).cast("long").alias("run"), F.lit(position["seq"]).cast("long").alias("seq")))
+
+
 def applied(events: DataFrame, upto: Column | None = None) -> DataFrame:
     """The rows that exist after the events: inserts and updates upsert, a delete of an absent key does nothing; applying twice is the same."""
     return latest_changes(events, upto).where(F.col("op") != DELETE).select("data.*")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .apply import merged_into, row_key, until
+
 MAX_STEP = 1_000_000
 MAX_BLOCKS = 1000
 
@@ -102,6 +104,33 @@ def block_verdict(source: DataFrame, target: DataFrame, key: str, step: int) ->
     )
 
 
+def compare_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """source_rows, target_rows, missing, extra, different, matched: rows of both sides by key, whole.
+
+    Each side is counted by key with the sum of its rows' hashes (64 bits a row) in one aggregation, so keys may repeat and a hot one meets in no task. target: has source's columns.
+    """
+    side = lambda df, i: df.select(row_key(df, keys).alias("key"), F.lit(i).alias("side"), F.xxhash64(*[F.col(f"`{f.name}`").cast(f.dataType) for f in source.schema]).cast("decimal(20,0)").alias("h"))
+    n = lambda i: F.count_if(F.col("side") == i)
+    total = lambda i: F.sum(F.when(F.col("side") == i, F.col("h")))
+    per = side(source, 0).unionByName(side(target, 1)).groupBy("key").agg(n(0).alias("s"), n(1).alias("t"), total(0).alias("hs"), total(1).alias("ht"))
+    unlike = (F.col("s") > 0) & (F.col("t") > 0) & ((F.col("s") != F.col("t")) | (F.col("hs") != F.col("ht")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = per.agg(zero(F.sum("s")).alias("source_rows"), zero(F.sum("t")).alias("target_rows"), F.count_if(F.col("t") == 0).alias("missing"), F.count_if(F.col("s") == 0).alias("extra"), F.count_if(unlike).alias("different"))
+    return out.withColumn("matched", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("different") == 0))
+
+
+def check_at_position(base: DataFrame, events: DataFrame, table, keys: list[str]) -> DataFrame:
+    """compare_rows() of a versioned table's current version with the source at the position in the log that the version stands for: base after the events up to there.
+
+    Changes may go on meanwhile, on both sides: the version and its position are taken together, and later events don't count.
+    """
+    version = table.current()
+    position = table.position(version)
+    if position is None:
+        raise ValueError(f"version {version} doesn't tell the position that it stands for")
+    return compare_rows(merged_into(base, until(events, position), keys), table.read(version), keys)
+
+
 def group_check(pairs: dict[str, tuple]) -> DataFrame:
     """table_name, source_rows, target_rows, difference, status for each table; one that is absent or fails while it is read is FAILED and stops no other.
 

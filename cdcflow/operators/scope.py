@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialised
+
 
 def descendants(depts: DataFrame, roots: DataFrame) -> DataFrame:
     """root_id, dept_id: each root, and every department that lists it among its ancestors (a comma list)."""
@@ -12,6 +14,32 @@ def descendants(depts: DataFrame, roots: DataFrame) -> DataFrame:
     return lines.join(roots.select(F.col("root_id"), F.col("root_id").cast("string").alias("a")), "a").select("root_id", "dept_id").distinct()
 
 
+def ancestors(depts: DataFrame) -> DataFrame:
+    """dept_id, ancestor_id, distance: every ancestor of every department (dept_id, parent_id), 1 for its parent. A circle of parents is an error; a parent that is no department has none.
+
+    Each round doubles the steps that are known, so rounds grow with the logarithm of the depth; a department that has nothing further up leaves.
+    """
+    jump = materialised(depts.select("dept_id", F.col("parent_id").alias("ancestor_id")).where("ancestor_id is not null").distinct(), "jump")
+    known, step = materialised(jump.withColumn("distance", F.lit(1).cast("long")), "known"), 1
+    n = jump.count()
+    while not jump.isEmpty():
+        if step > n:
+            raise ValueError("the departments' parents run in a circle")
+        far = jump.select(F.col("dept_id").alias("from_id"), F.col("ancestor_id").alias("mid"))
+        more = known.select(F.col("dept_id").alias("mid"), F.col("ancestor_id"), F.col("distance"))
+        known = materialised(known.unionByName(far.join(more, "mid").select(F.col("from_id").alias("dept_id"), "ancestor_id", (F.col("distance") + step).alias("distance"))), "known")
+        onward = jump.select(F.col("dept_id").alias("mid"), "ancestor_id")
+        jump = materialised(far.join(onward, "mid").select(F.col("from_id").alias("dept_id"), "ancestor_id"), "jump")
+        step *= 2
+    return known
+
+
+def descendants_by_parent(depts: DataFrame, roots: DataFrame) -> DataFrame:
+    """root_id, dept_id: each root that is a department, and every department below it, from parents (dept_id, parent_id)."""
+    lines = ancestors(depts).select(F.col("ancestor_id").alias("root_id"), "dept_id").unionByName(depts.select(F.col("dept_id").alias("root_id"), "dept_id"))
+    return lines.join(roots.select("root_id").distinct(), "root_id").distinct()
+
+
 def visible_rows(rows: DataFrame, scopes: list[dict], depts: DataFrame, user_id: int) -> DataFrame:
     """Rows (dept_id, owner_id) that any of the scopes allows; none allows none.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import decode, masking, predicates, text
 from .operators import apply, events, formats, guards, metrics, reconcile, reports, schema, scope
-from .plans import testlog
+from .plans import spec, testlog
 from .sources import readers
 from .streaming import jobs
 from .streaming.publisher import LogPublisher
@@ -148,7 +148,10 @@ _TIME_SQL = "strftime(make_timestamp(event_ms * 1000), '%Y-%m-%dT%H:%M:%S') || C
     {_TIME_SQL} AS at, CASE WHEN seq < {SNAPSHOT_RECORDS} THEN 'SNAPSHOT' ELSE 'CDC' END AS phase FROM ev"""
 )
 def q_fmt_envelope(spark, sf_dir):
-    v = _format("ENVELOPE")(spark, sf_dir)
+    return _envelope_fields(_format("ENVELOPE")(spark, sf_dir))
+
+
+def _envelope_fields(v: DataFrame) -> DataFrame:
     return v.select(
         "seq", "sub", _J("op", "$.op"), _J("key_user", "$.key.user_id"), _J("data_user", "$.data.user_id"), _J("data_note", "$.data.note"), _J("before_amount", "$.before.amount"), _J("db", "$.source.database"),
         _J("tbl", "$.source.table"), _J("at", "$.sourceEventTime"), _J("phase", "$.phase"),
@@ -591,6 +594,17 @@ def q_descendants(spark, sf_dir):
     return scope.descendants(d, d.select(F.col("dept_id").alias("root_id")))
 
 
+@query(
+    """WITH RECURSIVE d AS (SELECT c_custkey AS dept_id, CASE WHEN c_custkey >= 4 THEN c_custkey // 4 END AS parent_id FROM customer), r AS (SELECT dept_id AS root_id, dept_id FROM d UNION ALL SELECT r.root_id, d.dept_id FROM r JOIN d ON d.parent_id = r.dept_id)
+SELECT root_id, dept_id FROM r"""
+)
+def q_descendants_by_parent(spark, sf_dir):
+    """Departments below each department, from their parents alone."""
+    c = F.col("c_custkey")
+    d = _t(spark, sf_dir, "customer").select(c.alias("dept_id"), F.when(c >= 4, F.floor(c / 4)).alias("parent_id"))
+    return scope.descendants_by_parent(d, d.select(F.col("dept_id").alias("root_id")))
+
+
 @query(_DEPTS + "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT dept_id FROM d WHERE dept_id = 3 OR list_contains(a, '3')) OR o_custkey IN (5, 6) OR o_orderkey = 77")
 def q_row_scope(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("dept_id"), F.col("o_orderkey").alias("owner_id"))
@@ -1000,3 +1014,71 @@ def q_merge_by_bucket(spark, sf_dir):
     t.overwrite(o)
     t.apply(events.normalize(_order_changes(o, 300, 700, 1100), ["o_orderkey"]))
     return t.read()
+
+
+_STATE = "arg_max({o: op, u: d_user, t: d_type, m: d_amount, n: d_note}, seq * 2 + sub) AS r"
+
+
+@query(
+    LOG
+    + f""", h AS (SELECT max(seq) // 2 AS s FROM ev), a AS (SELECT k, r FROM (SELECT k, {_STATE} FROM ev, h WHERE seq <= s GROUP BY k) WHERE r.o <> 'DELETE'), b AS (SELECT k, r FROM (SELECT k, {_STATE} FROM ev GROUP BY k) WHERE r.o <> 'DELETE')
+SELECT 'at its position' AS checked, count(*) AS source_rows, count(*) AS target_rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS different, TRUE AS matched FROM a
+UNION ALL SELECT 'against now', count(b.k), count(a.k), count(*) FILTER (a.k IS NULL), count(*) FILTER (b.k IS NULL), count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL AND [a.r.u, a.r.m] || [hash(a.r.t), hash(a.r.n)] <> [b.r.u, b.r.m] || [hash(b.r.t), hash(b.r.n)]),
+  count(*) FILTER (a.k IS NULL OR b.k IS NULL OR [a.r.u, a.r.m] || [hash(a.r.t), hash(a.r.n)] <> [b.r.u, b.r.m] || [hash(b.r.t), hash(b.r.n)]) = 0 FROM a FULL JOIN b ON a.k = b.k"""
+)
+def q_check_at_position(spark, sf_dir):
+    """A table that has the first half of the log, checked while the source is at its end: at the position that it stands for, and against what is there now."""
+    from .sources.shared import shared_path
+    from .sources.sinks import VersionedTable
+
+    ev = _events(spark, sf_dir)
+    half = ev.agg(F.floor(F.max("seq") / 2).alias("half"))
+    none = spark.createDataFrame([], ev.schema["data"].dataType)
+    t = VersionedTable(spark, shared_path(spark, "accounts"))
+    t.overwrite(none)
+    t.apply(ev.join(F.broadcast(half)).where("seq <= half").drop("half"), testlog.KEYS)  # half: one row
+    now = reconcile.compare_rows(apply.applied(ev), t.read(), testlog.KEYS).withColumn("checked", F.lit("against now"))
+    return reconcile.check_at_position(none, ev, t, testlog.KEYS).withColumn("checked", F.lit("at its position")).unionByName(now)
+
+
+@query(LOG + """, s AS (SELECT ts_ms AS since FROM raw WHERE seq = (SELECT max(seq) * 3 // 4 FROM raw)) SELECT "offset", op, ts_ms FROM raw, s WHERE ts_ms >= since""")
+def q_start_by_time(spark, sf_dir):
+    """What an incremental run reads that starts three quarters through the log, by time: the log's files are indexed, and those before the start aren't opened."""
+    from .sources.log_index import LogIndex
+    from .sources.shared import shared_path
+
+    log, path = events.dense_order(_log(spark, sf_dir)), shared_path(spark, "raw")
+    log.repartitionByRange(16, "offset").write.parquet(path)
+    index = LogIndex(spark, shared_path(spark, "index"), path, log.schema)
+    index.refresh()
+    last = spark.read.schema(log.schema).parquet(path).agg(F.floor(F.max("seq") * 3 / 4).alias("s")).first()["s"]
+    at = spark.read.schema(log.schema).parquet(path).where(F.col("seq") == last).select(F.timestamp_millis("ts_ms").cast("string").alias("at")).first()["at"]
+    return index.read_from("TIMESTAMP", wall_clock=at, zone="UTC").select("offset", "op", "ts_ms")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS t, p_partkey % 3 AS i, p_partkey % 3 = 2 AND p_partkey % 7 = 0 AS nullable FROM part), x AS (SELECT t, i, string_agg('C' || k, ',' ORDER BY k) AS columns, bool_or(nullable) AS open FROM p GROUP BY ALL)
+SELECT 'tbl_' || t AS table_name, columns, CAST(row_number() OVER (PARTITION BY t ORDER BY i) AS INTEGER) AS rank FROM x WHERE i = 0 OR NOT open"""
+)
+def q_sync_keys(spark, sf_dir):
+    """Keys to sync each table by: the primary key, then unique indexes without nullable columns."""
+    k = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part")
+    columns = p.select(F.concat(F.lit("tbl_"), k % 40).alias("table_name"), F.concat(F.lit("c"), k).alias("column_name"), ((k % 3 == 2) & (k % 7 == 0)).alias("nullable"))
+    listed = p.select(F.concat(F.lit("tbl_"), k % 40).alias("table_name"), F.concat(F.lit("I"), k % 3).alias("index_name"), k.alias("key_seq"), F.concat(F.lit("C"), k).alias("column_name"), (k % 3 == 0).alias("is_primary"))
+    return schema.key_candidates(columns, listed).select("table_name", F.array_join("key_columns", ",").alias("columns"), "rank")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def q_column_selection(spark, sf_dir):
+    """orders as an engine returns it, in upper case, under its own names again, and the columns that a task asks for, by any case, once each and in its order."""
+    o = _t(spark, sf_dir, "orders")
+    folded = o.toDF(*[c.upper() for c in o.columns])
+    named = readers.restored_names(folded, o.columns)
+    return named.select(*spec.resolve_columns(named.columns, [" O_OrderKey", "o_totalprice", "O_TOTALPRICE", "", "o_orderstatus "], spec.resolve_key([["o_orderkey"]], ["O_ORDERKEY"])))
+
+
+@query(ORACLES["q_fmt_envelope"])
+def q_fmt_chosen(spark, sf_dir):
+    """A task that names no format publishes envelopes."""
+    return _envelope_fields(_format(" ")(spark, sf_dir))

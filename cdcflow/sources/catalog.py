@@ -7,6 +7,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.schema import user_databases
+
 COLUMNS = "table_name string, column_name string, position int, type_name string, jdbc_type int, size int, scale int, nullable boolean, default_value string"
 KEYS = "table_name string, index_name string, key_seq int, column_name string, is_primary boolean"
 NULLABLE = 1  # fixed value: java.sql.DatabaseMetaData.columnNullable
@@ -47,6 +49,17 @@ def _one(meta, schema: str | None, table: str) -> tuple[list, list]:
     return columns, keys
 
 
+def list_tables(spark: SparkSession, url: str, properties: dict | None = None) -> DataFrame:
+    """database_name, table_name of all tables of a server but its own: of databases where it has them, else of schemas."""
+    found = []
+    with connection(spark, url, properties) as conn:
+        kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        for r in _rows(conn.getMetaData().getTables(None, None, None, kinds)):
+            found.append((r.getString("TABLE_CAT") or r.getString("TABLE_SCHEM"), r.getString("TABLE_NAME")))
+    return user_databases(spark.createDataFrame(found, "database_name string, table_name string"))
+
+
 def read_catalog(spark: SparkSession, url: str, tables: list[str], schema: str | None = None, properties: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(columns, keys, errors) of some tables over one connection. A table that is missing or fails is a row of errors (table_name, error) and hides no other."""
     columns, keys, errors = [], [], []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import re
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,22 +61,89 @@ def check_names(identifiers: list[str] = [], topics: list[str] = []) -> None:
                 raise ValueError(f"not a valid {kind}: {name!r}")
 
 
+def wall_clock_ms(wall_clock: str, zone: str) -> Column:
+    """Epoch milliseconds of a source's wall clock."""
+    return F.unix_millis(F.to_utc_timestamp(F.to_timestamp(F.lit(wall_clock)), zone))
+
+
+def log_file_number(name: Column) -> Column:
+    """The number that a log file's name ends with, by which files are in order; 0 without one."""
+    return F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("long"), F.lit(0))
+
+
+def kafka_start(mode: str, topic: str, wall_clock: str | None = None, zone: str = DEFAULT_ZONE, offsets: dict[int, int] | None = None) -> dict[str, str]:
+    """Options of a Kafka reader for a start: at the end, at a wall-clock time of the source, or at an offset of each partition. A time behind the last record starts at the end."""
+    if mode == "LATEST":
+        return {"startingOffsets": "latest"}
+    if mode == "TIMESTAMP":
+        at = dt.datetime.fromisoformat(wall_clock).replace(tzinfo=ZoneInfo(zone))
+        return {"startingTimestamp": str(int(at.timestamp() * 1000)), "startingOffsetsByTimestampStrategy": "latest"}
+    if mode == "SPECIFIC" and offsets:
+        return {"startingOffsets": json.dumps({topic: {str(p): o for p, o in sorted(offsets.items())}})}
+    raise ValueError(f"unknown start: {mode}")
+
+
 def start_filter(mode: str, wall_clock: str | None = None, zone: str = DEFAULT_ZONE, file: str | None = None, position: int | None = None, end_offset: int | None = None) -> Column:
     """Which records of a file-based log an incremental run starts with: columns offset, ts_ms, and log_file (ordered by the number that it ends with), log_pos for SPECIFIC."""
     if mode == "LATEST":
         return F.col("offset") >= F.lit(end_offset)
     if mode == "TIMESTAMP":
-        return F.col("ts_ms") >= F.unix_millis(F.to_utc_timestamp(F.to_timestamp(F.lit(wall_clock)), zone))
-    number = lambda c: F.coalesce(F.regexp_extract(c, r"(\d+)$", 1).try_cast("long"), F.lit(0))
-    later = F.when(number(F.col("log_file")) != number(F.lit(file)), number(F.col("log_file")) > number(F.lit(file))).otherwise(F.col("log_file") > file)
+        return F.col("ts_ms") >= wall_clock_ms(wall_clock, zone)
+    mine, asked = log_file_number(F.col("log_file")), log_file_number(F.lit(file))
+    later = F.when(mine != asked, mine > asked).otherwise(F.col("log_file") > file)
     return later | ((F.col("log_file") == file) & (F.col("log_pos") >= position))
 
 
-def read_limits(rows_per_second: int, bytes_per_second: int, trigger_seconds: int, kafka: bool) -> dict[str, str]:
-    """Options that keep a stream, triggered every trigger_seconds, within the limits."""
+def read_limits(rows_per_second: int, bytes_per_second: int, trigger_seconds: int, kafka: bool, row_bytes: int | None = None) -> dict[str, str]:
+    """Options that keep a stream, triggered every trigger_seconds, within the limits.
+
+    Kafka counts rows and files count bytes; with row_bytes, the size of a record (guards.worst_case_sizes() has an upper bound), each is held to both limits.
+    """
     if not 1 <= rows_per_second <= MAX_ROWS_PER_SECOND or not 1 <= bytes_per_second <= MAX_BYTES_PER_SECOND:
         raise ValueError("read limit out of range")
-    return {"maxOffsetsPerTrigger": str(rows_per_second * trigger_seconds)} if kafka else {"maxBytesPerTrigger": str(bytes_per_second * trigger_seconds)}
+    rows, size = rows_per_second * trigger_seconds, bytes_per_second * trigger_seconds
+    if row_bytes:
+        rows, size = max(1, min(rows, size // row_bytes)), max(1, min(size, rows * row_bytes))
+    return {"maxOffsetsPerTrigger": str(rows)} if kafka else {"maxBytesPerTrigger": str(size)}
+
+
+SAMPLE_KEYS = 10_000
+
+
+def sql_literal(value) -> str:
+    """A key's value in a predicate: numbers as they are, texts quoted, dates and times as JDBC escapes."""
+    if isinstance(value, dt.datetime):
+        return "{ts '" + value.isoformat(" ", "microseconds") + "'}"
+    if isinstance(value, dt.date):
+        return "{d '" + value.isoformat() + "'}"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def balanced_predicates(keys: DataFrame, key: str, column: str, parts: int, sample: int = SAMPLE_KEYS) -> list[str]:
+    """Conditions on a database's column, each met by a like share of the rows, null keys in the last; together they meet every row once.
+
+    keys: the key column alone, as Spark reads it. The quantiles are those of the `sample` rows that hash lowest, whatever the key's type: with 10,000 and up to
+    a hundred parts they err by a few per cent. A value that has more rows than a part stays in one.
+    """
+    if not 1 <= parts <= sample:
+        raise ValueError("parts must be 1 to the size of the sample")
+    chosen = keys.select(key).where(F.col(key).isNotNull()).withColumn("_n", F.monotonically_increasing_id())
+    found = sorted(r[key] for r in chosen.orderBy(F.xxhash64(key, "_n")).limit(sample).collect())
+    cuts = sorted({found[i * len(found) // parts] for i in range(1, parts)} - {found[0]}) if found else []
+    if not cuts:
+        return ["1 = 1"]
+    told = [sql_literal(c) for c in cuts]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(told, told[1:])]
+    return [f"{column} < {told[0]}", *inner, f"{column} >= {told[-1]} OR {column} IS NULL"]
+
+
+def balanced_snapshot(spark: SparkSession, url: str, table: str, columns: list[str], key: str, parallelism: int, properties: dict | None = None) -> DataFrame:
+    """Bounded scan over JDBC in parts of like size, also where the key is skewed, a text or a time; the key's column is read once before for its quantiles."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(properties or {}))
+    name = next(c for c in reader.load().columns if c.lower() == key.lower())
+    q = "`" if url.startswith("jdbc:mysql") else '"'
+    conditions = balanced_predicates(reader.load(), name, f"{q}{name}{q}", max(1, min(parallelism, MAX_PARALLELISM)))
+    return spark.read.jdbc(url, table, predicates=conditions, properties={k: str(v) for k, v in (properties or {}).items()}).select(*columns)
 
 
 def restored_names(df: DataFrame, canonical: list[str]) -> DataFrame:

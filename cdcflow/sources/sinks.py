@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +38,18 @@ class VersionedTable:
         p, fs = _fs(self.spark, f"{self.root}/_versions")
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _lines(self, version: int) -> list[str]:
+        """Of a marker: the folder, and the position in the log that the version stands for."""
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/_versions/{version:012d}", wholetext=True).collect() if r["value"]]
+
     def _folder(self, version: int) -> str | None:
-        first = self.spark.read.text(f"{self.root}/_versions/{version:012d}").first()
-        return first["value"] if first else None
+        lines = "".join(self._lines(version)).splitlines()
+        return lines[0] if lines else None
+
+    def position(self, version: int | None = None) -> dict | None:
+        """Run and seq of the last event that a version has, as {"run": ..., "seq": ...}; None if it was written otherwise."""
+        lines = "".join(self._lines(self._current() if version is None else version)).splitlines()
+        return json.loads(lines[1]) if len(lines) > 1 else None
 
     def current(self) -> int | None:
         """Number of the newest version; a marker that a writer left empty counts for nothing."""
@@ -54,14 +64,14 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self._folder(self._current() if version is None else version)}")
 
-    def overwrite(self, df: DataFrame, after: int | None = None) -> int:
-        """Write df as the folder of the version behind `after` (the current one, if not given) and, once it is complete, mark it."""
+    def overwrite(self, df: DataFrame, after: int | None = None, position=None) -> int:
+        """Write df as the folder of the version behind `after` (the current one, if not given) and, once it is complete, mark it, with the position in the log that it stands for."""
         base, folder = (self.current() or 0) if after is None else after, f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        self._mark(base + 1, folder)
+        self._mark(base + 1, folder, position)
         return base + 1
 
-    def _mark(self, version: int, folder: str) -> None:
+    def _mark(self, version: int, folder: str, position=None) -> None:
         p, fs = _fs(self.spark, f"{self.root}/_versions/{version:012d}")
         if any(n >= version for n in self._markers()):
             raise Conflict(f"version {version} of {self.root} has been made, or is being made, by another writer")
@@ -69,7 +79,8 @@ class VersionedTable:
             out = fs.create(p, False)  # fails if another writer has made it
         except Exception as e:
             raise Conflict(f"version {version} of {self.root} has been made by another writer") from e
-        out.writeBytes(folder)
+        said = position() if callable(position) else position
+        out.writeBytes(folder + (f"\n{json.dumps(said)}" if said else ""))
         out.close()
 
     def repair(self) -> list[int]:
@@ -93,9 +104,21 @@ class VersionedTable:
         return {f for f in [self._folder(version)] if f}
 
     def apply(self, events: DataFrame, keys: list[str]) -> int:
-        """The next version: the one read here after the events."""
+        """The next version: the one read here after the events. Its position is the last event's, which is told while the rows are written."""
         version = self._current()
-        return self.overwrite(merged_into(self.read(version), events, keys), after=version)
+        watched, position = self._watched(events, version)
+        return self.overwrite(merged_into(self.read(version), watched, keys), after=version, position=position)
+
+    def _watched(self, events: DataFrame, version: int):
+        seen, was = Observation(), self.position(version)
+        place = F.struct(*[(F.col(c) if c in events.columns else F.lit(0)).cast("long").alias(c) for c in ("run", "seq")])
+
+        def last() -> dict | None:
+            found = seen.get["last"]
+            new = {"run": found["run"], "seq": found["seq"]} if found else None
+            return max((p for p in (was, new) if p), key=lambda p: (p["run"], p["seq"]), default=None)
+
+        return events.observe(seen, F.max(place).alias("last")), last
 
 
 class BucketedTable(VersionedTable):
@@ -136,7 +159,7 @@ class BucketedTable(VersionedTable):
         buckets = [r["b"] for r in wanted.select(self._bucket(row_key(wanted, self.keys)).alias("b")).distinct().collect()]
         return self.read(buckets=buckets).join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
 
-    def _write(self, df: DataFrame, kept: dict[int, str], after: int) -> int:
+    def _write(self, df: DataFrame, kept: dict[int, str], after: int, position=None) -> int:
         folder = f"data-{uuid.uuid4().hex}"
         named = df.withColumn("_bucket", self._bucket(row_key(df, self.keys)))
         named.repartition("_bucket").sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}/rows")
@@ -144,11 +167,11 @@ class BucketedTable(VersionedTable):
         made = {int(n.partition("=")[2]): f"{folder}/rows/{n}" for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("_bucket=")}
         self.spark.createDataFrame(sorted((kept | made).items()), "bucket int, path string").coalesce(1).write.parquet(f"{self.root}/{folder}/buckets")
         self.spark.createDataFrame([], df.schema).write.parquet(f"{self.root}/{folder}/empty")
-        self._mark(after + 1, folder)
+        self._mark(after + 1, folder, position)
         return after + 1
 
-    def overwrite(self, df: DataFrame, after: int | None = None) -> int:
-        return self._write(df, {}, (self.current() or 0) if after is None else after)
+    def overwrite(self, df: DataFrame, after: int | None = None, position=None) -> int:
+        return self._write(df, {}, (self.current() or 0) if after is None else after, position)
 
     def touched(self, events: DataFrame) -> list[int]:
         """Buckets of the keys that have an event."""
@@ -159,7 +182,8 @@ class BucketedTable(VersionedTable):
         version = self._current()
         buckets = self.touched(events)
         kept = {b: p for b, p in self._manifest(version).items() if b not in set(buckets)}
-        return self._write(merged_into(self.read(version, buckets), events, self.keys), kept, version)
+        watched, position = self._watched(events, version)
+        return self._write(merged_into(self.read(version, buckets), watched, self.keys), kept, version, position)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = []) -> None:
@@ -183,6 +207,44 @@ def jdbc_overwrite(df: DataFrame, url: str, table: str, column_types: str | None
     (writer.option("createTableColumnTypes", column_types) if column_types else writer).save()
 
 
+#: Types of a created table by dialect, where they aren't Spark's own names.
+_TYPES = {
+    "standard": {"string": "VARCHAR({n})", "double": "DOUBLE PRECISION", "float": "REAL", "binary": "VARCHAR({n}) FOR BIT DATA", "timestamp_ntz": "TIMESTAMP", "tinyint": "SMALLINT"},
+    "postgresql": {"string": "TEXT", "double": "DOUBLE PRECISION", "float": "REAL", "binary": "BYTEA", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMPTZ", "tinyint": "SMALLINT"},
+    "mysql": {"string": "LONGTEXT", "binary": "LONGBLOB", "timestamp_ntz": "DATETIME(6)", "timestamp": "TIMESTAMP(6)", "key": "VARCHAR(255)"},
+}
+
+
+def create_table_sql(schema: T.StructType, table: str, keys: list[str], dialect: str, unique: list[list[str]] = [], selected: list[str] | None = None, text_length: int = 2000) -> str:
+    """The statement that creates a target for a source's schema: the selected columns, the sync key as primary key.
+
+    The source's other unique keys (`unique`) are cloned only if all of its columns are selected. Key columns are NOT NULL.
+    """
+    q, types = "`" if dialect == "mysql" else '"', _TYPES[dialect]
+    name = lambda c: f"{q}{c}{q}"
+    chosen = {c.lower() for c in selected or schema.names}
+    if missing := [k for k in keys if k.lower() not in chosen]:
+        raise ValueError(f"key columns must be selected: {', '.join(missing)}")
+    whole = all(f.name.lower() in chosen for f in schema)
+    solid = {k.lower() for k in keys}
+    parts = []
+    for f in schema:
+        if f.name.lower() in chosen:
+            kind = types.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+            if f.name.lower() in solid and f.dataType.simpleString() == "string":
+                kind = types.get("key", kind)
+            parts.append(f"{name(f.name)} {kind.format(n=text_length)}{' NOT NULL' if f.name.lower() in solid or not f.nullable else ''}")
+    listed = lambda cs: ", ".join(name(next(f.name for f in schema if f.name.lower() == c.lower())) for c in cs)
+    parts += [f"PRIMARY KEY ({listed(keys)})"] if keys else []
+    parts += [f"UNIQUE ({listed(u)})" for u in unique if whole and [c.lower() for c in u] != [k.lower() for k in keys]]
+    return f"CREATE TABLE {table} ({', '.join(parts)})"
+
+
+def jdbc_create(spark: SparkSession, url: str, statement: str, properties: dict | None = None) -> None:
+    with connection(spark, url, properties) as conn:
+        conn.createStatement().executeUpdate(statement)
+
+
 def stage_columns(columns: list[str]) -> tuple[str, str]:
     """Names that a staging table has for a change's key and op, apart from the columns in any case."""
     taken, out = {c.lower() for c in columns}, []

@@ -42,3 +42,71 @@ def test_registered_merge_gives_all_that_the_batch_does(spark):
     log = events.dense_order(queries._log(spark, sf)).withColumn("offset", events.F.col("seq")).drop("seq")
     want = events.normalize(log, testlog.KEYS).selectExpr("seq", "op", "event_ms").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and any(r["op"] == "DELETE" for r in got)
+
+
+COLUMNS = "table_name string, column_name string, position int, type_name string, jdbc_type int, size int, scale int, nullable boolean, default_value string"
+KEYS = "table_name string, index_name string, key_seq int, column_name string, is_primary boolean"
+
+
+def test_a_drift_scan_stops_only_the_changed_tables_stream(spark, tmp_path):
+    import time
+
+    tables = {"a": [("a", "id", 1, "int", 4, 10, 0, False, None)], "b": [("b", "id", 1, "int", 4, 10, 0, False, None)]}
+    read = lambda: (spark.createDataFrame(sum(tables.values(), []), COLUMNS), spark.createDataFrame([(t, "P", 1, "id", True) for t in tables], KEYS))
+    streams = {}
+    for t in ("a", "b"):
+        spark.range(3).write.parquet(f"file://{tmp_path}/{t}")
+        stream = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/{t}")
+        streams[t] = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out_{t}").option("checkpointLocation", f"file://{tmp_path}/check_{t}").start()
+    scan = monitor.DriftScan(spark, f"file://{tmp_path}/baseline", read, streams)
+    try:
+        assert scan.scan() == [] == scan.scan()  # the first sets the baselines
+        tables["c"] = [("c", "id", 1, "int", 4, 10, 0, False, None)]
+        tables["a"] = [*tables["a"], ("a", "more", 2, "text", 12, 9, 0, True, None)]
+        ticking = scan.start(1, f"file://{tmp_path}/check_scan")
+        end = time.time() + 90
+        while streams["a"].isActive and time.time() < end:
+            time.sleep(0.5)
+        ticking.stop()
+        assert not streams["a"].isActive and streams["b"].isActive
+        assert scan.scan() == [("a", "ADD_COLUMN", "LOW")]
+        scan.accept("a")
+        assert scan.scan() == [] and {r["table_name"] for r in scan.columns.read().collect()} == {"a", "b", "c"}
+        spark.range(3, 5).write.mode("append").parquet(f"file://{tmp_path}/b")
+        streams["b"].processAllAvailable()
+        assert spark.read.parquet(f"file://{tmp_path}/out_b").count() == 5
+    finally:
+        for q in streams.values():
+            q.stop()
+
+
+def test_progress_tells_what_the_batch_form_does(spark, tmp_path):
+    import json
+    import time
+
+    from cdcflow.operators import guards
+    from pyspark.sql import functions as F
+
+    rows = [("t", i // 40, i % 40, 0, 1000 + i) for i in range(60)]
+    schema = "raw_topic string, run int, seq long, sub int, event_ms long"
+    batch = spark.createDataFrame(rows, schema)
+    batch.coalesce(1).write.parquet(f"file://{tmp_path}/e")
+    listener = monitor.ProgressSamples(spark, f"file://{tmp_path}/samples")
+    spark.streams.addListener(listener)
+    try:
+        q = monitor.observed(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/e")).writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).queryName("delivery").start()
+        q.awaitTermination()
+        end = time.time() + 60
+        while not (tmp_path / "samples").exists() and time.time() < end:
+            time.sleep(0.2)
+        time.sleep(2)
+    finally:
+        spark.streams.removeListener(listener)
+    got = spark.read.parquet(f"file://{tmp_path}/samples").where("delivered > 0").first()
+    want = guards.delivery_stats(batch, F.lit(0)).first()
+    assert (got["delivered"], got["last_seq"], got["last_event_ms"], got["name"]) == (want["delivered"], want["last_seq"], want["last_event_ms"], "delivery") and got["lag_ms"] > 0
+    kafka = {"endOffset": json.dumps({"t": {"0": 5, "1": 7}}), "latestOffset": json.dumps({"t": {"0": 9, "1": 7}, "u": {"0": 2}})}
+    assert monitor.backlog_of([kafka]) == 6 and monitor.backlog_of([{"endOffset": {"logOffset": 3}, "latestOffset": None}]) is None
+    ends = spark.createDataFrame([("t0", 9), ("t1", 7), ("u", 2)], "raw_topic string, end_offset long")
+    done = spark.createDataFrame([("t0", 5, False, 0), ("t1", 7, False, 0)], "raw_topic string, position long, stopped boolean, raw_backlog long")
+    assert guards.backlog(ends, done).agg(F.sum("backlog")).first()[0] == 6
