@@ -4,78 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.apply import latest_changes
-from ..operators.events import key_text
+from ..operators.events import key_text, unreliable
 
-RECORD = "raw_topic string, offset long, op string, key string, before string, after string, ts_ms long"
-EVENT = "raw_topic string, offset long, op string, key string, before string, data string, event_ms long"
-_HELD = "offset long, before string, ts_ms long"
+RECORD = "raw_topic string, offset long, op string, key string, before string, after string, db string, tbl string, ts_ms long, reason string"
+EVENT = "raw_topic string, offset long, op string, key string, before string, data string, event_ms long, reason string"
+_HELD = "offset long, before string, db string, tbl string, ts_ms long"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def keyed_records(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The log with images as JSON text and key: the key of the image that the record is about."""
+    """The log with images as JSON text, the key of the image that the record is about, and why it can't be published, or null."""
     json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    key = F.when(F.col("op").isin("d", "x"), key_text("before", keys)).otherwise(key_text("after", keys))
-    return log.select("raw_topic", "offset", "op", key.alias("key"), json("before").alias("before"), json("after").alias("after"), "ts_ms")
-
-
-def _merge_one(hold_ms: int):
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        topic, key = group
-        out: list[tuple] = []
-        held = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            out.append((topic, held[0], "DELETE", key, held[1], held[1], held[2]))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("offset")
-            for r in rows.itertuples(index=False):
-                if held is not None:
-                    if r.op == "c" and r.offset == held[0] + 1:
-                        out.append((topic, held[0], "UPDATE", key, held[1], r.after, max(int(held[2]), int(r.ts_ms))))
-                        held = None
-                        continue
-                    out.append((topic, held[0], "DELETE", key, held[1], held[1], held[2]))
-                    held = None
-                if r.op == "x":
-                    out.append((topic, int(r.offset), "DELETE", key, r.before, r.before, int(r.ts_ms)))
-                elif r.op == "d":
-                    held = (int(r.offset), r.before, int(r.ts_ms))
-                else:
-                    out.append((topic, int(r.offset), "UPDATE" if r.op == "u" else "INSERT", key, r.before, r.after, int(r.ts_ms)))
-            if held is None:
-                if state.exists:
-                    state.remove()
+    kind = log.schema["after"].dataType
+    key = F.when(F.col("op").isin("d", "x"), key_text("before", keys, kind)).otherwise(key_text("after", keys, kind))
+    reason = F.when(F.col("op") != "x", unreliable(keys, kind))
+    return log.where("op is not null").select("raw_topic", "offset", "op", key.alias("key"), json("before").alias("before"), json("after").alias("after"), "db", "tbl", "ts_ms", reason.alias("reason"))
+
+
+class MergeSplitUpdates(StatefulProcessor):
+    """Holds a key's last delete, as a typed value, until the key's next record or a timer comes."""
+
+    def __init__(self, hold_ms: int):
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", _HELD)
+
+    def _let_go(self, key: tuple) -> Row:
+        offset, before, _, _, ts_ms = self.held.get()
+        self._forget()
+        return Row(raw_topic=key[0], offset=offset, op="DELETE", key=key[1], before=before, data=before, event_ms=ts_ms, reason=None)
+
+    def _forget(self) -> None:
+        self.held.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: r.offset):  # a key's rows of one batch come in no order
+            held = self.held.get() if self.held.exists() else None
+            if held and r.op == "c" and not r.reason and r.offset == held[0] + 1 and (r.db, r.tbl) == (held[2], held[3]):
+                self._forget()
+                yield Row(raw_topic=key[0], offset=held[0], op="UPDATE", key=key[1], before=held[1], data=r.after, event_ms=max(held[4], r.ts_ms), reason=None)
+                continue
+            if held:
+                yield self._let_go(key)
+            if r.reason:
+                yield Row(raw_topic=key[0], offset=r.offset, op=None, key=key[1], before=None, data=None, event_ms=r.ts_ms, reason=r.reason)
+            elif r.op == "x":
+                yield Row(raw_topic=key[0], offset=r.offset, op="DELETE", key=key[1], before=r.before, data=r.before, event_ms=r.ts_ms, reason=None)
+            elif r.op == "d":
+                self.held.update((r.offset, r.before, r.db, r.tbl, r.ts_ms))
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
             else:
-                state.update(held)
-                state.setTimeoutDuration(hold_ms)
-        yield pd.DataFrame(out, columns=["raw_topic", "offset", "op", "key", "before", "data", "event_ms"])
+                yield Row(raw_topic=key[0], offset=r.offset, op="UPDATE" if r.op == "u" else "INSERT", key=key[1], before=r.before, data=r.after, event_ms=r.ts_ms, reason=None)
 
-    return run
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.held.exists():
+            yield self._let_go(key)
 
 
 def merge_stream(records: DataFrame, hold_ms: int = 10_000) -> DataFrame:
-    """Events of a stream of keyed_records whose offsets have no holes: a d is held, across batches, until the next record of its key or hold_ms pass.
+    """Events of a stream of keyed_records whose offsets have no holes: a d is held, across batches and restarts, until the next record of its key or hold_ms pass.
 
-    A d whose successor in the log is a c of its key becomes one UPDATE. Key changes (u with another key before) are split by moved_apart() first.
+    A d whose successor in the log is a c of its key becomes one UPDATE. Key changes (u with another key before) are split by moved_apart() first. A record with a reason becomes a
+    row with it and without op; streaming.publisher stops its topic there. With its timers a query goes on for ever under availableNow: run it once, or by processing time. State is kept in RocksDB, a row a key that holds a delete; the session's provider is set to it.
     """
-    return records.groupBy("raw_topic", "key").applyInPandasWithState(_merge_one(hold_ms), EVENT, _HELD, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    return records.groupBy("raw_topic", "key").transformWithState(MergeSplitUpdates(hold_ms), EVENT, "append", "processingTime")
 
 
 def held_deletes(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The events of the deletes that a merge_stream of this checkpoint, which has ended, still holds: at the end of input nothing can follow them."""
-    state = spark.read.format("statestore").load(checkpoint).select("key.raw_topic", "key.key", "value.groupState.*").where("offset is not null")
-    return state.select("raw_topic", "offset", F.lit("DELETE").alias("op"), "key", "before", F.col("before").alias("data"), F.col("ts_ms").alias("event_ms"))
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("key.raw_topic", "key.key", "value.*").where("offset is not null")
+    return state.select("raw_topic", "offset", F.lit("DELETE").alias("op"), "key", "before", F.col("before").alias("data"), F.col("ts_ms").alias("event_ms"), F.lit(None).cast("string").alias("reason"))
 
 
 def moved_apart(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Records with each key-changing u replaced by an x (a delete that is never held) of the old key and a c of the new one."""
-    moved = (F.col("op") == "u") & (key_text("before", keys) != key_text("after", keys))
+    """Records with each key-changing u, if it can be published, replaced by an x (a delete that is never held) of the old key and a c of the new one."""
+    kind = log.schema["after"].dataType
+    moved = (F.col("op") == "u") & (key_text("before", keys, kind) != key_text("after", keys, kind)) & unreliable(keys, kind).isNull()
     none = F.lit(None).cast(log.schema["before"].dataType)
     parts = F.when(
         F.coalesce(moved, F.lit(False)),
@@ -85,21 +98,29 @@ def moved_apart(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.select(*rest, F.explode(parts).alias("p")).select(*rest, "p.op", "p.before", "p.after")
 
 
-def alert_stream(states: DataFrame, alerting: list[str]) -> DataFrame:
-    """owner_id, status, sampled_at, sample_id of each entry into an alerting status, over batches, in the order of time and sample_id. states: the same columns."""
+class AlertTransitions(StatefulProcessor):
+    """Remembers which status an owner was last alerted about."""
+
+    def __init__(self, alerting: list[str]):
+        self.alerting = frozenset(alerting)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.due = handle.getValueState("due", "due string")
 
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["sampled_at", "sample_id"]).itertuples(index=False):
-            due = r.status if r.status in alerting else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = self.due.get()[0] if self.due.exists() else None
+        for r in sorted(rows, key=lambda r: (r.sampled_at, r.sample_id)):  # of one batch
+            due = r.status if r.status in self.alerting else None
             if due and due != was:
-                out.append((group[0], r.status, r.sampled_at, r.sample_id))
+                yield Row(owner_id=key[0], status=r.status, sampled_at=r.sampled_at, sample_id=r.sample_id)
             was = due
-        state.update((was,))
-        yield pd.DataFrame(out, columns=["owner_id", "status", "sampled_at", "sample_id"])
+        self.due.update((was,)) if was else self.due.clear()
 
-    return states.groupBy("owner_id").applyInPandasWithState(run, "owner_id long, status string, sampled_at timestamp, sample_id long", "due string", "append", GroupStateTimeout.NoTimeout)
+
+def alert_stream(states: DataFrame, alerting: list[str]) -> DataFrame:
+    """owner_id, status, sampled_at, sample_id of each entry into an alerting status, over batches, in the order of time and sample_id. states: the same columns."""
+    states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    return states.groupBy("owner_id").transformWithState(AlertTransitions(alerting), "owner_id long, status string, sampled_at timestamp, sample_id long", "append", "none")
 
 
 def apply_stream(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger):

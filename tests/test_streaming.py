@@ -22,16 +22,38 @@ def test_prune_and_stop(spark, tmp_path):
 
 
 def test_stream_merges_as_the_batch_does(spark, tmp_path):
+    """Over batches and restarts from the checkpoint; a record that can't be published has its reason."""
     log = testlog.change_log(spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(60))
-    log = events.dense_order(log).withColumn("offset", events.F.col("seq")).drop("seq")
+    log = events.dense_order(log).withColumn("offset", events.F.col("seq")).drop("seq").withColumn("db", events.F.when(events.F.col("offset") == 33, " ").otherwise(events.F.col("db")))
     records = jobs.keyed_records(jobs.moved_apart(log, testlog.KEYS), testlog.KEYS)
+    source, check, out = (f"file://{tmp_path}/{n}" for n in ("in", "check", "out"))
+    last = log.agg(events.F.max("offset")).first()[0]
+    for low, high in ((0, 12), (13, 31), (32, 47), (48, last)):  # a batch and a start of the query each
+        records.where(events.F.col("offset").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.merge_stream(spark.readStream.schema(records.schema).parquet(source), hold_ms=10**9)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(once=True).start().awaitTermination(120)
+    got = spark.read.parquet(out).unionByName(jobs.held_deletes(spark, check))
+    want = events.normalize(log, testlog.KEYS, by_offset=True)
+    key = lambda r: (r["seq"], r["op"] or "", r["event_ms"] or 0, r["reason"] or "")
+    assert sorted(map(key, got.withColumnRenamed("offset", "seq").collect())) == sorted(map(key, want.collect()))
+
+
+def test_a_timer_lets_a_held_delete_go(spark, tmp_path):
+    import time
+
+    row = "struct<user_id:bigint>"
+    log = spark.createDataFrame([("t", 0, "d", (1,), None, "d", "t", 5)], f"raw_topic string, offset long, op string, before {row}, after {row}, db string, tbl string, ts_ms long")
+    records = jobs.keyed_records(log, ["user_id"])
     records.coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    stream = jobs.merge_stream(spark.readStream.schema(records.schema).parquet(f"file://{tmp_path}/in"))
-    q = stream.writeStream.format("memory").queryName("merged").trigger(once=True).start()
-    q.awaitTermination()
-    got = {(r["offset"], r["op"]) for r in spark.table("merged").collect()}
-    want = {(r["seq"], r["op"]) for r in events.normalize(log, testlog.KEYS).collect()}
-    assert got <= want and all(op == "DELETE" for _, op in want - got)  # deletes still held at the end
+    stream = jobs.merge_stream(spark.readStream.schema(records.schema).parquet(f"file://{tmp_path}/in"), hold_ms=200)
+    q = stream.writeStream.format("memory").queryName("let_go").option("checkpointLocation", f"file://{tmp_path}/check").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while not spark.table("let_go").count() and time.time() < end:
+            time.sleep(0.5)
+        assert [(r["op"], r["offset"]) for r in spark.table("let_go").collect()] == [("DELETE", 0)]
+    finally:
+        q.stop()
 
 
 def test_registered_merge_gives_all_that_the_batch_does(spark):
