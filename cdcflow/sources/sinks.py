@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,21 +105,20 @@ class VersionedTable:
         return {f for f in [self._folder(version)] if f}
 
     def apply(self, events: DataFrame, keys: list[str]) -> int:
-        """The next version: the one read here after the events. Its position is the last event's, which is told while the rows are written."""
+        """The next version: the one read here after the events. Its position is the last event's, or the old one without any."""
         version = self._current()
-        watched, position = self._watched(events, version)
-        return self.overwrite(merged_into(self.read(version), watched, keys), after=version, position=position)
+        return self.overwrite(merged_into(self.read(version), events, keys), after=version, position=self._reached(events, version))
 
-    def _watched(self, events: DataFrame, version: int):
-        seen, was = Observation(), self.position(version)
+    def _reached(self, events: DataFrame, version: int) -> Callable[[], dict | None]:
+        was = self.position(version)
         place = F.struct(*[(F.col(c) if c in events.columns else F.lit(0)).cast("long").alias(c) for c in ("run", "seq")])
 
         def last() -> dict | None:
-            found = seen.get["last"]
+            found = events.agg(F.max(place).alias("last")).first()["last"]
             new = {"run": found["run"], "seq": found["seq"]} if found else None
             return max((p for p in (was, new) if p), key=lambda p: (p["run"], p["seq"]), default=None)
 
-        return events.observe(seen, F.max(place).alias("last")), last
+        return last
 
 
 class BucketedTable(VersionedTable):
@@ -182,8 +182,7 @@ class BucketedTable(VersionedTable):
         version = self._current()
         buckets = self.touched(events)
         kept = {b: p for b, p in self._manifest(version).items() if b not in set(buckets)}
-        watched, position = self._watched(events, version)
-        return self._write(merged_into(self.read(version, buckets), watched, self.keys), kept, version, position)
+        return self._write(merged_into(self.read(version, buckets), events, self.keys), kept, version, self._reached(events, version))
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = []) -> None:
