@@ -1,14 +1,22 @@
 """Fuzzy line dedup: of each group of like lines in the corpus, one occurrence stays.
 
-Lines are normalised (lower case, single spaces). Two lines are linked if they are equal, or if they share a block and half of their distinct words and their
-edit similarity, 1 - distance / longer length, is at least `similarity`. Of each connected group the first occurrence stays, by document id (null first)
-and line number. (Lines that are alike letter by letter but differ in most words share no block either; they aren't looked for.)
+Lines are normalised (lower case, single spaces). Two lines are linked if they are equal, or if they meet in a bucket and their edit similarity,
+1 - distance / longer length, is at least `similarity`; nothing else decides, and no rule depends on the size of the corpus. Of each connected group the
+first occurrence stays, by document id (null first) and line number.
 
-SimHash: equal lines are collapsed first. The distinct words of a line that have LONG_WORD characters or more are dealt to blocks by hash, and each block has a
-SimHash of its own words alone (40 bits, the majority of the words' bits). So a changed word touches two blocks at most, the others keep their SimHash, and by
-the pigeonhole principle lines that differ in w words agree in all but 2 w blocks. Lines are joined on each block, or on each two blocks if they are short
-(LEVELS); lines of a length where the like may belong to the next level are joined as both. Blocks with too few words to tell the corpus' lines
-apart (least_words) are left out. Lines without a full block are linked by equality alone.
+Buckets are of three kinds; words are runs of letters, marks and digits, or single characters of scripts that don't separate words:
+
+SimHash blocks (block_keys): equal lines are collapsed first. The distinct words of a line that have LONG_WORD characters or more, and the pairs of characters
+of scripts without spaces, are dealt to blocks by hash, and each block has a SimHash of its own words alone (40 bits, the majority of the words' bits).
+So a changed word touches two blocks at most, the others keep their SimHash, and by the pigeonhole principle lines that differ in w words agree in all but
+2 w blocks. Lines are joined on each block, or on each two blocks if they are short (LEVELS); lines of a length where the like may belong to the next level
+are joined as both. A block has BLOCK_WORDS words or more.
+
+Lines of FEW_WORDS words or fewer (few_word_keys) can't fill blocks. They are joined on the words that stay when any two, one or none are left out, and at
+least half of the words' characters stay: all lines that differ in no more than that meet, whatever their words' lengths.
+
+Lines of TINY characters or fewer (tiny_keys) are joined on what stays when as many characters are left out as edits are allowed: all pairs of
+such lines that are alike meet, without exception.
 
 In each bucket (lines that share a block) every line is compared with one representative, and the groups of these links are found. Then every pair of a bucket
 that lies in different groups is compared too, so no link between groups is lost, while a bucket of like lines costs no more than its size.
@@ -29,17 +37,17 @@ from .common import doc_key, drop_written, fenced, key_filter, maybe_in, release
 from .graph import components
 
 LONG_WORD = 4
+BLOCK_WORDS = 3  # distinct long words that a block has at least
+FEW_WORDS = 12
+TINY = 14
 #: (characters that a line has less than, blocks, blocks that are joined on together)
 LEVELS = ((100, 6, 2), (250, 6, 1), (float("inf"), 12, 1))
-WORD_BITS = 8  # what a word adds to telling lines apart
 SUMS, FIELDS, FIELD = 8, 5, 12  # a SimHash's counters: sums, counters in each, bits of a counter
 FEW_EDITS = 24
 ONES = sum(1 << FIELD * i for i in range(FIELDS))
-
-
-def least_words(n_lines: int) -> int:
-    """How many distinct long words a block needs, for chance meetings to stay a few a line."""
-    return max(3, -(-n_lines.bit_length() // WORD_BITS))
+#: Scripts that don't separate words, as a regular expression class, and what counts as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+WORD = rf"(?:(?!{UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+|{UNSPACED}"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -90,13 +98,48 @@ def block_keys(lines: DataFrame, words: int, similarity: float) -> DataFrame:
 
     The words of a line stay where the line is, so counting them by key and block needs no further shuffle.
     """
-    each = lines.select("key", F.length("norm").alias("len"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where(F.length("word") >= LONG_WORD)
+    spaced = F.filter(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= LONG_WORD)
+    pairs = F.regexp_extract_all("norm", F.lit(f"(?=({UNSPACED}{{2}}))"), F.lit(1))
+    long = F.when(F.col("norm").rlike(UNSPACED), F.concat(spaced, pairs)).otherwise(spaced)
+    each = lines.select("key", F.length("norm").alias("len"), F.explode(F.array_distinct(long)).alias("word"))
     each = each.select("key", "len", F.xxhash64("word").alias("h")).select("key", "len", "h", F.explode(_slots(similarity)).alias("slot"))
     counts = [F.try_sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ONES))).alias(f"s{s}") for s in range(SUMS)]
     blocks = each.groupBy("key", "len", "slot").agg(F.count("*").alias("n"), *counts).where(F.col("n") >= words)
     return blocks.select("key", "len", F.xxhash64("slot", "n", _simhash()).alias("bucket"))
 
 
+def _any_two(n: Column, made) -> Column:
+    """made(i, j) for all i < j below n + 2, where n and n + 1 stand for none."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(F.sequence(i + 1, n + 1), lambda j: made(i, j))))
+
+
+def few_word_keys(lines: DataFrame) -> DataFrame:
+    """key, norm -> key, len, bucket: of lines of FEW_WORDS words or fewer, the words that stay without any two, one or none, as an order-free hash."""
+    w = lines.select("key", F.length("norm").alias("len"), F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w").between(1, FEW_WORDS))
+    none = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"))
+    w = w.withColumn("w", F.concat(F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))), F.array(none, none)))
+    w = fenced(w, F.col("key"), F.col("len"), F.col("w"), F.aggregate("w", none["h"], lambda t, x: t.bitwiseXOR(x["h"])).alias("all"), F.aggregate("w", none["n"], lambda t, x: t + x["n"]).alias("n"))
+
+    def without(i, j):
+        x, y = F.get("w", i), F.get("w", j)
+        return F.when(2 * (x["n"] + y["n"]) <= F.col("n"), F.xxhash64(F.lit("few words"), F.col("all").bitwiseXOR(x["h"]).bitwiseXOR(y["h"])))
+
+    return w.select("key", "len", F.explode(F.array_distinct(F.array_compact(_any_two(F.size("w") - 2, without)))).alias("bucket"))
+
+
+def tiny_keys(lines: DataFrame, similarity: float) -> DataFrame:
+    """key, norm -> key, len, bucket: of lines of TINY characters or fewer, what stays without as many characters as a line like them may have edits."""
+    tiny = lines.select("key", "norm", F.length("norm").alias("len")).where(F.col("len") <= TINY)
+    longest = F.least(F.floor(F.col("len") / similarity + 1e-9), F.lit(TINY))
+    tiny = tiny.withColumn("edits", F.floor(longest * (1 - similarity) + 1e-9)).where("edits > 0")
+    tiny = tiny.withColumn("left", F.array("norm"))
+    one_less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    for k in range(int(TINY * (1 - similarity) + 1e-9)):
+        more = F.when(F.col("edits") > k, F.flatten(F.transform("left", lambda x: F.when(F.length(x) > 0, one_less(x)).otherwise(F.array(x))))).otherwise(F.array().cast("array<string>"))
+        tiny = tiny.withColumn("left", F.array_distinct(F.concat("left", more)))
+    return tiny.select("key", "len", F.explode(F.transform("left", lambda x: F.xxhash64(F.lit("tiny"), x))).alias("bucket"))
+
+
 def similar_pairs(both: DataFrame, similarity: float) -> DataFrame:
     """The rows of both (a_norm, b_norm and others) whose lines have the edit similarity.
 
@@ -114,12 +157,6 @@ def similar_pairs(both: DataFrame, similarity: float) -> DataFrame:
     return df.where(near).select(*both.columns)
 
 
-def _share_words() -> Column:
-    """Have a_norm and b_norm half of their distinct words in common?"""
-    a, b = F.split("a_norm", " "), F.split("b_norm", " ")
-    return 2 * F.size(F.array_intersect(a, b)) >= F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-
-
 def _verified(found: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose lines have the edit similarity; written."""
     keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
@@ -127,17 +164,16 @@ def _verified(found: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     texts = written(texts.groupBy("key").agg(F.first("norm").alias("norm")), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("a_norm")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("norm").alias("b_norm")), "b")
-    links = written(similar_pairs(both.where(_share_words()), similarity).select("a", "b"), "links")
+    links = written(similar_pairs(both, similarity).select("a", "b"), "links")
     drop_written(keys, texts)
     return links
 
 
 def line_groups(found: DataFrame, similarity: float) -> DataFrame:
     """node, component: distinct lines (by key) that are linked to others."""
-    words = least_words(found.count())
-    # shorter lines can't have so many long words
-    lines = found.where(F.length("norm") >= words * (LONG_WORD + 1) - 1).select("key", "norm").groupBy("key").agg(F.first("norm").alias("norm"))
-    blocks = written(block_keys(lines, words, similarity), "blocks")
+    lines = found.select("key", "norm").groupBy("key").agg(F.first("norm").alias("norm"))
+    keys = block_keys(lines, BLOCK_WORDS, similarity).unionByName(few_word_keys(lines)).unionByName(tiny_keys(lines, similarity))
+    blocks = written(keys, "blocks")
     release(found.sparkSession)
     buckets = blocks.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     buckets = written(buckets.select("bucket", "first"), "buckets")

@@ -493,6 +493,60 @@ def test_line_dedup_finds_edit_similar_lines(spark):
     assert len(truth) > 30 and sum(group.get(r["a"], r["a"]) == group.get(r["b"], r["b"]) for r in truth) >= 0.9 * len(truth)
 
 
+def grouped_lines(spark, lines):
+    keyed = spark.createDataFrame([(x,) for x in lines], "norm string").select(F.xxhash64("norm").alias("key"), "norm")
+    keys = {r["norm"]: r["key"] for r in keyed.collect()}
+    group = {r["node"]: r["component"] for r in line_dedup.line_groups(line_dedup.written(keyed, "lines"), 0.8).collect()}
+    return {x: group.get(k, k) for x, k in keys.items()}
+
+
+def edit_similar(spark, lines):
+    x = spark.createDataFrame([(x,) for x in sorted(set(lines))], "x string").repartition(8)
+    both = x.join(x.withColumnRenamed("x", "y"), F.col("x") < F.col("y"))
+    return [tuple(r) for r in both.where(F.levenshtein("x", "y") <= F.floor(0.2 * F.greatest(F.length("x"), F.length("y")) + 1e-9)).collect()]
+
+
+def test_tiny_lines_are_linked_without_exception(spark):
+    rng = random.Random(11)
+    lines = {"".join(rng.choice("abc ") for _ in range(n)).strip() or "x" for n in range(1, 15) for _ in range(25)}
+    lines |= {x[:i] + rng.choice(["", "é", "zz"]) + x[i + 1 :] or "y" for x in sorted(lines) for i in [rng.randrange(len(x))]}
+    lines = sorted({" ".join(x.split()) or "x" for x in lines if len(x.strip()) <= 14})
+    group = grouped_lines(spark, lines)
+    want = {x: x for x in lines}
+    for a, b in edit_similar(spark, lines):
+        old, new = want[a], want[b]
+        want = {k: new if g == old else g for k, g in want.items()}
+    assert len(set(want.values())) > 20 and len(set(group.values())) == len(set(want.values())) == len({(group[x], want[x]) for x in lines})
+
+
+def test_line_recall_in_each_class_of_length(spark):
+    """Families of unlike lines with one to three edits of any kind: a changed, added or lost word, letters, marks behind words; also a script without spaces."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.choice((2, 3, 4, 5, 6, 7, 9))))
+    lines = set()
+    for n in (4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 25, 32, 45, 60):
+        for f in range(12):
+            w = [chr(0x4E00 + rng.randrange(3000)) for _ in range(3 * n)] if f == 0 else [word() for _ in range(n)]
+            for _ in range(3):
+                x = list(w)
+                for _ in range(rng.randint(0, 1 if n < 8 else 2)):
+                    i = rng.randrange(len(x))
+                    x[i : i + 1] = rng.choice(([word()], [x[i], word()[:3]], [], [x[i] + ","], [x[i][1:] + "z"]))
+                lines.add(("" if f == 0 else " ").join(x).strip())
+    group, found, pairs = grouped_lines(spark, lines), {}, edit_similar(spark, lines)
+    for a, b in pairs:
+        upto = next(x for x in (39, 59, 99, 139, 249, 9999) if max(len(a), len(b)) <= x)
+        hit, of = found.get(upto, (0, 0))
+        found[upto] = (hit + (group[a] == group[b]), of + 1)
+    assert len(found) == 6 and all(of >= 20 and hit >= 0.9 * of for hit, of in found.values()), found
+    # groups hold what a chain of alike lines connects, and no more
+    want = {x: x for x in lines}
+    for a, b in pairs:
+        old, new = want[a], want[b]
+        want = {k: new if g == old else g for k, g in want.items()}
+    assert all(len({want[x] for x in lines if group[x] == g}) == 1 for g in set(group.values()))
+
+
 def test_similar_pairs_are_exact(spark):
     rng, rows = random.Random(8), []
     for _ in range(400):
