@@ -4,7 +4,7 @@ Lines are normalised (lower case, single spaces). Two lines are linked if they a
 1 - distance / longer length, is at least `similarity`; nothing else decides, and no rule depends on the size of the corpus. Of each connected group the
 first occurrence stays, by document id (null first) and line number.
 
-Buckets are of three kinds; words are runs of letters, marks and digits, or single characters of scripts that don't separate words:
+Buckets are of three kinds; words are what stands between spaces and punctuation, or single characters of scripts that don't separate words:
 
 SimHash blocks (block_keys): equal lines are collapsed first. The distinct words of a line that have LONG_WORD characters or more, and the pairs of characters
 of scripts without spaces, are dealt to blocks by hash, and each block has a SimHash of its own words alone (40 bits, the majority of the words' bits).
@@ -12,8 +12,8 @@ So a changed word touches two blocks at most, the others keep their SimHash, and
 2 w blocks. Lines are joined on each block, or on each two blocks if they are short (LEVELS); lines of a length where the like may belong to the next level
 are joined as both. A block has BLOCK_WORDS words or more.
 
-Lines of FEW_WORDS words or fewer (few_word_keys) can't fill blocks. They are joined on the words that stay when any two, one or none are left out, and at
-least half of the words' characters stay: all lines that differ in no more than that meet, whatever their words' lengths.
+Lines of few words (few_word_keys) can't fill blocks. They are joined on the words that stay when any one or none is left out (ONE_OUT words or fewer) or any
+two (TWO_OUT or fewer), and at least half of the words' characters stay: all lines that differ in no more than that meet, whatever their words' lengths.
 
 Lines of TINY characters or fewer (tiny_keys) are joined on what stays when as many characters are left out as edits are allowed: all pairs of
 such lines that are alike meet, without exception.
@@ -38,16 +38,17 @@ from .graph import components
 
 LONG_WORD = 4
 BLOCK_WORDS = 3  # distinct long words that a block has at least
-FEW_WORDS = 12
+TWO_OUT, ONE_OUT = 8, 16
 TINY = 14
 #: (characters that a line has less than, blocks, blocks that are joined on together)
 LEVELS = ((100, 6, 2), (250, 6, 1), (float("inf"), 12, 1))
 SUMS, FIELDS, FIELD = 8, 5, 12  # a SimHash's counters: sums, counters in each, bits of a counter
 FEW_EDITS = 24
 ONES = sum(1 << FIELD * i for i in range(FIELDS))
-#: Scripts that don't separate words, as a regular expression class, and what counts as a word.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-WORD = rf"(?:(?!{UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+|{UNSPACED}"
+#: Code points of scripts that don't separate words, and of punctuation and space, as parts of regular expression classes.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+MARKS = r"\x00-/:-@\[-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u3000-\u303F"
+WORD = rf"[^{MARKS}{UNSPACED}]+|[{UNSPACED}]"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -98,10 +99,10 @@ def block_keys(lines: DataFrame, words: int, similarity: float) -> DataFrame:
 
     The words of a line stay where the line is, so counting them by key and block needs no further shuffle.
     """
-    spaced = F.filter(F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= LONG_WORD)
-    pairs = F.regexp_extract_all("norm", F.lit(f"(?=({UNSPACED}{{2}}))"), F.lit(1))
-    long = F.when(F.col("norm").rlike(UNSPACED), F.concat(spaced, pairs)).otherwise(spaced)
-    each = lines.select("key", F.length("norm").alias("len"), F.explode(F.array_distinct(long)).alias("word"))
+    words_of = F.regexp_extract_all("norm", F.lit(WORD), F.lit(0))
+    pairs = F.regexp_extract_all("norm", F.lit(f"(?=([{UNSPACED}]{{2}}))"), F.lit(1))
+    words_of = F.when(F.col("norm").rlike(f"[{UNSPACED}]"), F.concat(words_of, F.transform(pairs, lambda p: F.concat(p, p)))).otherwise(words_of)  # doubled, they are long
+    each = lines.select("key", F.length("norm").alias("len"), F.explode(F.array_distinct(words_of)).alias("word")).where(F.length("word") >= LONG_WORD)
     each = each.select("key", "len", F.xxhash64("word").alias("h")).select("key", "len", "h", F.explode(_slots(similarity)).alias("slot"))
     counts = [F.try_sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ONES))).alias(f"s{s}") for s in range(SUMS)]
     blocks = each.groupBy("key", "len", "slot").agg(F.count("*").alias("n"), *counts).where(F.col("n") >= words)
@@ -114,17 +115,21 @@ def _any_two(n: Column, made) -> Column:
 
 
 def few_word_keys(lines: DataFrame) -> DataFrame:
-    """key, norm -> key, len, bucket: of lines of FEW_WORDS words or fewer, the words that stay without any two, one or none, as an order-free hash."""
-    w = lines.select("key", F.length("norm").alias("len"), F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w").between(1, FEW_WORDS))
+    """key, norm -> key, len, bucket: of lines of few words, the words that stay without any two (TWO_OUT), one (ONE_OUT) or none, as an order-free hash."""
+    w = fenced(lines, F.col("key"), F.length("norm").alias("len"), F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w").between(1, ONE_OUT))
     none = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"))
-    w = w.withColumn("w", F.concat(F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))), F.array(none, none)))
-    w = fenced(w, F.col("key"), F.col("len"), F.col("w"), F.aggregate("w", none["h"], lambda t, x: t.bitwiseXOR(x["h"])).alias("all"), F.aggregate("w", none["n"], lambda t, x: t + x["n"]).alias("n"))
+    hashed = F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+    w = fenced(w, F.col("key"), F.col("len"), F.size("w").alias("size"), F.concat(hashed, F.array(none, none)).alias("w"))
+    xor, total = F.aggregate("w", none["h"], lambda t, x: t.bitwiseXOR(x["h"])), F.aggregate("w", none["n"], lambda t, x: t + x["n"])
+    w = fenced(w, F.col("key"), F.col("len"), F.col("size"), F.col("w"), xor.alias("all"), total.alias("n"))
 
     def without(i, j):
         x, y = F.get("w", i), F.get("w", j)
         return F.when(2 * (x["n"] + y["n"]) <= F.col("n"), F.xxhash64(F.lit("few words"), F.col("all").bitwiseXOR(x["h"]).bitwiseXOR(y["h"])))
 
-    return w.select("key", "len", F.explode(F.array_distinct(F.array_compact(_any_two(F.size("w") - 2, without)))).alias("bucket"))
+    one = F.transform(F.sequence(F.lit(0), "size"), lambda i: without(i, F.col("size")))
+    keys = F.when(F.col("size") <= TWO_OUT, _any_two(F.col("size"), without)).otherwise(one)
+    return w.select("key", "len", F.explode(F.array_distinct(F.array_compact(keys))).alias("bucket"))
 
 
 def tiny_keys(lines: DataFrame, similarity: float) -> DataFrame:
