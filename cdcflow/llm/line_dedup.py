@@ -29,6 +29,7 @@ alike; other columns are carried, but for those named like an output column (n_l
 from __future__ import annotations
 
 from itertools import combinations
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +43,15 @@ TWO_OUT, ONE_OUT = 8, 16
 TINY = 14
 #: (characters that a line has less than, blocks, blocks that are joined on together)
 LEVELS = ((100, 6, 2), (250, 6, 1), (float("inf"), 12, 1))
+SHARES = lcm(*[blocks for _, blocks, _ in LEVELS])
 SUMS, FIELDS, FIELD = 8, 5, 12  # a SimHash's counters: sums, counters in each, bits of a counter
 FEW_EDITS = 24
 ONES = sum(1 << FIELD * i for i in range(FIELDS))
 #: Code points of scripts that don't separate words, and of punctuation and space, as parts of regular expression classes.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 MARKS = r"\x00-/:-@\[-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u3000-\u303F"
-WORD = rf"[^{MARKS}{UNSPACED}]+|[{UNSPACED}]"
+WORD = rf"[a-z0-9]++[^{MARKS}{UNSPACED}]*+|[^{MARKS}{UNSPACED}]++|[{UNSPACED}]"  # the first form is one of the second, found faster
+MANY_WORDS = rf"^(?:[{MARKS}]*+(?:[^{MARKS}{UNSPACED}]++|[{UNSPACED}])){{{ONE_OUT + 1}}}"  # reads no further than the word that is one too many
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -62,20 +65,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("k_id", "k_text", "line_no", F.xxhash64("norm").alias("key"), "norm")
 
 
-def _slots(similarity: float) -> Column:
-    """Of h (a word's hash) and len (its line's length): numbers of the blocks, or choices of them, that the word counts in."""
-    least, first, parts = 0, 0, []
-    for below, blocks, together in LEVELS:
-        choices = list(combinations(range(blocks), together))
-        of_block = F.array(*[F.array(*[F.lit(first + i) for i, choice in enumerate(choices) if b in choice]) for b in range(blocks)])
-        mine = F.get(of_block, F.pmod("h", F.lit(blocks)).cast("int"))
+def _slot_table() -> list[list[int]]:
+    """By levels that a line is in (a bit each) and a word's hash modulo SHARES: numbers of the blocks, or choices of them, that the word counts in."""
+    out = []
+    for levels in range(1 << len(LEVELS)):
+        for share in range(SHARES):
+            first, slots = 0, []
+            for i, (_, blocks, together) in enumerate(LEVELS):
+                choices = list(combinations(range(blocks), together))
+                slots += [first + c for c, choice in enumerate(choices) if levels >> i & 1 and share % blocks in choice]
+                first += len(choices)
+            out.append(slots)
+    return out
+
+
+def _levels(similarity: float) -> Column:
+    """Of len (a line's length): the levels that the line is in, a bit each."""
+    least, out = 0, F.lit(0)
+    for i, (below, _, _) in enumerate(LEVELS):
         # lines of the next level may be like lines of this one that have as little as their length times similarity
         within = (F.col("len") >= least) & (F.lit(True) if below == float("inf") else F.col("len") * similarity < below)
-        parts.append((within, mine))
-        least, first = below, first + len(choices)
-    out = F.when(parts[-1][0], parts[-1][1]).otherwise(F.array().cast("array<int>"))
-    for within, mine in reversed(parts[:-1]):
-        out = F.when(within, F.concat(mine, out)).otherwise(out)
+        out, least = out + F.when(within, 1 << i).otherwise(0), below
     return out
 
 
@@ -102,8 +112,10 @@ def block_keys(lines: DataFrame, words: int, similarity: float) -> DataFrame:
     words_of = F.regexp_extract_all("norm", F.lit(WORD), F.lit(0))
     pairs = F.regexp_extract_all("norm", F.lit(f"(?=([{UNSPACED}]{{2}}))"), F.lit(1))
     words_of = F.when(F.col("norm").rlike(f"[{UNSPACED}]"), F.concat(words_of, F.transform(pairs, lambda p: F.concat(p, p)))).otherwise(words_of)  # doubled, they are long
-    each = lines.select("key", F.length("norm").alias("len"), F.explode(F.array_distinct(words_of)).alias("word")).where(F.length("word") >= LONG_WORD)
-    each = each.select("key", "len", F.xxhash64("word").alias("h")).select("key", "len", "h", F.explode(_slots(similarity)).alias("slot"))
+    hashes = F.array_distinct(F.transform(F.filter(words_of, lambda x: F.length(x) >= LONG_WORD), lambda x: F.xxhash64(x)))
+    each = lines.withColumn("len", F.length("norm")).select("key", "len", _levels(similarity).alias("levels"), F.explode(hashes).alias("h"))
+    table = F.array(*[F.array(*map(F.lit, slots)).cast("array<int>") for slots in _slot_table()])
+    each = each.select("key", "len", "h", F.explode(F.get(table, (F.col("levels") * SHARES + F.pmod("h", F.lit(SHARES))).cast("int"))).alias("slot"))
     counts = [F.try_sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ONES))).alias(f"s{s}") for s in range(SUMS)]
     blocks = each.groupBy("key", "len", "slot").agg(F.count("*").alias("n"), *counts).where(F.col("n") >= words)
     return blocks.select("key", "len", F.xxhash64("slot", "n", _simhash()).alias("bucket"))
@@ -116,7 +128,8 @@ def _any_two(n: Column, made) -> Column:
 
 def few_word_keys(lines: DataFrame) -> DataFrame:
     """key, norm -> key, len, bucket: of lines of few words, the words that stay without any two (TWO_OUT), one (ONE_OUT) or none, as an order-free hash."""
-    w = fenced(lines, F.col("key"), F.length("norm").alias("len"), F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w").between(1, ONE_OUT))
+    few = lines.where(~F.col("norm").rlike(MANY_WORDS))
+    w = fenced(few, F.col("key"), F.length("norm").alias("len"), F.regexp_extract_all("norm", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w").between(1, ONE_OUT))
     none = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"))
     hashed = F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
     w = fenced(w, F.col("key"), F.col("len"), F.size("w").alias("size"), F.concat(hashed, F.array(none, none)).alias("w"))
