@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cdcflow import queries
 from cdcflow.functions import decode, text
 from cdcflow.operators import events, formats, guards, metrics, reconcile, reports, schema
 from cdcflow.sources import readers
@@ -207,3 +209,20 @@ def test_names(spark):
 @pytest.mark.parametrize("mode, engine, want", [("FULL", "RUNNING", "SNAPSHOT"), ("incremental", "STARTING", "CDC"), ("FULL_CDC", "pending", "SNAPSHOT"), ("FULL_CDC", "RUNNING", "MIXED"), ("FULL_CDC", None, "MIXED"), ("full", None, "SNAPSHOT")])
 def test_phase_of_a_job(spark, mode, engine, want):
     assert one(spark, metrics.job_phase(F.lit(mode), F.lit(engine).cast("string"))) == want
+
+
+def test_every_job_with_a_known_target_is_counted(spark):
+    """Targets 0 to 9 are all in the whole nation table, so no order is missing; jobs whose target is unknown are left out."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.q_counts_by_target(spark, sf).collect()
+    names = {r["n_name"] for r in spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 10").collect()}
+    assert {r["target_type"] for r in got} == names and len(got) == 10
+    assert sum(r["jobs"] for r in got) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    with duckdb.connect() as con:
+        for t in ("orders", "customer", "nation"):
+            con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+        assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLES["q_counts_by_target"]).fetchall())
+    jobs = spark.createDataFrame([(1, 1, 7, "RUNNING"), (2, 1, None, "FAILED"), (3, 2, None, "RUNNING"), (4, 1, 9, "RUNNING")], "job_id long, group_id long, target_id long, status string")
+    groups = spark.createDataFrame([(1, 8)], "group_id long, target_id long")
+    sources = spark.createDataFrame([(7, "a"), (8, "b")], "data_source_id long, target_type string")
+    assert sorted(map(tuple, metrics.counts_by_target(reports.with_target_type(jobs, groups, sources)).collect())) == [("a", 1, 1), ("b", 1, 0)]
