@@ -178,12 +178,14 @@ def similar_pairs(both: DataFrame, similarity: float) -> DataFrame:
 def _verified(found: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose lines have the edit similarity; written."""
     keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    texts = maybe_in(found.select("key", "norm"), "key", key_filter(keys, "key")).join(keys, "key", "left_semi")
-    texts = written(texts.groupBy("key").agg(F.first("norm").alias("norm")), "texts")
+    texts = maybe_in(found.select("key", "norm"), "key", key_filter(keys, "key"))
+    # an inner join: Spark would put a semi join below the bitmap, and so shuffle every line
+    texts = written(texts.groupBy("key").agg(F.first("norm").alias("norm")).join(keys, "key"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("a_norm")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("norm").alias("b_norm")), "b")
     links = written(similar_pairs(both, similarity).select("a", "b"), "links")
     drop_written(keys, texts)
+    release(found.sparkSession)
     return links
 
 
@@ -238,6 +240,7 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with the lines that others stand for taken out of text, and n_lines, n_dropped (lines with a word)."""
     drops = dropped_lines(docs, similarity)
+    release(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     k_id, k_text, drop = spare(docs, "k_id", "k_text", "drop")
     ids, text_hash = doc_key()

@@ -576,6 +576,19 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert want and got == {r["b"] for r in expected}
 
 
+def test_only_lines_of_pairs_are_shuffled(spark, monkeypatch):
+    """The bitmap of the pairs' keys is looked up before any join that shuffles lines, and the texts are those of the pairs."""
+    found = line_dedup.written(line_dedup.occurrences(sample_docs(spark)), "occurrences")
+    keys = [r["key"] for r in found.select("key").distinct().orderBy("key").limit(40).collect()]
+    pairs = line_dedup.written(spark.createDataFrame(list(zip(keys[::2], keys[1::2])), "a long, b long"), "pairs")
+    seen, write = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, **k: seen.setdefault(name, (df._jdf.queryExecution().optimizedPlan().toString(), out := write(df, name, **k), out.collect() if name == "texts" else None))[1])
+    line_dedup._verified(found, pairs, 0.8)
+    plan, _, rows = seen["texts"]
+    assert "getbit" in plan and "LeftSemi" not in plan[plan.index("getbit") :]
+    assert sorted(r["key"] for r in rows) == keys and {(r["key"], r["norm"]) for r in rows} <= {(r["key"], r["norm"]) for r in found.collect()}
+
+
 def test_line_dedup_carries_clashing_columns(spark):
     names = ["drop", "k_id", "k_text", "line_no", "key", "n_lines"]
     docs = spark.createDataFrame([(i, "same line here\nown line number %d of these" % i, *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
