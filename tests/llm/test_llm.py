@@ -646,3 +646,43 @@ def test_least_prefix_follows_the_similarity():
     for percent in (70, 80, 85, 90):
         assert (1 - (percent / 100) ** near_dedup.least_prefix(percent)) ** near_dedup.TREES <= near_dedup.MISS
     assert near_dedup.least_prefix(85) == near_dedup.LEAST_PREFIX
+
+
+def test_keys_of_lines_need_no_second_shuffle(spark):
+    lines = spark.createDataFrame([(i, f"some line number {i} of these") for i in range(40)], "key long, norm string").repartition(3, "key")
+    keys = line_dedup.block_keys(lines, 3, 0.8, few=True)
+    assert keys.count() > 40 and keys._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_far_is_no_less_than_the_distance(spark):
+    """Long lines with shifts, so that pieces do not lie on pieces; what is told unlike by a window alone is unlike."""
+    rng, rows = random.Random(21), []
+    for i in range(120):
+        x = [rng.choice("abcé ") for _ in range(rng.choice((30, 300, 700, 1500)))]
+        y = list(x) if i % 4 else [rng.choice("abcé ") for _ in x]
+        for _ in range(rng.randint(1, max(1, len(x) // 6))):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(("", "z", "日z"))
+        rows.append(("".join(x), "".join(y)))
+    both = spark.createDataFrame(rows, "a_norm string, b_norm string").distinct().withColumn("d", F.levenshtein("a_norm", "b_norm"))
+    allowed = F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * 0.2 + 1e-9)
+    want = {r["a_norm"]: r["d"] for r in both.where(F.col("d") <= allowed).collect()}
+    got = {r["a_norm"]: r["far"] for r in line_dedup.measured_pairs(both, 0.8).where(F.col("far") <= allowed).collect()}
+    assert 40 < len(want) < 110 and got.keys() == want.keys() and all(got[k] >= want[k] for k in want) and any(got[k] > want[k] for k in want)
+
+
+def test_a_family_of_unlike_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Two groups of 60 lines that share a third of their words and stand 0.5 apart: before, each line of one was compared with each of the other."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(8))
+    common, lines = [word() for _ in range(30)], []
+    for own in ([word() for _ in range(30)], [word() for _ in range(30)]):
+        for i in range(60):
+            x = common + own
+            x[rng.randrange(30) + 30] = word()
+            lines.append(" ".join(x))
+    compared, measured = [], line_dedup.measured_pairs
+    monkeypatch.setattr(line_dedup, "measured_pairs", lambda both, s: (compared.append(both.select("a", "b").collect()), measured(both, s))[1])
+    group, pairs = grouped_lines(spark, lines), edit_similar(spark, lines)
+    assert all(group[a] == group[b] for a, b in pairs) and len(set(group.values())) == 2
+    assert sum(map(len, compared)) < 600
