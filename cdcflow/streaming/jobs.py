@@ -14,6 +14,8 @@ from ..operators.events import key_text, unreliable
 RECORD = "raw_topic string, offset long, op string, key string, before string, after string, db string, tbl string, ts_ms long, reason string"
 EVENT = "raw_topic string, offset long, op string, key string, before string, data string, event_ms long, reason string"
 _HELD = "offset long, before string, db string, tbl string, ts_ms long"
+#: Ops of the halves of a key-changing u, which no source writes: a delete that is never held, and an insert that never makes an update of a held one.
+OLD_KEY, NEW_KEY = "u-", "u+"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,8 +23,8 @@ def keyed_records(log: DataFrame, keys: list[str]) -> DataFrame:
     """The log with images as JSON text, the key of the image that the record is about, and why it can't be published, or null."""
     json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     kind = log.schema["after"].dataType
-    key = F.when(F.col("op").isin("d", "x"), key_text("before", keys, kind)).otherwise(key_text("after", keys, kind))
-    reason = F.when(F.col("op") != "x", unreliable(keys, kind))
+    key = F.when(F.col("op").isin("d", OLD_KEY), key_text("before", keys, kind)).otherwise(key_text("after", keys, kind))
+    reason = F.when(~F.col("op").isin(OLD_KEY, NEW_KEY), unreliable(keys, kind))
     return log.where("op is not null").select("raw_topic", "offset", "op", key.alias("key"), json("before").alias("before"), json("after").alias("after"), "db", "tbl", "ts_ms", reason.alias("reason"))
 
 
@@ -56,7 +58,7 @@ class MergeSplitUpdates(StatefulProcessor):
                 yield self._let_go(key)
             if r.reason:
                 yield Row(raw_topic=key[0], offset=r.offset, op=None, key=key[1], before=None, data=None, event_ms=r.ts_ms, reason=r.reason)
-            elif r.op == "x":
+            elif r.op == OLD_KEY:
                 yield Row(raw_topic=key[0], offset=r.offset, op="DELETE", key=key[1], before=r.before, data=r.before, event_ms=r.ts_ms, reason=None)
             elif r.op == "d":
                 self.held.update((r.offset, r.before, r.db, r.tbl, r.ts_ms))
@@ -86,13 +88,13 @@ def held_deletes(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def moved_apart(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Records with each key-changing u, if it can be published, replaced by an x (a delete that is never held) of the old key and a c of the new one."""
+    """Records with each key-changing u, if it can be published, replaced by an OLD_KEY and a NEW_KEY record."""
     kind = log.schema["after"].dataType
     moved = (F.col("op") == "u") & (key_text("before", keys, kind) != key_text("after", keys, kind)) & unreliable(keys, kind).isNull()
     none = F.lit(None).cast(log.schema["before"].dataType)
     parts = F.when(
         F.coalesce(moved, F.lit(False)),
-        F.array(F.struct(F.lit("x").alias("op"), F.col("before"), none.alias("after")), F.struct(F.lit("c").alias("op"), none.alias("before"), F.col("after"))),
+        F.array(F.struct(F.lit(OLD_KEY).alias("op"), F.col("before"), none.alias("after")), F.struct(F.lit(NEW_KEY).alias("op"), none.alias("before"), F.col("after"))),
     ).otherwise(F.array(F.struct("op", "before", "after")))
     rest = [c for c in log.columns if c not in ("op", "before", "after")]
     return log.select(*rest, F.explode(parts).alias("p")).select(*rest, "p.op", "p.before", "p.after")

@@ -56,6 +56,21 @@ def test_a_timer_lets_a_held_delete_go(spark, tmp_path):
         q.stop()
 
 
+def test_a_moved_row_doesnt_close_a_held_delete_of_its_new_key(spark, tmp_path):
+    """d of 1001, then u of 1 to 1001: a DELETE, and the two halves of the u; then a d and c of 1001, which are one UPDATE."""
+    row = "struct<user_id:bigint>"
+    rows = [("t", 0, "d", (1001,), None, "d", "t", 5), ("t", 1, "u", (1,), (1001,), "d", "t", 6), ("t", 2, "d", (1001,), None, "d", "t", 7), ("t", 3, "c", None, (1001,), "d", "t", 8)]
+    log = spark.createDataFrame(rows, f"raw_topic string, offset long, op string, before {row}, after {row}, db string, tbl string, ts_ms long")
+    records = jobs.keyed_records(jobs.moved_apart(log, ["user_id"]), ["user_id"])
+    source, check, out = (f"file://{tmp_path}/{n}" for n in ("in", "check", "out"))
+    records.coalesce(1).write.parquet(source)
+    stream = jobs.merge_stream(spark.readStream.schema(records.schema).parquet(source), hold_ms=10**9)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(once=True).start().awaitTermination(120)
+    got = spark.read.parquet(out).unionByName(jobs.held_deletes(spark, check)).select("offset", "op", "key", "event_ms", "reason").collect()
+    want = events.normalize(log, ["user_id"], by_offset=True).select("seq", "op", "key", "event_ms", "reason").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and [r["op"] for r in sorted(got)] == ["DELETE", "DELETE", "INSERT", "UPDATE"]
+
+
 def test_registered_merge_gives_all_that_the_batch_does(spark):
     from cdcflow import queries
 
