@@ -785,7 +785,7 @@ STATE_PARTITIONS = 8
 
 
 def _stream(spark, frame: DataFrame, name: str, out, rest=None):
-    """frame, written in a few files to the shared folder, read as a stream through out; the result is read when all is processed.
+    """frame, written to the shared folder, read as a stream through out; the result is read when all is processed.
 
     rest(spark, checkpoint): rows that the state still holds then, which are added.
     """
@@ -811,7 +811,7 @@ def stream_split_update_merge(spark, sf_dir):
     """The events of the whole log by the stream: what its state still holds when the input has ended is added."""
     log = events.dense_order(_log(spark, sf_dir)).withColumn("offset", F.col("seq")).drop("seq")
     records = jobs.keyed_records(jobs.moved_apart(log, testlog.KEYS), testlog.KEYS)
-    out = _stream(spark, records.repartitionByRange(4, "offset"), "merge", jobs.merge_stream, jobs.held_deletes)
+    out = _stream(spark, records, "merge", jobs.merge_stream, jobs.held_deletes)
     return out.select(F.col("offset").alias("seq"), "op", F.get_json_object("key", "$.user_id").cast("long").alias("k"), "event_ms")
 
 

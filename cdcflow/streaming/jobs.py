@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from ..operators.events import key_text, unreliable
 RECORD = "raw_topic string, offset long, op string, key string, before string, after string, db string, tbl string, ts_ms long, reason string"
 EVENT = "raw_topic string, offset long, op string, key string, before string, data string, event_ms long, reason string"
 _HELD = "offset long, before string, db string, tbl string, ts_ms long"
+#: What the merge reads of a record, packed as one JSON array of texts: in the row API every cell of a row has its price, and it is higher than that of the parsing.
+_FIELDS = ("offset", "op", "before", "after", "db", "tbl", "ts_ms", "reason")
+_EVENT = Row("raw_topic", "offset", "op", "key", "before", "data", "event_ms", "reason")
 #: Ops of the halves of a key-changing u, which no source writes: a delete that is never held, and an insert that never makes an update of a held one.
 OLD_KEY, NEW_KEY = "u-", "u+"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,11 +26,18 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def keyed_records(log: DataFrame, keys: list[str]) -> DataFrame:
     """The log with images as JSON text, the key of the image that the record is about, and why it can't be published, or null."""
-    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     kind = log.schema["after"].dataType
     key = F.when(F.col("op").isin("d", OLD_KEY), key_text("before", keys, kind)).otherwise(key_text("after", keys, kind))
     reason = F.when(~F.col("op").isin(OLD_KEY, NEW_KEY), unreliable(keys, kind))
-    return log.where("op is not null").select("raw_topic", "offset", "op", key.alias("key"), json("before").alias("before"), json("after").alias("after"), "db", "tbl", "ts_ms", reason.alias("reason"))
+    return log.where("op is not null").select("raw_topic", "offset", "op", key.alias("key"), text("before").alias("before"), text("after").alias("after"), "db", "tbl", "ts_ms", reason.alias("reason"))
+
+
+def _values(rows: Iterator[Row]) -> Iterator[tuple]:
+    """_FIELDS of packed records."""
+    for r in rows:
+        offset, op, before, after, db, tbl, ts_ms, reason = json.loads(r["record"])
+        yield offset and int(offset), op, before, after, db, tbl, ts_ms and int(ts_ms), reason
 
 
 class MergeSplitUpdates(StatefulProcessor):
@@ -37,10 +49,10 @@ class MergeSplitUpdates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.held = handle, handle.getValueState("held", _HELD)
 
-    def _let_go(self, key: tuple) -> Row:
-        offset, before, _, _, ts_ms = self.held.get()
-        self._forget()
-        return Row(raw_topic=key[0], offset=offset, op="DELETE", key=key[1], before=before, data=before, event_ms=ts_ms, reason=None)
+    @staticmethod
+    def _let_go(key: tuple, held: tuple) -> Row:
+        offset, before, _, _, ts_ms = held
+        return _EVENT(key[0], offset, "DELETE", key[1], before, before, ts_ms, None)
 
     def _forget(self) -> None:
         self.held.clear()
@@ -48,27 +60,36 @@ class MergeSplitUpdates(StatefulProcessor):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: r.offset):  # a key's rows of one batch come in no order
-            held = self.held.get() if self.held.exists() else None
-            if held and r.op == "c" and not r.reason and r.offset == held[0] + 1 and (r.db, r.tbl) == (held[2], held[3]):
-                self._forget()
-                yield Row(raw_topic=key[0], offset=held[0], op="UPDATE", key=key[1], before=held[1], data=r.after, event_ms=max(held[4], r.ts_ms), reason=None)
+        # the state is another process': it is read and written once for all of a key's rows of a batch, and not for each
+        was = held = self.held.get()
+        topic, text = key
+        for offset, op, before, after, db, tbl, ts_ms, reason in sorted(_values(rows), key=itemgetter(0)):  # they come in no order
+            if held and op == "c" and not reason and offset == held[0] + 1 and (db, tbl) == (held[2], held[3]):
+                yield _EVENT(topic, held[0], "UPDATE", text, held[1], after, max(held[4], ts_ms), None)
+                held = None
                 continue
             if held:
-                yield self._let_go(key)
-            if r.reason:
-                yield Row(raw_topic=key[0], offset=r.offset, op=None, key=key[1], before=None, data=None, event_ms=r.ts_ms, reason=r.reason)
-            elif r.op == OLD_KEY:
-                yield Row(raw_topic=key[0], offset=r.offset, op="DELETE", key=key[1], before=r.before, data=r.before, event_ms=r.ts_ms, reason=None)
-            elif r.op == "d":
-                self.held.update((r.offset, r.before, r.db, r.tbl, r.ts_ms))
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
+                yield self._let_go(key, held)
+                held = None
+            if reason:
+                yield _EVENT(topic, offset, None, text, None, None, ts_ms, reason)
+            elif op == OLD_KEY:
+                yield _EVENT(topic, offset, "DELETE", text, before, before, ts_ms, None)
+            elif op == "d":
+                held = (offset, before, db, tbl, ts_ms)
             else:
-                yield Row(raw_topic=key[0], offset=r.offset, op="UPDATE" if r.op == "u" else "INSERT", key=key[1], before=r.before, data=r.after, event_ms=r.ts_ms, reason=None)
+                yield _EVENT(topic, offset, "UPDATE" if op == "u" else "INSERT", text, before, after, ts_ms, None)
+        if was:
+            self._forget()  # every record of its key settles it
+        if held:
+            self.held.update(held)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.held.exists():
-            yield self._let_go(key)
+        held = self.held.get()
+        if held:
+            self._forget()
+            yield self._let_go(key, held)
 
 
 def merge_stream(records: DataFrame, hold_ms: int = 10_000) -> DataFrame:
@@ -78,7 +99,8 @@ def merge_stream(records: DataFrame, hold_ms: int = 10_000) -> DataFrame:
     row with it and without op; streaming.publisher stops its topic there. With its timers a query goes on for ever under availableNow: run it once, or by processing time. State is kept in RocksDB, a row a key that holds a delete; the session's provider is set to it.
     """
     records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
-    return records.groupBy("raw_topic", "key").transformWithState(MergeSplitUpdates(hold_ms), EVENT, "append", "processingTime")
+    packed = records.select("raw_topic", "key", F.to_json(F.array(*[F.col(c).cast("string") for c in _FIELDS])).alias("record"))
+    return packed.groupBy("raw_topic", "key").transformWithState(MergeSplitUpdates(hold_ms), EVENT, "append", "processingTime")
 
 
 def held_deletes(spark: SparkSession, checkpoint: str) -> DataFrame:

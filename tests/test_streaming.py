@@ -71,6 +71,59 @@ def test_a_moved_row_doesnt_close_a_held_delete_of_its_new_key(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and [r["op"] for r in sorted(got)] == ["DELETE", "DELETE", "INSERT", "UPDATE"]
 
 
+def test_the_merge_asks_the_state_once_for_all_rows_of_a_key():
+    """However many rows a key has in a batch: the state is another process', and a call for each row takes most of the time."""
+    import json
+
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, *given):
+            return held
+
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name) or []
+
+    class Timers:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+
+    fields = ("offset", "op", "before", "after", "db", "tbl", "ts_ms", "reason")
+
+    def row(*values):  # with the columns one by one, and packed
+        packed = json.dumps([None if v is None else str(v) for v in values])
+        return Row(raw_topic="t", key="k", record=packed, **dict(zip(fields, values)))
+
+    held = Held()
+    merge = jobs.MergeSplitUpdates(1)
+    merge.init(Handle())
+    rows = [r for i in range(0, 300, 3) for r in (row(i, "d", "b", None, "d", "t", i, None), row(i + 1, "c", None, "a", "d", "t", i + 1, None), row(i + 2, "u", "a", "b", "d", "t", i + 2, None))]
+    out = list(merge.handleInputRows(("t", "k"), iter(rows[::-1]), Timers()))
+    assert [r["op"] for r in out] == ["UPDATE"] * 200 and [r["offset"] for r in out] == [i for i in range(300) if i % 3 != 1]
+    assert len(calls) <= 4
+
+
 def test_registered_merge_gives_all_that_the_batch_does(spark):
     from cdcflow import queries
 
